@@ -1,0 +1,4 @@
+"""The registered queries of the engine and their SQL counterparts."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
