@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, secrets, tokenfile
+from . import bpe, licenses, media, mixing, quality, secrets, tokenfile, toxicity
 from .common import table
 
 
@@ -28,22 +28,37 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_once(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), mixing.QUERY_TARGET)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
     "op3_token_files": op3_token_files,
+    "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
+    "op7_mixing": op7_mixing,
     "op8_media": op8_media,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
