@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, mixing, quality, secrets, tokenfile, toxicity
+from . import bpe, licenses, media, mixing, ngram_join, quality, secrets, tokenfile, toxicity
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
+    "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
