@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,17 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .bpe import Words
+from .bpe import Words, byte_letters
 from .common import bounded_batches, null_first, shared_folder, texts
 
 # Fixed values of the public seekable format: skippable frame numbers and the footer's magic.
 SKIP_SEEK, SKIP_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-#: Ids in a frame before it is closed, ids in a file before the next one is begun, and words whose ids a worker keeps.
-FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 400_000
+#: Ids in a frame before it is closed, ids in a file before the next one is begun, words whose ids a worker keeps, words in one library call.
+FRAME_IDS, FILE_IDS, KEPT_WORDS, JOINED_WORDS = 1 << 16, 1 << 24, 800_000, 4000
 
 
 class LibraryEncoder:
-    """The tokenizers library's encoding of whole texts; the ids of words seen before are kept, new words go to the library in one batch."""
+    """The tokenizers library's encoding of whole texts; the ids of words seen before are kept, new words go to the
+    library as texts of many words, whose ids are told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         import json
@@ -51,7 +53,11 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
-            self.words = Words(json.load(f))
+            spec = json.load(f)
+        self.words, end = Words(spec), spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[[t for s, t in self.tokenizer.get_vocab().items() if s.endswith(end)]] = True
+        self.letters = byte_letters()
         self.known: dict[str | int, bytes] = {t: struct.pack("<I", t) for t in self.words.special.values()}
 
     def encode(self, batch: list[str]) -> list[bytes]:
@@ -59,19 +65,19 @@ class LibraryEncoder:
         if len(known) > KEPT_WORDS:
             known.clear()
             known.update({t: struct.pack("<I", t) for t in self.words.special.values()})
-        out: list[bytes | list] = []
-        new: dict[str | int, None] = {}
-        for t in batch:
-            parts = self.words.parts(t)
-            try:
-                out.append(b"".join([known[w] for w in parts]))
-            except KeyError:
-                new.update((w, None) for w in parts if w not in known)
-                out.append(parts)
-        words = list(new)
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [x if isinstance(x, bytes) else b"".join([known[w] for w in x]) for x in out]
+        lists = [self.words.parts(t) for t in batch]
+        new = list({w for parts in lists for w in parts if w not in known})
+        for w in [w for w in new if not w.isascii() and not unicodedata.is_normalized("NFC", w)]:  # normalising it once more would change it
+            spelled = "".join(self.letters[b] for b in w.encode())
+            known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+        new = [w for w in new if w not in known]
+        for at in range(0, len(new), JOINED_WORDS):
+            words = new[at : at + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            for w, a, z in zip(words, [0, *stops], stops, strict=False):
+                known[w] = raw[a:z]
+        return [b"".join([known[w] for w in parts]) for parts in lists]
 
 
 @lru_cache(maxsize=1)
