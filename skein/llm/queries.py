@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, mixing, ngram_join, quality, secrets, tokenfile, toxicity
+from . import bpe, licenses, media, mixing, near_vectors, ngram_join, quality, secrets, tokenfile, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"), mixing.QUERY_TARGET)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
+    "op6_near_vectors": op6_near_vectors,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
     "op9_ngram_join": op9_ngram_join,
