@@ -102,10 +102,22 @@ def member_filter(ids: DataFrame, name: str) -> DataFrame:
     return ids.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
 
 
-def maybe_members(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
-    """The rows of df whose column name may be in the filter: all that are, and a few more, more of them as the filter fills up. No shuffle."""
+def flag_members(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
+    """df with _maybe: true for rows whose column name is in the filter, and for a few more, more of them as the filter fills up. No shuffle."""
     bit = _bit(F.col(name))
-    at = F.bitmap_bit_position(bit)
-    hit = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_at", at).join(F.broadcast(members), "_bucket")
+    hit = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit)).join(F.broadcast(members), "_bucket", "left")
     byte = "cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)"
-    return hit.filter(F.expr(f"getbit({byte}, cast(_at % 8 as int)) = 1")).select(*df.columns)
+    return hit.select(*df.columns, F.expr(f"coalesce(getbit({byte}, cast(_at % 8 as int)) = 1, false)").alias("_maybe"))
+
+
+def maybe_members(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
+    """The rows of df that flag_members() marks."""
+    return flag_members(df, name, members).filter("_maybe").drop("_maybe")
+
+
+def without_members(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose column name is none of ids' (column name, without nulls). Only rows that the bit filter marks are shuffled."""
+    flagged = flag_members(df, name, member_filter(ids, name))
+    sure = flagged.filter("NOT _maybe").drop("_maybe")
+    asked = flagged.filter("_maybe").drop("_maybe").join(ids.select(name).distinct(), name, "left_anti").select(*df.columns)
+    return sure.unionByName(asked)

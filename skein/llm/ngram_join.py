@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, materialise, maybe_members, member_filter, word_table
+from .common import bounded_batches, flag_members, map_arrow, materialise, maybe_members, member_filter, without_members, word_table
 from .components import connected_components
 
 #: Words of a shingle, similarity as a fraction.
@@ -146,7 +146,7 @@ def _count(buckets: int):
     return run
 
 
-PREFIXES = "uid long, doc_id long, n long, h1 long, h2 long, shared long, rare array<long>, frequent array<long>"
+PREFIXES = "uid long, doc_id long, n long, h1 long, h2 long, shared long, core long, rare array<long>, frequent array<long>"
 
 
 def _prefixes(buckets: int):
@@ -181,9 +181,9 @@ def _prefixes(buckets: int):
         uid = block // (1 << 32) << 42 | block % (1 << 32) << 12
         cols = [
             pa.array(uid + np.arange(len(info))), pa.array(info["id"], mask=~info["there"]), pa.array(info["n"].astype(np.int64)), pa.array(info["h1"]), pa.array(info["h2"]),
-            pa.array(np.diff(ends)), pa.array(rare, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.int64())),
+            pa.array(np.diff(ends)), pa.array(np.bincount(docs[held > RARE], minlength=len(info))), pa.array(rare, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.int64())),
         ]
-        return pa.table(cols, names=["uid", "doc_id", "n", "h1", "h2", "shared", "rare", "frequent"])
+        return pa.table(cols, names=["uid", "doc_id", "n", "h1", "h2", "shared", "core", "rare", "frequent"])
 
     return run
 
@@ -204,8 +204,13 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb"), run, "a long, b long").distinct()
 
 
-#: Whether sizes and shared shingles of a pair leave room for a link: the overlap is at most the smaller number of shared ones.
 def _possible(na: str, sa: str, nb: str, sb: str) -> str:
+    """Whether a pair's sizes and the shingles that it may share leave room for a link.
+
+    In a rare shingle's list a text may share those that some other text has. A pair that shares a rare shingle is in such a list;
+    one that meets only in lists of frequent shingles shares no rare one (they all stand before the frequent ones of a prefix),
+    so there its overlap is at most the smaller number of frequent shingles. A list's rows say which number holds.
+    """
     return f"{NUMERATOR + DENOMINATOR} * least({sa}, {sb}) >= {NUMERATOR} * ({na} + {nb})"
 
 
@@ -219,19 +224,21 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = packed.groupBy("bucket").applyInArrow(_count(1 << bits), COUNTED)
     texts = materialise(counted.groupBy("block").applyInArrow(_prefixes(1 << bits), PREFIXES), "prefixes")
 
-    grouped = texts.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("doc_id"), F.max("shared").alias("shared"), F.first("rare").alias("rare"), F.first("frequent").alias("frequent"))
+    grouped = texts.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("doc_id"), F.max("shared").alias("shared"), F.max("core").alias("core"), F.first("rare").alias("rare"), F.first("frequent").alias("frequent"))
     classes = materialise(grouped, "classes")
 
     dense = F.size("frequent") > MOST_COMBINED
-    mine = classes.filter("size(rare) + size(frequent) > 0").select("cls", "n", "shared", dense.alias("dense"), "rare", "frequent")
+    mine = classes.filter("size(rare) + size(frequent) > 0").select("cls", "n", "shared", "core", dense.alias("dense"), "rare", "frequent")
     pairs_of = F.expr("flatten(transform(sequence(1, size(frequent)), i -> transform(slice(frequent, i + 1, size(frequent)), y -> xxhash64(1, frequent[i - 1], y))))")
     keys = F.concat(
         F.transform("rare", lambda x: F.struct(F.xxhash64(F.lit(0), x).alias("key"), F.lit(0).alias("kind"))),
         F.transform(F.when(~dense & (F.size("frequent") > 1), pairs_of).otherwise(F.array().cast("array<long>")), lambda x: F.struct(x.alias("key"), F.lit(1).alias("kind"))),
         F.transform("frequent", lambda x: F.struct(F.xxhash64(F.lit(2), x).alias("key"), F.lit(2).alias("kind"))),
     )
-    entries = mine.select("cls", "n", "shared", "dense", F.explode(keys).alias("e")).select("cls", "n", "shared", "dense", "e.key", "e.kind")
-    order = F.struct((F.col("shared") / F.col("n")).alias("s"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("shared").alias("shared"))
+    entries = mine.select("cls", "n", "shared", "core", "dense", F.explode(keys).alias("e"))
+    share = F.when(F.col("e.kind") == 0, F.col("shared")).otherwise(F.col("core"))
+    entries = entries.select("cls", "n", share.alias("shared"), (F.col("core") / F.col("n")).alias("common"), "dense", "e.key", "e.kind")
+    order = F.struct(*(F.col(c).alias(c) for c in ("common", "cls", "n", "shared")))  # who has most in common with many leads
     heads = entries.groupBy("key").agg(F.count("*").alias("size"), F.max(order).alias("l")).filter("size > 1")
     heads = heads.select("key", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.shared").alias("lead_shared"))
     lists = materialise(entries.join(heads, "key"), "lists")
@@ -272,11 +279,11 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(seen.join(up, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "components")
 
     # Round 2: a second leader from outside the first one's component.
-    rest = materialise(split_lists(placed(lists.select("key", "cls", "n", "shared", "dense", "kind", "lead"))), "open-lists")
+    rest = materialise(split_lists(placed(lists.select("key", "cls", "n", "shared", "common", "dense", "kind", "lead"))), "open-lists")
     if rest.take(1):
         first = labels.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
         apart = rest.join(first, "lead", "left").filter("component <> coalesce(lead_component, lead)")
-        second = apart.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("s"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("shared").alias("shared"), F.col("component").alias("component"))).alias("l"))
+        second = apart.groupBy("key").agg(F.max(F.struct(*(F.col(c).alias(c) for c in ("common", "cls", "n", "shared", "component")))).alias("l"))
         met = rest.join(second, "key").filter("component <> l.component").filter(_possible("n", "shared", "l.n", "l.shared"))
         tried2 = met.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         links2 = materialise(_verify(tried2, sets), "links")
@@ -302,3 +309,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     named = of.join(least, "component", "left").select("h1", "h2", F.coalesce("component_id", "first_id").alias("component_id"))
     out = texts.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """The rows of df, all columns, less all but one of each component: the one whose doc_id names it. Rows without a doc_id stay."""
+    found = join(df)
+    found = materialise(found.filter("doc_id IS NOT NULL"), "components")
+    dropped = found.filter("doc_id <> component_id").select("doc_id")
+    out = without_members(df, "doc_id", dropped)
+    again = materialise(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not again.take(1):
+        return out
+    flagged = flag_members(out, "doc_id", member_filter(again, "doc_id"))  # repeated rows: one of each doc_id
+    return flagged.filter("NOT _maybe").drop("_maybe").unionByName(flagged.filter("_maybe AND doc_id IS NOT NULL").drop("_maybe").dropDuplicates(["doc_id"])).unionByName(flagged.filter("_maybe AND doc_id IS NULL").drop("_maybe"))
