@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, texts
 
-#: Distinct words whose tokens a worker keeps.
-KEPT_WORDS = 400_000
+#: Distinct stretches of text whose tokens a worker keeps.
+KEPT_WORDS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -36,6 +37,10 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+#: What str.split() takes for white space and the vocabularies' pattern does not.
+_ODD_SPACE = re.compile("[\x1c-\x1f]").search
+
+
 class Words:
     """Normalisation and word splitting of a tokenizer file: NFC, lower case letter by letter, white space dropped, special strings kept whole."""
 
@@ -46,21 +51,26 @@ class Words:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.marks = sorted({s[:2] for s in self.special})
 
-    def plain(self, text: str) -> list[str]:
+    def prepared(self, text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # str.lower() has a final form; letter by letter there is none
                 text = text.replace("Σ", "σ")
-        return self.find(text.lower())
+        return text.lower()
+
+    def split(self, chunk: str) -> list[str]:
+        """The words of a prepared stretch without white space."""
+        return [chunk] if chunk.isalpha() else self.find(chunk)
 
-    def parts(self, text: str) -> list[str | int]:
-        """Words in order; a special token appears as its id."""
+    def chunks(self, text: str) -> list[str | int]:
+        """Stretches between white space, prepared; no word crosses it. A special token appears as its id."""
         if not any(m in text for m in self.marks):
-            return self.plain(text)
+            text = self.prepared(text)
+            return self.find(text) if _ODD_SPACE(text) else text.split()
         out: list[str | int] = []
         for k, piece in enumerate(self.cut.split(text)):
-            out += [self.special[piece]] if k % 2 else self.plain(piece)
+            out += [self.special[piece]] if k % 2 else self.chunks(piece)
         return out
 
 
@@ -107,7 +117,8 @@ class BacktrackingBpe:
                 if s[:k] in ids:
                     self.shorter[t] = ids[s[:k]]
                     break
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | int, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
         names = [""] * n
         for s, t in (vocab | self.words.special).items():
             names[t] = s
@@ -169,17 +180,23 @@ class BacktrackingBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        try:
-            return b"".join([known[w] for w in self.words.parts(text)])
-        except KeyError:
+        known, spelled = self.known, self.spelled
+        chunks = self.words.chunks(text)
+        new = [c for c in chunks if c not in known]
+        if new:
             if len(known) > KEPT_WORDS:
                 known.clear()
-            parts = self.words.parts(text)
-            for w in parts:
-                if w not in known:
-                    known[w] = np.array(self.word(w) if isinstance(w, str) else [w], dtype="<u4").tobytes()
-            return b"".join([known[w] for w in parts])
+                spelled.clear()
+                new = chunks
+            for c in new:
+                if c in known:
+                    continue
+                words = self.words.split(c) if isinstance(c, str) else []
+                for w in words:
+                    if w not in spelled:
+                        spelled[w] = np.array(self.word(w), dtype="<u4").tobytes()
+                known[c] = b"".join([spelled[w] for w in words]) if isinstance(c, str) else struct.pack("<I", c)
+        return b"".join([known[c] for c in chunks])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens' spellings with single spaces between them, as a tokenizer without a decoder gives."""
@@ -218,17 +235,21 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return map_arrow(df.selectExpr(f"`{id_col}` AS doc_id", f"`{ids_col}` AS ids"), run, f"doc_id {df.schema[id_col].dataType.simpleString()}, text string")
 
 
-def round_trip(df: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 of encode() followed by decode(), in one pass that keeps no ids."""
+def round_trip(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 of encode() followed by decode(), in one pass; with_ids adds the ids."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        n, ids_sha, text_sha = [], [], []
+        n, ids_sha, text_sha, every = [], [], [], []
         for t in texts(b, "text"):
             ids = bpe.encode(t)
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, dtype="<u4"))).hexdigest())
-        return pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            every.append(ids if with_ids else b"")
+        cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.record_batch([*cols, pa.array(every, pa.binary())] if with_ids else cols, [*names, "ids"] if with_ids else names)
 
-    return map_arrow(df.select("doc_id", "text"), run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return map_arrow(df.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

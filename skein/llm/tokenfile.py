@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,13 +35,12 @@ from .common import bounded_batches, null_first, shared_folder, texts
 
 # Fixed values of the public seekable format: skippable frame numbers and the footer's magic.
 SKIP_SEEK, SKIP_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-#: Ids in a frame before it is closed, ids in a file before the next one is begun, words whose ids a worker keeps, words in one library call.
-FRAME_IDS, FILE_IDS, KEPT_WORDS, JOINED_WORDS = 1 << 16, 1 << 24, 800_000, 4000
+#: Ids in a frame before it is closed, ids in a file before the next one is begun, stretches of text whose ids a worker keeps.
+FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 500_000
 
 
 class LibraryEncoder:
-    """The tokenizers library's encoding of whole texts; the ids of words seen before are kept, new words go to the
-    library as texts of many words, whose ids are told apart by the tokens that end a word."""
+    """The tokenizers library's encoding of whole texts: its vocabulary and merging; the ids of stretches and words seen before are kept."""
 
     def __init__(self, path: str):
         import json
@@ -54,30 +53,32 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words, end = Words(spec), spec["model"]["end_of_word_suffix"]
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.ends_word[[t for s, t in self.tokenizer.get_vocab().items() if s.endswith(end)]] = True
+        self.words, self.model = Words(spec), self.tokenizer.model
         self.letters = byte_letters()
-        self.known: dict[str | int, bytes] = {t: struct.pack("<I", t) for t in self.words.special.values()}
+        self.known: dict[str | int, bytes] = {}
+        self.spelled: dict[str | int, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        known = self.known
+        known, spelled, split = self.known, self.spelled, self.words.split
         if len(known) > KEPT_WORDS:
             known.clear()
-            known.update({t: struct.pack("<I", t) for t in self.words.special.values()})
-        lists = [self.words.parts(t) for t in batch]
-        new = list({w for parts in lists for w in parts if w not in known})
-        for w in [w for w in new if not w.isascii() and not unicodedata.is_normalized("NFC", w)]:  # normalising it once more would change it
-            spelled = "".join(self.letters[b] for b in w.encode())
-            known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
-        new = [w for w in new if w not in known]
-        for at in range(0, len(new), JOINED_WORDS):
-            words = new[at : at + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            for w, a, z in zip(words, [0, *stops], stops, strict=False):
-                known[w] = raw[a:z]
-        return [b"".join([known[w] for w in parts]) for parts in lists]
+            spelled.clear()
+        lists = [self.words.chunks(t) for t in batch]
+        for c in {c for chunks in lists for c in chunks if c not in known}:
+            if isinstance(c, int):
+                known[c] = struct.pack("<I", c)
+                continue
+            words = split(c)
+            for w in words:
+                if w not in spelled:
+                    spelled[w] = self.word(w)
+            known[c] = spelled[words[0]] if len(words) == 1 else b"".join([spelled[w] for w in words])
+        return [b"".join([known[c] for c in chunks]) for chunks in lists]
+
+    def word(self, word: str) -> bytes:
+        """A prepared word's ids by the library's model, which reads a visible letter for each byte; printable ASCII stands for itself."""
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 @lru_cache(maxsize=1)
