@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialise
+
 #: Documents that a block holds on average, bisection steps, and rows of the table of sources that may be broadcast.
 BLOCK_DOCUMENTS, STEPS, MOST_BROADCAST = 1024, 48, 100_000
 
@@ -112,12 +114,10 @@ def _beside(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(F.broadcast(sources) if few else sources, "_source")
 
 
-def decide(df: DataFrame, target: Target, source: str = "source", text: str = "text") -> DataFrame:
-    """df with _n, weight, passes, block and copies: how often each document is drawn. Texts are not shuffled."""
-    marked = df.withColumn("_source", _key(source)).withColumn("_n", tokens(text)).select("*", *_place(target.seed))
-    narrow = marked.select("_source", "_n", "_order", "_hash")
-    per = weights(narrow, target)
-    placed = _beside(narrow, per.select("_source", "blocks", "rest").filter("rest > 0")).withColumn("block", F.expr("pmod(_hash, blocks)"))
+def cuts(sized: DataFrame, target: Target) -> DataFrame:
+    """weights() with cut_block and cut_order: the place in each source's order up to which the last pass goes. sized: (_source, _n, _order, _hash)."""
+    per = weights(sized, target)
+    placed = _beside(sized, per.select("_source", "blocks", "rest").filter("rest > 0")).withColumn("block", F.expr("pmod(_hash, blocks)"))
     blocks = placed.groupBy("_source", "block", "rest").agg(F.sum("_n").alias("n"))
     before = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     cut = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before < rest AND before + n >= rest")
@@ -125,23 +125,33 @@ def decide(df: DataFrame, target: Target, source: str = "source", text: str = "t
     inside = _beside(placed, cut).filter("block = cut_block").groupBy("_source", "_order", "rest", "cut_before").agg(F.sum("_n").alias("n"))
     within = Window.partitionBy("_source").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     last = inside.withColumn("at", F.col("cut_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).filter("at < rest").groupBy("_source").agg(F.max("_order").alias("cut_order"))
-    table = per.join(cut.select("_source", "cut_block"), "_source", "left").join(last, "_source", "left")
-    out = _beside(marked, table).withColumn("block", F.expr("pmod(_hash, blocks)"))
+    return per.join(cut.select("_source", "cut_block"), "_source", "left").join(last, "_source", "left")
+
+
+def size(df: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, _source, _n, _order, _hash) of each document, written once: the one pass that counts tokens."""
+    return materialise(df.select("doc_id", "source", _key("source").alias("_source"), tokens("text").alias("_n"), *_place(seed)), "sizes")
+
+
+def decide(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df with weight, passes, block and copies (how often each document is drawn). df has _source, _order, _hash; table is cuts()."""
+    out = _beside(df, table).withColumn("block", F.expr("pmod(_hash, blocks)"))
     taken = (F.col("rest") > 0) & ((F.col("block") < F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & (F.col("_order") <= F.col("cut_order"))))
     return out.withColumn("copies", F.col("passes") + F.coalesce(taken, F.lit(False)).cast("long"))
 
 
 def plan(df: DataFrame, target: Target) -> DataFrame:
     """Per document: doc_id, source, n_tokens, weight, passes, block, copies."""
-    out = decide(df.select("doc_id", "source", "text"), target)
+    sized = size(df, target.seed)
+    out = decide(sized, cuts(sized, target))
     return out.select("doc_id", "source", F.col("_n").alias("n_tokens"), F.round("weight", 9).alias("weight"), "passes", "block", "copies")
 
 
 def draw(df: DataFrame, target: Target) -> DataFrame:
-    """df's rows as often as they are drawn, all columns."""
-    names = df.columns
-    held = df.select(F.struct(*names).alias("_row"), F.col("doc_id"), F.col("source"), F.col("text"))
-    out = decide(held, target).filter("copies > 0")
+    """df's rows as often as they are drawn, all columns. Texts are not shuffled."""
+    table = cuts(size(df, target.seed), target)
+    held = df.select(F.struct(*df.columns).alias("_row"), _key("source").alias("_source"), *_place(target.seed))
+    out = decide(held, table).filter("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
