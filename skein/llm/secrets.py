@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, maybe_members, member_filter, shared_folder, texts
+from .common import flag_members, map_arrow, materialise, maybe_members, member_filter, shared_folder, texts
 
 #: Names the set of rules below in the ledger; raise it with every change of a rule.
 RULE_VERSION = 1
@@ -113,7 +113,7 @@ def scan(df: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str
     rows = rows.withColumn("path", F.xxhash64("doc_id"))
     paths = materialise(rows.select("doc_id", "path", F.unhex(F.sha2("text", 256)).alias("blob")), "paths")
     seen = ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version).select("blob")
-    unseen = paths.join(seen, "blob", "left_anti").groupBy("blob").agg(F.min("path").alias("path"))
+    unseen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
     elected = maybe_members(rows.select("path", "text"), "path", member_filter(unseen, "path"))
     found = map_arrow(elected.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text"), lambda b: _scan(b, rule_version), SCHEMA)
     found.dropDuplicates(["blob"]).join(seen, "blob", "left_anti").write.mode("append").parquet(ledger_path)
@@ -126,28 +126,34 @@ def scan_once(df: DataFrame) -> DataFrame:
     return scan(df, shared_folder(df.sparkSession, "ledger"))
 
 
-def redact(df: DataFrame, found: DataFrame | None = None, mark: str = "[secret]") -> DataFrame:
-    """df with every span of its text replaced by mark, n_chars adjusted where there is such a column; all rows and columns stay.
+def redact(df: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """df with every span that scan() found in its text replaced by mark, n_chars set anew where there is such a column; all rows and columns stay.
 
-    Uses find() directly on each text: the spans of a blob depend on nothing but the text, so no join is needed to apply them.
+    Findings meet texts by blob. Only rows whose blob may have findings, as a bit filter tells, are shuffled for that.
     """
-    schema = df.schema
+    names, schema = df.columns, df.schema
+    hits = found.filter("spans <> ''").select("blob", "spans").dropDuplicates(["blob"]).withColumn("_h", F.xxhash64("blob"))
+    rows = df.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn("_h", F.xxhash64("_blob"))
+    flagged = flag_members(rows, "_h", member_filter(hits, "_h"))
+    clean = flagged.filter("NOT _maybe").select(*names)
+    marked = flagged.filter("_maybe").join(hits.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left").select(*names, "_spans")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = {f.name: b.column(i) for i, f in enumerate(b.schema)}
         out = []
-        for t in cols["text"].to_pylist():
-            if t is not None:
+        for t, spans in zip(cols["text"].to_pylist(), cols.pop("_spans").to_pylist(), strict=True):
+            if t is not None and spans:
                 bits, at = [], 0
-                for a, _, z in find(t):
+                for x in spans.split(","):
+                    a, z = map(int, x.split(":")[1:])
                     if a >= at:
                         bits += [t[at:a], mark]
                     at = max(at, z)
-                t = "".join([*bits, t[at:]]) if bits else t
+                t = "".join([*bits, t[at:]])
             out.append(t)
         cols["text"] = pa.array(out, pa.string())
         if "n_chars" in cols:
             cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
         return pa.record_batch(list(cols.values()), list(cols))
 
-    return map_arrow(df, run, schema.simpleString()[7:-1])
+    return clean.unionByName(map_arrow(marked, run, schema.simpleString()[7:-1]))
