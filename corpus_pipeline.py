@@ -1,12 +1,58 @@
-"""The corpus pipeline: toxicity, n-gram Jaccard join, secret scans, mixing to target weights, BPE."""
+"""The corpus pipeline: five stages, each over all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from skein.llm import bpe, mixing, ngram_join, secrets, toxicity
+from skein.llm.common import materialise, table
+from skein.llm.queries import vocabulary
+
+#: No source is passed over more than twice, and each of them once at least: mixing adds passes and drops no document.
+MIXING_TARGET = mixing.Target(repeats=2.0, budget=None)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secrets.redact(docs, secrets.scan_once(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks for."""
+    return mixing.draw(docs, MIXING_TARGET)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL expresses neither trained scores nor byte-pair encoding; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, name)
+    return docs
