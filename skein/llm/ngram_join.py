@@ -235,9 +235,11 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.transform(F.when(~dense & (F.size("frequent") > 1), pairs_of).otherwise(F.array().cast("array<long>")), lambda x: F.struct(x.alias("key"), F.lit(1).alias("kind"))),
         F.transform("frequent", lambda x: F.struct(F.xxhash64(F.lit(2), x).alias("key"), F.lit(2).alias("kind"))),
     )
-    entries = mine.select("cls", "n", "shared", "core", "dense", F.explode(keys).alias("e"))
+    entries = mine.select("cls", "n", "shared", "core", "dense", "frequent", F.explode(keys).alias("e"))
     share = F.when(F.col("e.kind") == 0, F.col("shared")).otherwise(F.col("core"))
-    entries = entries.select("cls", "n", share.alias("shared"), (F.col("core") / F.col("n")).alias("common"), "dense", "e.key", "e.kind")
+    behind = F.col("core") - F.size(F.array_distinct("frequent"))  # frequent shingles after the prefix
+    held = F.when(F.col("e.kind") == 2, F.col("frequent"))
+    entries = entries.select("cls", "n", share.alias("shared"), (F.col("core") / F.col("n")).alias("common"), "dense", "e.key", "e.kind", behind.alias("behind"), held.alias("held"))
     order = F.struct(*(F.col(c).alias(c) for c in ("common", "cls", "n", "shared")))  # who has most in common with many leads
     heads = entries.groupBy("key").agg(F.count("*").alias("size"), F.max(order).alias("l")).filter("size > 1")
     heads = heads.select("key", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.shared").alias("lead_shared"))
@@ -279,7 +281,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(seen.join(up, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "components")
 
     # Round 2: a second leader from outside the first one's component.
-    rest = materialise(split_lists(placed(lists.select("key", "cls", "n", "shared", "common", "dense", "kind", "lead"))), "open-lists")
+    rest = materialise(split_lists(placed(lists.select("key", "cls", "n", "shared", "common", "dense", "kind", "behind", "held", "lead"))), "open-lists")
     if rest.take(1):
         first = labels.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
         apart = rest.join(first, "lead", "left").filter("component <> coalesce(lead_component, lead)")
@@ -290,10 +292,13 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if links2.take(1):
             labels = joined(links2, labels)
 
-        # Then all pairs that are still apart.
+        # Then all pairs that are still apart. A pair of a list of single frequent shingles is taken from the first list that both are
+        # in, and only if the shingles common to both prefixes and those behind one of them can make up a link.
         rest = materialise(split_lists(placed(rest.drop("component", "lead"))), "open-lists")
-        x, y = (rest.select("key", "kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "shared", "dense", "component"))) for s in "ab")
-        still = x.join(y.drop("kind"), "key").filter("cls_a < cls_b AND component_a <> component_b").filter(_possible("n_a", "shared_a", "n_b", "shared_b")).filter("kind < 2 OR dense_a OR dense_b")
+        both = "array_intersect(held_a, held_b)"
+        once = f"(dense_a OR dense_b) AND {NUMERATOR + DENOMINATOR} * (size({both}) + greatest(behind_a, behind_b)) >= {NUMERATOR} * (n_a + n_b) AND xxhash64(2, array_min({both})) = key"
+        x, y = (rest.select("key", "kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "shared", "dense", "behind", "held", "component"))) for s in "ab")
+        still = x.join(y.drop("kind"), "key").filter("cls_a < cls_b AND component_a <> component_b").filter(_possible("n_a", "shared_a", "n_b", "shared_b")).filter(f"kind < 2 OR ({once})")
         tried3 = still.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(tried.union(tried2), ["a", "b"], "left_anti")
         links3 = materialise(_verify(tried3, sets), "links")
         if links3.take(1):
