@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, texts
 
 #: Distinct stretches of text whose tokens a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 def byte_letters() -> list[str]:

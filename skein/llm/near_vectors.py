@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, materialise
+from .common import bounded_batches, give_back, map_arrow, materialise
 from .components import connected_components
 
 #: Cosine from which vectors link, recall wanted of pairs just at it (of the tables, of the count), vectors that calibrate the count.
@@ -147,6 +147,7 @@ def _meet(rows: DataFrame, p: Projections, shuffled: list[str]) -> DataFrame:
             kept = (cell[:, last:], [v[last:] for v in mine])
         if kept is not None:
             yield from pairs(kept[0], *kept[1])
+        give_back()
 
     bounded_batches(rows.sparkSession)
     spread = rows.repartition(*shuffled).sortWithinPartitions(*shuffled)

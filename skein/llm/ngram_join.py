@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flag_members, map_arrow, materialise, maybe_members, member_filter, without_members, word_table
+from .common import bounded_batches, flag_members, give_back, map_arrow, materialise, maybe_members, member_filter, without_members, word_table
 from .components import connected_components
 
 #: Words of a shingle, similarity as a fraction.
@@ -112,6 +112,7 @@ def _pack(df: DataFrame, bits: int) -> DataFrame:
                         docs.append(np.bincount(owner[a:z], minlength=len(sets)).astype("<u4").tobytes())
                         shingles.append(low[a:z].tobytes())
                 yield pa.record_batch([pa.array(there, pa.int32()), pa.array([block] * len(there), pa.int64()), pa.array(docs, pa.binary()), pa.array(shingles, pa.binary())], ["bucket", "block", "docs", "shingles"])
+        give_back()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, PACKED)

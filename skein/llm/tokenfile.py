@@ -36,7 +36,7 @@ from .common import bounded_batches, null_first, shared_folder, texts
 # Fixed values of the public seekable format: skippable frame numbers and the footer's magic.
 SKIP_SEEK, SKIP_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Ids in a frame before it is closed, ids in a file before the next one is begun, stretches of text whose ids a worker keeps.
-FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 500_000
+FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 300_000
 
 
 class LibraryEncoder:

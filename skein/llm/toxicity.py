@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, segment_sums, word_table
+from .common import bounded_batches, give_back, map_arrow, segment_sums, word_table
 from .labelled import collect_features, held_out, logistic, training_labels
 
 # What symbols are written for.
@@ -63,6 +63,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(c[:-2] * ALPHABET**2 + c[1:-1] * ALPHABET + c[2:], minlength=ALPHABET**3)
         there = np.flatnonzero(total)
         yield pa.record_batch([pa.array(there), pa.array(total[there])], ["trigram", "n"])
+        give_back()
 
     bounded_batches(docs.sparkSession)
     got = docs.select("text").mapInArrow(run, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
@@ -160,7 +161,7 @@ def hashes(word: str) -> list[int]:
 
 
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
