@@ -10,7 +10,7 @@ from ..functions import attachments as A
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import extract, like, replace, spark_pattern
-from .messages import ORDERED
+from .messages import ordered
 
 LARGE_LINES = 40
 
@@ -99,7 +99,7 @@ def _large_code(messages: DataFrame) -> DataFrame:
     said = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: extract(b["text"], fixed.FILE_MENTION, 1)), "\n")
     mentioned = F.regexp_extract(said, r"[^\n]+", 0)
     rows = messages.select("conv_id", "msg_idx", "role", "blocks", mentioned.alias("mentioned"))
-    rows = rows.withColumn("before", F.when(F.lag("role").over(ORDERED) == "user", F.lag("mentioned").over(ORDERED)))
+    rows = rows.withColumn("before", F.when(F.lag("role").over(ordered()) == "user", F.lag("mentioned").over(ordered())))
     code = rows.select("conv_id", "msg_idx", "before", F.posexplode("blocks").alias("i", "b")).filter((F.col("b.type") == "code") & (F.col("msg_idx") > 0) & (F.size(F.split("b.text", "\n", -1)) >= LARGE_LINES))
     symbol = top_declaration(F.col("b.text"))
     place = F.concat(F.lit("inline "), F.coalesce("b.language", F.lit("code")), F.lit(" #"), F.col("msg_idx").cast("string"))

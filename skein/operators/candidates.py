@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import like
-from .messages import WHOLE, blocks, with_context
+from .messages import whole, blocks, with_context
 
 
 def extract(messages: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def extract(messages: DataFrame) -> DataFrame:
 
 def term_stats(candidates: DataFrame) -> DataFrame:
     """(conv_id, ord, term, tf, idf, tfidf); the corpus of a term is its conversation's candidates."""
-    numbered = candidates.select("conv_id", "ord", "text", F.count("*").over(WHOLE).alias("n"))
+    numbered = candidates.select("conv_id", "ord", "text", F.count("*").over(whole()).alias("n"))
     words = numbered.select("conv_id", "ord", "n", F.explode(T.terms(F.col("text"))).alias("term"))
     tf = words.groupBy("conv_id", "ord", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     df = F.count("*").over(Window.partitionBy("conv_id", "term"))
@@ -48,7 +48,7 @@ def term_scores(candidates: DataFrame) -> DataFrame:
     top = term_stats(candidates).groupBy("conv_id", "ord").agg(F.slice(F.sort_array(F.collect_list("tfidf"), asc=False), 1, 5).alias("top"))
     sums = top.select("conv_id", "ord", F.aggregate("top", F.lit(0.0), lambda a, x: a + x).alias("s"))
     every = candidates.select("conv_id", "ord").join(sums, ["conv_id", "ord"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    n, most = F.count("*").over(WHOLE), F.max("s").over(WHOLE)
+    n, most = F.count("*").over(whole()), F.max("s").over(whole())
     return every.select("conv_id", "ord", F.when((n < 2) | (most <= 0), 0.0).otherwise(F.col("s") / most).alias("tfidf_score"))
 
 

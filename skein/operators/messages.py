@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import text as T
 from ..sources.tables import block_text
 
-WHOLE = Window.partitionBy("conv_id")
-ORDERED = Window.partitionBy("conv_id").orderBy("msg_idx")
+
+def whole() -> WindowSpec:
+    """All rows of a conversation."""
+    return Window.partitionBy("conv_id")
+
+
+def ordered() -> WindowSpec:
+    return whole().orderBy("msg_idx")
 
 
 def with_context(messages: DataFrame) -> DataFrame:
     """Adds n_messages, unanswered (a user message that no assistant message follows), last_user, last_assistant. One shuffle by conv_id."""
-    last = lambda role: F.max(F.when(F.col("role") == role, F.col("msg_idx"))).over(WHOLE)
-    follows = F.lead("role").over(ORDERED)
+    last = lambda role: F.max(F.when(F.col("role") == role, F.col("msg_idx"))).over(whole())
+    follows = F.lead("role").over(ordered())
     return messages.select(
         "*",
-        F.count("*").over(WHOLE).alias("n_messages"),
+        F.count("*").over(whole()).alias("n_messages"),
         ((F.col("role") == "user") & F.coalesce(follows != "assistant", F.lit(True))).alias("unanswered"),
         F.coalesce(F.col("msg_idx") == last("user"), F.lit(False)).alias("last_user"),
         F.coalesce(F.col("msg_idx") == last("assistant"), F.lit(False)).alias("last_assistant"),

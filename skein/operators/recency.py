@@ -10,7 +10,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import extract, extract_all, like
 from .identity import recent_messages
-from .messages import WHOLE, plain_text, with_context
+from .messages import whole, plain_text, with_context
 
 NEXT_STEP_MESSAGES, QUESTION_MESSAGES, CAP, PLAN_CAP, PLAN_LINES = 10, 20, 5, 6, 29
 
@@ -40,7 +40,7 @@ def suffix_budget(rows: DataFrame, cost: Column, budget: int, least: int = 2) ->
 
 def next_steps(messages: DataFrame, scan: int = NEXT_STEP_MESSAGES, cap: int = CAP) -> DataFrame:
     """(conv_id, position, msg_idx, i, text): the last distinct next steps that users name, in order."""
-    n = messages.withColumn("n", F.count("*").over(WHOLE))
+    n = messages.withColumn("n", F.count("*").over(whole()))
     order = Window.partitionBy("conv_id").orderBy(F.col("msg_idx").desc())
     users = n.filter("role = 'user'").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= scan)
     rows = plain_text(users).select("conv_id", "msg_idx", (F.col("msg_idx") / F.greatest(F.lit(1), F.col("n") - 1)).alias("position"), F.posexplode(T.sentences(F.col("plain"))).alias("i", "text"))

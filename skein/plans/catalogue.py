@@ -1,4 +1,353 @@
-"""The registered queries of the engine and their SQL counterparts."""
+"""The registered queries of the engine and their SQL counterparts.
+
+Queries run over the whole conversations table plus the seed rows. Walks that SQL does not express (greedy selection, folds over
+terms and decisions, sentence ranking, documents made of them) have no counterpart and are covered by the tests.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import attachments as A
+from ..functions import fixed
+from ..functions import text as T
+from ..functions.stages import stage
+from ..operators import artifacts, classify, decisions, identity, recency, textrank
+from ..operators import candidates as C
+from ..operators import messages as M
+from ..sources import exports, share, tables
+from . import oracle as O
+from . import seeds
+from .compress import compress, types_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> tables.Corpus:
+    return tables.from_turns(seeds.turns(spark, sf_dir))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).messages
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.extract(_messages(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return C.score(stage(C.extract(c.messages), "candidates"), types_of(c))
+
+
+# Messages and blocks
+
+
+@query(f"WITH {O.TURNS} SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS message_count, min(turn) AS first_turn FROM turns GROUP BY conv_id")
+def list_conversations(spark, sf_dir):
+    return seeds.turns(spark, sf_dir).groupBy("conv_id").agg(F.count_if(F.col("role") != "system").alias("message_count"), F.min("turn").alias("first_turn"))
+
+
+@query(f"WITH {O.MESSAGES} SELECT conv_id, msg_idx, message_id, role FROM messages")
+def normalize_messages(spark, sf_dir):
+    return _messages(spark, sf_dir).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "message_id", "role")
+
+
+@query(f"WITH {O.MESSAGES} SELECT conv_id, system_prompt FROM prompts")
+def lift_system_prompt(spark, sf_dir):
+    return corpus(spark, sf_dir).conversations.filter("system_prompt IS NOT NULL").select("conv_id", "system_prompt")
+
+
+@query(f"WITH {O.BLOCKS} SELECT conv_id, msg_idx, block_idx, type, language, text FROM blocks")
+def split_code_blocks(spark, sf_dir):
+    return M.blocks(_messages(spark, sf_dir)).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), F.col("block_idx").cast("long").alias("block_idx"), "type", "language", "text")
+
+
+@query(f"WITH {O.SAID} SELECT conv_id, msg_idx, unanswered, last_user, last_assistant FROM context")
+def unanswered_messages(spark, sf_dir):
+    return M.with_context(_messages(spark, sf_dir)).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "unanswered", "last_user", "last_assistant")
+
+
+@query(f"WITH {O.MESSAGES} SELECT conv_id, max_by(message_id, CASE WHEN role = 'user' THEN msg_idx END) FILTER (WHERE role = 'user') AS last_user_id, max_by(message_id, msg_idx) FILTER (WHERE role = 'assistant') AS last_assistant_id FROM messages GROUP BY conv_id")
+def last_message_by_role(spark, sf_dir):
+    return M.last_by_role(_messages(spark, sf_dir))
+
+
+@query(f"WITH {O.BLOCKS} SELECT conv_id, sum(length(text))::BIGINT AS input_chars FROM blocks GROUP BY conv_id")
+def input_chars(spark, sf_dir):
+    return M.input_chars(_messages(spark, sf_dir))
+
+
+# Text functions
+
+
+@query(f"WITH {O.TURNS}, s AS (SELECT conv_id, turn, {O.sentences('text')} AS ss FROM turns) SELECT s.conv_id, s.turn, u.i, u.sentence FROM s, LATERAL (SELECT unnest(ss) AS sentence, unnest(range(len(ss))) AS i) u")
+def split_sentences(spark, sf_dir):
+    return seeds.turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"WITH {O.TURNS} SELECT conv_id, turn, {O.strip_markdown('text')} AS text FROM turns")
+def strip_markdown(spark, sf_dir):
+    return seeds.turns(spark, sf_dir).select("conv_id", "turn", T.strip_markdown(F.col("text")).alias("text"))
+
+
+@query(f"WITH {O.TURNS} SELECT conv_id, turn, {O.asciiize('text')} AS ascii, {O.strip_urls('text')} AS unlinked, {O.key('text')} AS dedupe_key FROM turns")
+def rewrite_text(spark, sf_dir):
+    t = F.col("text")
+    return seeds.turns(spark, sf_dir).select("conv_id", "turn", T.asciiize(t).alias("ascii"), T.strip_urls(t).alias("unlinked"), T.key(t).alias("dedupe_key"))
+
+
+@query(f"""WITH {O.TURNS} SELECT conv_id, turn, ceil(length(text) / 4)::INTEGER AS tokens, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::INTEGER AS lines, {O.header('text')} AS header,
+  round(coalesce(list_sum(list_transform(regexp_extract_all(text, 'https?://\\S+'), lambda u: length(u))), 0) / length(text), 9) AS url_ratio,
+  coalesce(nullif(substr(regexp_replace({O.ws("regexp_replace(lower(text), '[^a-z0-9\\s-]', '', 'g')")}, '\\s+', '-', 'g'), 1, 60), ''), 'conversation') AS slug FROM turns""")
+def measure_text(spark, sf_dir):
+    t = F.col("text")
+    return seeds.turns(spark, sf_dir).select("conv_id", "turn", T.tokens_estimate(t).alias("tokens"), T.lines(t).alias("lines"), T.looks_like_header(t).alias("header"), F.round(T.url_ratio(t), 9).alias("url_ratio"), T.slugify(t).alias("slug"))
+
+
+# Classification, candidates, scores
+
+
+@query(f"WITH {O.SIGNALS} SELECT conv_id, {', '.join(f'round({n}, 9) AS {n}' for n in ('code_ratio', 'avg_user_len', 'question_density', *fixed.SIGNALS))} FROM signals")
+def classify_signals(spark, sf_dir):
+    return classify.signals(_messages(spark, sf_dir)).select("conv_id", *(F.round(n, 9).alias(n) for n in ("code_ratio", "avg_user_len", "question_density", *fixed.SIGNALS)))
+
+
+@query(f"WITH {O.SIGNALS}, {O.TYPED} SELECT conv_id, type, round(CASE WHEN top = 0 THEN 0 ELSE (top - second) / top END, 6) AS confidence, {', '.join(f'round({k}, 6) AS score_{k}' for k in classify.TYPES)} FROM types JOIN scores USING (conv_id)")
+def classify_conversations(spark, sf_dir):
+    return classify.classify(_messages(spark, sf_dir)).select("conv_id", "type", F.round("confidence", 6).alias("confidence"), *(F.round(f"score_{k}", 6).alias(f"score_{k}") for k in classify.TYPES))
+
+
+@query(f"WITH {O.SAID} SELECT conv_id, ord, msg_idx, block_idx, sent_idx, message_id, role, kind, text, char_len, round(position, 9) AS position FROM candidates")
+def extract_candidates(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    return c.select("conv_id", *(F.col(n).cast("long").alias(n) for n in ("ord", "msg_idx", "block_idx", "sent_idx", "char_len")), "message_id", "role", "kind", "text", F.round("position", 9).alias("position"))
+
+
+@query(f"WITH {O.TERMS} SELECT conv_id, ord, term, tf, round(idf, 9) AS idf, round(tf * idf, 9) AS tfidf FROM stats")
+def tfidf_terms(spark, sf_dir):
+    return C.term_stats(_candidates(spark, sf_dir)).select("conv_id", F.col("ord").cast("long").alias("ord"), "term", "tf", F.round("idf", 9).alias("idf"), F.round("tfidf", 9).alias("tfidf"))
+
+
+@query(f"WITH {O.TERMS} SELECT conv_id, ord, round(tfidf_score, 6) AS tfidf_score FROM tfidf")
+def tfidf_scores(spark, sf_dir):
+    return C.term_scores(_candidates(spark, sf_dir)).select("conv_id", F.col("ord").cast("long").alias("ord"), F.round("tfidf_score", 6).alias("tfidf_score"))
+
+
+@query(f"WITH {O.SCORED} SELECT conv_id, ord, kind, type, round(score, 6) AS score, always_keep FROM scored")
+def score_candidates(spark, sf_dir):
+    return _scored(spark, sf_dir).select("conv_id", F.col("ord").cast("long").alias("ord"), "kind", "type", F.round("score", 6).alias("score"), "always_keep")
+
+
+@query(f"""WITH {O.SCORED}, kept AS (SELECT conv_id, ord, row_number() OVER w AS r, sum(char_len) OVER (w ROWS UNBOUNDED PRECEDING) AS cost FROM scored WHERE always_keep WINDOW w AS (PARTITION BY conv_id ORDER BY score DESC, ord))
+SELECT conv_id, ord, r AS keep_rank FROM kept WHERE cost <= 2250 OR r = 1""")
+def always_keep_prefix(spark, sf_dir):
+    ranked = C.rank(_scored(spark, sf_dir), fixed.BUDGET_CHARS["resume"])
+    return ranked.filter("first_pick").select("conv_id", F.col("ord").cast("long").alias("ord"), F.col("keep_rank").cast("long").alias("keep_rank"))
+
+
+@query()
+def select_candidates(spark, sf_dir):
+    return C.select(stage(_scored(spark, sf_dir), "scored"), fixed.BUDGET_CHARS["resume"]).select("conv_id", "ord", "message_id", "role", "kind", "text", "char_len", "score", "always_keep")
+
+
+@query()
+def dropped_messages(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    scored = stage(C.score(C.extract(c.messages), types_of(c)), "scored")
+    return C.dropped_messages(c.messages, C.select(scored, fixed.BUDGET_CHARS["tldr"]))
+
+
+# Identity, decisions, recency, artifacts
+
+_COMMON = ", ".join(map(O.q, fixed.COMMON_LOWER))
+_CAPITAL = ", ".join(map(O.q, fixed.CAPITAL_STOPLIST))
+_WORDS = f"""{O.BLOCKS},
+texts AS (SELECT conv_id, msg_idx, string_agg(CASE WHEN type = 'text' THEN {O.plain("text")} ELSE array_to_string(string_split(text, chr(10))[1:10], chr(10)) END, ' ' ORDER BY block_idx) AS t FROM blocks GROUP BY conv_id, msg_idx),
+cut AS (SELECT conv_id, msg_idx, regexp_extract_all(t, '([^A-Za-z]*)([A-Za-z][A-Za-z0-9_-]*)', 1) AS gs, regexp_extract_all(t, '([^A-Za-z]*)([A-Za-z][A-Za-z0-9_-]*)', 2) AS ws FROM texts),
+words AS (SELECT c.conv_id, c.msg_idx, u.i, u.gap, u.word, u.i = 0 OR regexp_matches(u.gap, '[.!?]\\s*$|\\n') AS at_start FROM cut c, LATERAL (SELECT unnest(gs) AS gap, unnest(ws) AS word, unnest(range(len(ws))) AS i) u),
+seen AS (SELECT *, bool_or(NOT at_start) OVER (PARTITION BY conv_id, msg_idx, word) AS inside, word[1:1] BETWEEN 'A' AND 'Z' AS cap FROM words),
+entries AS (SELECT conv_id, msg_idx, 0 AS class, word AS term FROM seen WHERE length(word) >= 3 AND cap AND word NOT IN ({_CAPITAL}) AND (word = upper(word) OR NOT at_start OR inside)
+  UNION ALL SELECT conv_id, msg_idx, 1, lower(word) FROM seen WHERE length(word) >= 4 AND lower(word) NOT IN ({_COMMON}) AND (cap AND word NOT IN ({_CAPITAL}) OR NOT cap AND regexp_matches(word, '^[a-z0-9_-]+$'))),
+pairs AS (SELECT conv_id, msg_idx, i, word AS a, lead(word) OVER w AS b, lead(gap) OVER w AS g FROM words WINDOW w AS (PARTITION BY conv_id, msg_idx ORDER BY i)),
+fit AS (SELECT *, lower(a) || ' ' || lower(b) AS pair FROM pairs WHERE length(a) >= 3 AND length(b) >= 3 AND NOT regexp_matches(g, '[.!?\\n]') AND lower(a) NOT IN ({_COMMON}) AND lower(b) NOT IN ({_COMMON}) AND a NOT IN ({_CAPITAL}) AND b NOT IN ({_CAPITAL})
+  AND (a[1:1] BETWEEN 'A' AND 'Z' OR b[1:1] BETWEEN 'A' AND 'Z' OR regexp_matches(a, '^[a-z]+$') AND regexp_matches(b, '^[a-z]+$'))),
+counts AS (SELECT conv_id, class, term, count(*) AS count, count(DISTINCT msg_idx) AS messages FROM entries GROUP BY ALL
+  UNION ALL SELECT conv_id, 2, min_by(a || ' ' || b, msg_idx * 1000000 + i), count(*), count(DISTINCT msg_idx) FROM fit GROUP BY conv_id, pair),
+n AS (SELECT conv_id, count(*) AS n FROM messages GROUP BY conv_id),
+weighed AS (SELECT conv_id, class, term, count, messages, messages / n AS spread, count * (CASE class WHEN 0 THEN 0.4 + 0.6 * messages / n WHEN 1 THEN 0.3 + 0.5 * messages / n ELSE 0.5 + 0.7 * messages / n END) AS weight
+  FROM counts JOIN n USING (conv_id) WHERE class = 0 AND count >= 2 AND messages >= 2 OR class = 1 AND count >= 5 AND messages >= 3 OR class = 2 AND count >= 3 AND messages >= 2)"""
+
+
+@query(f"WITH {_WORDS} SELECT conv_id, class, term, count, messages, round(spread, 9) AS spread, round(weight, 9) AS weight FROM weighed")
+def identity_terms(spark, sf_dir):
+    return identity.all_terms(_messages(spark, sf_dir)).select("conv_id", "class", "term", "count", "messages", F.round("spread", 9).alias("spread"), F.round("weight", 9).alias("weight"))
+
+
+@query()
+def project_identity(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return identity.identity(c.conversations, c.messages).select("conv_id", "project_name", "project_line", "confidence", "recent_focus_line", "recent_blocks")
+
+
+@query()
+def extract_decisions(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    who = stage(identity.identity(c.conversations, c.messages), "identity")
+    return decisions.extract(c.messages, who).select("conv_id", F.posexplode("decisions").alias("i", "d")).select("conv_id", "i", "d.*")
+
+
+@query()
+def recent_snippets(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return recency.snippets(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
+
+
+@query(f"""WITH {O.BLOCKS}, costs AS (SELECT conv_id, msg_idx, sum(length(text) + 20) OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS r FROM (SELECT conv_id, msg_idx, string_agg(text, ' ' ORDER BY block_idx) AS text FROM blocks GROUP BY conv_id, msg_idx))
+SELECT conv_id, msg_idx FROM costs WHERE c <= 3500 OR r <= 2""")
+def trim_to_budget(spark, sf_dir):
+    rows = _messages(spark, sf_dir).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text"))
+    return recency.suffix_budget(rows, T.length(F.col("text")) + 20, fixed.STATE_BUDGET).select("conv_id", "msg_idx")
+
+
+@query(f"""WITH {O.PLAIN}, recent AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM messages WHERE role = 'user'),
+ss AS (SELECT conv_id, msg_idx, {O.sentences('plain')} AS ss FROM plains JOIN (SELECT conv_id, msg_idx FROM recent WHERE back <= 10) USING (conv_id, msg_idx)),
+said AS (SELECT conv_id, msg_idx, u.i, u.s FROM ss, LATERAL (SELECT unnest(ss) AS s, unnest(range(len(ss))) AS i) u WHERE length(u.s) BETWEEN 12 AND 240 AND NOT {O.header('u.s')} AND {O.like('u.s', fixed.NEXT_STEP)}),
+once AS (SELECT *, row_number() OVER (PARTITION BY conv_id, {O.key('s')} ORDER BY msg_idx DESC, i) AS d FROM said),
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC, i) AS k FROM once WHERE d = 1)
+SELECT conv_id, msg_idx, i, s AS text, round(msg_idx / greatest(1, n - 1), 9) AS position FROM top JOIN sizes USING (conv_id) WHERE k <= 5""")
+def next_steps(spark, sf_dir):
+    return recency.next_steps(_messages(spark, sf_dir)).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), F.col("i").cast("long").alias("i"), "text", F.round("position", 9).alias("position"))
+
+
+@query(f"""WITH {O.SAID}, asked AS (SELECT b.conv_id, b.msg_idx, b.block_idx, u.i, u.s FROM (SELECT blocks.*, {O.sentences(O.plain('blocks.text'))} AS ss FROM blocks JOIN context USING (conv_id, msg_idx) WHERE type = 'text' AND unanswered AND n_messages - msg_idx <= 20) b,
+  LATERAL (SELECT unnest(b.ss) AS s, unnest(range(len(b.ss))) AS i) u WHERE ends_with(u.s, '?') AND length(u.s) BETWEEN 12 AND 240),
+once AS (SELECT *, row_number() OVER (PARTITION BY conv_id, {O.key('s')} ORDER BY msg_idx, block_idx, i) AS d FROM asked),
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx, block_idx, i) AS ord FROM once WHERE d = 1) SELECT conv_id, ord, s AS text FROM top WHERE ord <= 5""")
+def open_questions(spark, sf_dir):
+    return recency.open_questions(_messages(spark, sf_dir)).select("conv_id", F.col("ord").cast("long").alias("ord"), "text")
+
+
+@query()
+def structured_plan(spark, sf_dir):
+    return recency.structured_plan(_messages(spark, sf_dir)).select("conv_id", "msg_idx", F.posexplode("plan").alias("i", "p")).select("conv_id", "msg_idx", "i", "p.label", "p.text")
+
+
+@query()
+def artifact_summaries(spark, sf_dir):
+    return artifacts.summarize(_messages(spark, sf_dir))
+
+
+_VERSIONS = [(1, 0, "a", 1), (1, 1, "b", 1), (1, 2, "a", 2), (1, 3, "a", 3), (2, 0, "a", 1), (2, 1, "c", 1)]
+
+
+@query(f"SELECT conv_id, msg_idx, artifact_id, version FROM (SELECT *, max(version) OVER (PARTITION BY conv_id, artifact_id) AS v FROM (VALUES {seeds.values(_VERSIONS)}) t(conv_id, msg_idx, artifact_id, version)) WHERE version = v")
+def artifact_latest(spark, sf_dir):
+    rows = spark.createDataFrame(_VERSIONS, "conv_id int, msg_idx int, artifact_id string, version int").withColumn("type", F.lit("artifact"))
+    return artifacts.collapse_versions(rows).select("conv_id", "msg_idx", "artifact_id", "version")
+
+
+# Attachments and links
+
+_FILES = f"(VALUES {seeds.values(seeds.FILES)}) f(filename, mime, size)"
+_isin = lambda x, words: f"{x} IN ({', '.join(map(O.q, words))})"
+
+
+@query(f"""SELECT filename, CASE WHEN b IN ('dockerfile', 'makefile') THEN 'code_file' WHEN e = 'svg' THEN 'image' WHEN {_isin("e", fixed.CODE_EXTENSIONS)} THEN 'code_file' WHEN {_isin("e", fixed.IMAGE_EXTENSIONS)} THEN 'image' WHEN e = 'pdf' THEN 'pdf'
+  WHEN {_isin("e", fixed.DOCUMENT_EXTENSIONS)} THEN 'document' WHEN mime LIKE 'image/%' THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime LIKE 'text/%' OR mime IN ('application/json', 'application/xml') OR mime LIKE '%javascript%' OR mime LIKE '%typescript%' THEN 'code_file'
+  WHEN mime LIKE '%word%' OR mime LIKE '%excel%' OR mime LIKE '%powerpoint%' OR mime LIKE '%opendocument%' THEN 'document' ELSE 'other' END AS kind,
+  CASE string_split(lower(filename), '.')[-1] {' '.join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in fixed.LANGUAGES.items())} ELSE '' END AS language, regexp_replace(trim(filename), '^\\d{{10,16}}_', '') AS shown,
+  CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', floor(size * 10 / 1024.0 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(size * 10 / 1048576.0 + 0.5) / 10) || ' MB' END AS told
+  FROM (SELECT *, CASE WHEN contains(filename, '.') THEN string_split(lower(filename), '.')[-1] ELSE '' END AS e, string_split(lower(filename), '/')[-1] AS b FROM {_FILES})""")
+def classify_attachments(spark, sf_dir):
+    f = F.col("filename")
+    rows = spark.createDataFrame(seeds.FILES, "filename string, mime string, size long")
+    return rows.select("filename", A.classify(f, F.col("mime")).alias("kind"), A.language(f).alias("language"), A.display_name(f).alias("shown"), T.format_bytes(F.col("size")).alias("told"))
+
+
+_URL = f"urls AS (SELECT url FROM pages UNION ALL SELECT * FROM (VALUES {seeds.values(seeds.URLS)}) v(url)), cut AS (SELECT url, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host, list_filter(string_split(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '') AS path FROM urls)"
+
+
+@query(f"WITH {_URL} SELECT url, CASE WHEN {_isin('host', fixed.CHATGPT_HOSTS)} AND path[1] = 'share' AND len(path) > 1 THEN 'chatgpt' WHEN {_isin('host', fixed.CLAUDE_HOSTS)} AND path[1] = 'share' AND len(path) > 1 THEN 'claude' ELSE 'unsupported' END AS platform, CASE WHEN {_isin('host', fixed.CHATGPT_HOSTS)} AND path[1] = 'share' AND regexp_matches(path[2], '(?i)^[a-f0-9-]{{20,80}}$') THEN path[2] END AS share_id FROM cut")
+def parse_share_url(spark, sf_dir):
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").union(spark.createDataFrame([(u,) for u in seeds.URLS], "url string"))
+    return urls.select("url", share.platform(F.col("url")).alias("platform"), share.share_id(F.col("url")).alias("share_id"))
+
+
+_PAGES = [(1, 'x streamController.enqueue("[{\\"_1\\":2},\\"hello\\",{\\"_3\\":4},") y streamController.enqueue("\\"nested\\",\\"value\\"]\\nP5:[{}]") z'), (2, "nothing here"), (3, 'streamController.enqueue("[[1,-5,2],\\"a\\",{\\"k\\":1}]")')]
+_DECODED = [(1, '{"hello": {"nested": "value"}}'), (2, None), (3, '["a", null, {"k": 1}]')]
+
+
+@query(f"SELECT * FROM (VALUES {seeds.values(_DECODED)}) v(page_id, decoded)")
+def decode_share_page(spark, sf_dir):
+    rows = spark.createDataFrame(_PAGES, "page_id int, html string").withColumn("payload", share.payload(F.col("html")))
+    return rows.select("page_id", share.decode(F.col("payload")).alias("decoded"))
+
+
+_TREE = '{"title":" Tree ","create_time":1700000000,"update_time":1700000600,"conversation_id":"t1","current_node":"n3","mapping":{"n0":{"parent":null,"children":["n1"],"message":null},"n1":{"parent":"n0","children":["n2","n3"],"message":{"id":"m1","author":{"role":"user"},"create_time":1700000060,"content":{"content_type":"text","parts":["Run this:\\n```sql\\nselect 1\\n```\\nplease"]}}},"n2":{"parent":"n1","children":[],"message":{"id":"m2","author":{"role":"assistant"},"content":{"content_type":"text","parts":["old"]}}},"n3":{"parent":"n1","children":[],"message":{"id":"m3","author":{"role":"assistant"},"content":{"content_type":"multimodal_text","parts":["new",{"content_type":"image_asset_pointer","asset_pointer":"x","size_bytes":7}]}}}}}'
+_LIST = '{"conversations":[{"uuid":"l1","name":"List","created_at":"2024-01-02T03:04:05Z","chat_messages":[{"uuid":"u1","sender":"human","text":"hi","content":"Plain ask"},{"uuid":"u2","sender":"assistant","content":[{"type":"text","text":"See"},{"type":"tool_use","name":"artifacts","input":{"id":"d","title":"doc.md","content":"one"}},{"type":"tool_use","name":"search","input":{"z":"last","a":"first"}}]},{"uuid":"u3","sender":"assistant","content":[{"type":"tool_use","name":"artifacts","input":{"id":"d","title":"doc.md","content":"two"}},{"type":"tool_result","content":"ok"}],"files":[{"file_name":"p.pdf","file_size":9}]}]}]}'
+_EXPORTS = [("a", _TREE), ("b", _LIST), ("c", '{"x":1}'), ("d", "{broken"), ("e", "[]")]
+_FORMATS = [("a", "chatgpt", None), ("b", "claude", None), ("c", "unknown", "unknown_format"), ("d", "unknown", "not_json"), ("e", "unknown", "unknown_format")]
+_PARSED = [
+    ("l1", 0, "user", 0, "text", None, "Plain ask", None), ("l1", 1, "assistant", 0, "text", None, "See", None), ("l1", 1, "assistant", 1, "tool_use", None, None, "z=last, a=first"), ("l1", 2, "assistant", 0, "artifact", None, "two", None), ("l1", 2, "assistant", 1, "tool_result", None, None, "ok"),
+    ("t1", 0, "user", 0, "text", None, "Run this:", None), ("t1", 0, "user", 1, "code", "sql", "select 1", None), ("t1", 0, "user", 2, "text", None, "please", None), ("t1", 1, "assistant", 0, "text", None, "new", None),
+]
+
+
+def _exports(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_EXPORTS, "file string, raw string")
+
+
+@query(f"SELECT * FROM (VALUES {seeds.values(_FORMATS)}) v(file, format, error)")
+def detect_format(spark, sf_dir):
+    return exports.identify(_exports(spark)).select("file", "format", "error")
+
+
+@query(f"SELECT * FROM (VALUES {seeds.values(_PARSED)}) v(conv_id, msg_idx, role, block_idx, type, language, text, summary)")
+def parse_exports(spark, sf_dir):
+    return M.blocks(exports.parse(_exports(spark)).messages).select("conv_id", "msg_idx", "role", "block_idx", "type", "language", "text", "summary")
+
+
+# Summaries and documents
+
+
+@query()
+def textrank_summary(spark, sf_dir):
+    rows = seeds.turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
+    return textrank.summarize(rows, "message_id", "text", 3)
+
+
+@query()
+def render_tldr(spark, sf_dir):
+    return compress(corpus(spark, sf_dir), "tldr")
+
+
+@query()
+def render_resume(spark, sf_dir):
+    return compress(corpus(spark, sf_dir), "resume")
+
+
+@query()
+def render_full(spark, sf_dir):
+    return compress(corpus(spark, sf_dir), "full")
+
+
+@query(f"WITH {O.MESSAGES}, r AS (SELECT conv_id, msg_idx, role, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM messages WHERE role IN ('user', 'assistant')) SELECT conv_id, msg_idx, role FROM r WHERE back <= 30")
+def recent_messages(spark, sf_dir):
+    return identity.recent_messages(_messages(spark, sf_dir)).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "role")
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}

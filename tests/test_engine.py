@@ -1,0 +1,158 @@
+"""Engine operators: SQL counterparts, invariants, whole documents."""
+
+import math
+import os
+import re
+
+import duckdb
+import pytest
+
+from skein.functions import fixed
+from skein.functions.stages import stage
+from skein.operators import candidates as C
+from skein.plans import catalogue, seeds
+from skein.plans.compress import compress, compress_levels, types_of
+from skein.sources import exports, share, tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 6)
+    return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+def test_query_equals_sql(spark, duck, name):
+    df = catalogue.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
+    rel = duck.sql(catalogue.ORACLES[name])
+    assert columns == sorted(rel.columns)
+    assert got == sorted((tuple(map(plain, r)) for r in rel.select(*(f'"{c}"' for c in columns)).fetchall()), key=repr)
+    assert got
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    c = tables.from_turns(seeds.turns(spark, SF))
+    return stage(C.score(C.extract(c.messages), types_of(c)), "scored")
+
+
+def walk(rows, budget):
+    """The greedy selection, one conversation, as a plain loop."""
+    keeps = sorted((r for r in rows if r.always_keep), key=lambda r: (-r.score, r.ord))
+    picked, used, per = [], 0, {}
+    for r in keeps:
+        if used + r.char_len > budget * fixed.ALWAYS_KEEP_SHARE and picked:
+            break
+        picked.append(r)
+        used += r.char_len
+        per[r.msg_idx] = per.get(r.msg_idx, 0) + 1
+    rest = [r for r in sorted(rows, key=lambda r: r.ord) if not r.always_keep] + keeps[len(picked) :]
+    for r in sorted(rest, key=lambda r: -r.score / max(1, math.log10(r.char_len + 10))):
+        if used + r.char_len <= budget and (r.score - per.get(r.msg_idx, 0) * fixed.DIVERSITY_PENALTY > 0 or r.always_keep):
+            picked.append(r)
+            used += r.char_len
+            per[r.msg_idx] = per.get(r.msg_idx, 0) + 1
+    return {r.ord for r in picked}
+
+
+@pytest.mark.parametrize("budget", [200.0, 1000.0, 9000.0])
+def test_selection_is_the_greedy_walk(scored, budget):
+    by = {}
+    for r in scored.collect():
+        by.setdefault(r.conv_id, []).append(r)
+    got = {}
+    for r in C.select(scored, budget).select("conv_id", "ord").collect():
+        got.setdefault(r.conv_id, set()).add(r.ord)
+    for conv, rows in by.items():
+        assert got.get(conv, set()) == walk(rows, budget), conv
+
+
+def test_full_level_keeps_all(scored):
+    assert C.select(scored, float("inf")).count() == scored.count()
+    assert C.select(scored, 0.0).count() == 0
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    turns = seeds.turns(spark, SF)
+    one, many = (C.select(C.score(C.extract(c.messages), types_of(c)), 1000.0).select("conv_id", "ord") for c in (tables.from_turns(turns.repartition(n)) for n in (1, 16)))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_documents(spark):
+    got = {(r.conv_id, r.level): r for r in compress_levels(tables.from_turns(spark.createDataFrame(seeds.TURNS, "conv_id long, turn long, role string, text string"))).collect()}
+    doc = got[9000005, "resume"].markdown
+    assert "## Current state" in doc and "## Key decisions made\n- " in doc and "chose Postgres over Mongo" in doc
+    assert "**Next steps:**\n- We need to add a nightly job" in doc and "*Generated by Skein.*" in doc
+    assert got[9000005, "resume"].output_chars == len(doc)
+    full = got[9000001, "full"].markdown
+    assert "## System\nYou answer questions" in full and "```python\ndef load(x):" in full
+    tldr = got[9000003, "tldr"].markdown
+    assert "## Goal\n- The deadline is next week.\n- What are the pros" in tldr and "## Next steps\nWe need to write" in tldr
+    assert got[9000003, "full"].dropped_messages == 0
+    assert all(re.search(r"\d -> [\d,]+ chars", r.markdown) for r in got.values())
+
+
+def test_forced_type_and_errors(spark):
+    c = tables.from_turns(spark.createDataFrame(seeds.TURNS[4:6], "conv_id long, turn long, role string, text string"))
+    doc = compress(c, "resume", force_type="research").collect()[0]
+    assert doc.type == "research" and "## Findings\n- " in doc.markdown
+    assert "https://example.org" in doc.markdown
+    with pytest.raises(ValueError):
+        compress(c, "huge")
+    with pytest.raises(ValueError):
+        compress(c, "tldr", force_type="poem")
+
+
+def test_empty_corpus(spark):
+    c = tables.from_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert compress(c, "resume").count() == 0
+
+
+def test_export_versions_and_choice(spark):
+    files = spark.createDataFrame(catalogue._EXPORTS, "file string, raw string")
+    c = exports.parse(files)
+    assert {r.conv_id: r.title for r in c.conversations.collect()} == {"t1": "Tree", "l1": "List"}
+    blocks = {(r.conv_id, r.msg_idx): r for r in c.messages.collect()}
+    assert blocks["l1", 2].blocks[0].version == 2 and blocks["l1", 2].attachments[0].type == "pdf"
+    assert blocks["t1", 1].attachments[0].filename == "image_1"
+    assert exports.pick(c, "t1").messages.count() == 2
+    assert [r.conv_id for r in exports.pick(c).conversations.collect()] == ["l1"]
+    listed = exports.list_conversations(files).collect()
+    assert [(r.id, r.message_count) for r in listed] == [("l1", 3), ("t1", 3)]
+
+
+def test_cycle_and_missing_parent(spark):
+    node = '{"parent":%s,"children":[],"message":{"id":"%s","author":{"role":"user"},"content":{"parts":["%s"]}}}'
+    raw = '{"conversation_id":"c","current_node":"b","mapping":{"a":%s,"b":%s}}' % (node % ('"b"', "a", "first"), node % ('"a"', "b", "second"))
+    c = exports.parse(spark.createDataFrame([("f", raw)], "file string, raw string"))
+    assert [r.message_id for r in c.messages.orderBy("msg_idx").collect()] == ["a", "b"]
+
+
+def test_share_page_decoding():
+    flat = share.flat_array('[{"_1":2},"hello",{"_3":4},"nested","value"]\nP5:[{}]\nbroken')
+    assert share.resolve(0, flat) == {"hello": {"nested": "value"}}
+    assert share.resolve(0, [[0]]) == [None]
+    found = share.conversation_in({"x": [{"serverResponse": {"data": {"mapping": {"a": {}}, "current_node": "a"}}}]})
+    assert found == {"mapping": {"a": {}}, "current_node": "a"}
+    assert share.repair_truncated('xx {"uuid":"1","created_at":"2024"}, {"uuid":"2","crea').count('"uuid"') == 2
+
+
+def test_stream_compresses_new_files(spark, tmp_path):
+    from skein.streaming import exports as stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(catalogue._LIST)
+    stream.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check", ("full",)).awaitTermination(120)
+    assert spark.read.parquet(f"file://{tmp_path}/out").select("conv_id").collect()[0][0] == "l1"
