@@ -56,7 +56,7 @@ class Projections:
         weight = np.random.default_rng(7).integers(1, 2**63, bundle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for t in range(tables):
             bins = np.floor((sketch[:, self.chosen[t]] + self.border[t]) / self.width).astype(np.int64).astype(np.uint64)
-            h = (bins * weight).sum(axis=1, dtype=np.uint64) + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15)
+            h = (bins * weight).sum(axis=1, dtype=np.uint64) + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             out[:, t] = h ^ (h >> np.uint64(29))
         return out
