@@ -147,7 +147,19 @@ def _count(buckets: int):
     return run
 
 
-PREFIXES = "uid long, doc_id long, n long, h1 long, h2 long, shared long, core long, rare array<long>, frequent array<long>"
+PREFIXES = "uid long, doc_id long, n long, h1 long, h2 long, shared long, core long, rare array<long>, frequent array<long>, mask array<long>"
+
+
+#: 64-bit words of the mask of a set's frequent shingles.
+MASK_WORDS = 8
+
+
+def _mask(keys: np.ndarray) -> np.ndarray:
+    """One bit for each key. A bit that only one of two masks has stands for a key that only that set has."""
+    bit = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6 - MASK_WORDS.bit_length() + 1)
+    words = np.zeros(MASK_WORDS, dtype=np.uint64)
+    np.bitwise_or.at(words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    return words.view(np.int64)
 
 
 def _prefixes(buckets: int):
@@ -167,24 +179,21 @@ def _prefixes(buckets: int):
         order = np.lexsort((keys, held, docs))
         docs, keys, held = docs[order], keys[order], held[order]
         ends = np.searchsorted(docs, np.arange(len(info) + 1))
-        rare, frequent = [], []
+        rare, frequent, masks = [], [], []
         for i, n in enumerate(info["n"].tolist()):
             a, z = int(ends[i]), int(ends[i + 1])
             take = n - least_overlap(n) + COMBINE - (n - (z - a))  # what the prefix still holds after the text's own shingles
-            z = min(z, a + take)
-            if n == 0 or z <= a:
-                rare.append([])
-                frequent.append([])
-                continue
-            cut = a + int(np.searchsorted(held[a:z], RARE, "right"))
+            end = max(a, min(z, a + take))
+            cut = a + int(np.searchsorted(held[a:end], RARE, "right"))
             rare.append(keys[a:cut])
-            frequent.append(keys[cut:z])
+            frequent.append(keys[cut:end])
+            masks.append(_mask(keys[cut:z]) if end > cut else None)
         uid = block // (1 << 32) << 42 | block % (1 << 32) << 12
         cols = [
             pa.array(uid + np.arange(len(info))), pa.array(info["id"], mask=~info["there"]), pa.array(info["n"].astype(np.int64)), pa.array(info["h1"]), pa.array(info["h2"]),
-            pa.array(np.diff(ends)), pa.array(np.bincount(docs[held > RARE], minlength=len(info))), pa.array(rare, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.int64())),
+            pa.array(np.diff(ends)), pa.array(np.bincount(docs[held > RARE], minlength=len(info))), pa.array(rare, pa.list_(pa.int64())), pa.array(frequent, pa.list_(pa.int64())), pa.array(masks, pa.list_(pa.int64())),
         ]
-        return pa.table(cols, names=["uid", "doc_id", "n", "h1", "h2", "shared", "core", "rare", "frequent"])
+        return pa.table(cols, names=["uid", "doc_id", "n", "h1", "h2", "shared", "core", "rare", "frequent", "mask"])
 
     return run
 
@@ -225,7 +234,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = packed.groupBy("bucket").applyInArrow(_count(1 << bits), COUNTED)
     texts = materialise(counted.groupBy("block").applyInArrow(_prefixes(1 << bits), PREFIXES), "prefixes")
 
-    grouped = texts.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("doc_id"), F.max("shared").alias("shared"), F.max("core").alias("core"), F.first("rare").alias("rare"), F.first("frequent").alias("frequent"))
+    grouped = texts.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("doc_id"), F.max("shared").alias("shared"), F.max("core").alias("core"), F.first("rare").alias("rare"), F.first("frequent").alias("frequent"), F.first("mask").alias("mask"))
     classes = materialise(grouped, "classes")
 
     dense = F.size("frequent") > MOST_COMBINED
@@ -236,11 +245,9 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.transform(F.when(~dense & (F.size("frequent") > 1), pairs_of).otherwise(F.array().cast("array<long>")), lambda x: F.struct(x.alias("key"), F.lit(1).alias("kind"))),
         F.transform("frequent", lambda x: F.struct(F.xxhash64(F.lit(2), x).alias("key"), F.lit(2).alias("kind"))),
     )
-    entries = mine.select("cls", "n", "shared", "core", "dense", "frequent", F.explode(keys).alias("e"))
+    entries = mine.select("cls", "n", "shared", "core", "dense", F.explode(keys).alias("e"))
     share = F.when(F.col("e.kind") == 0, F.col("shared")).otherwise(F.col("core"))
-    behind = F.col("core") - F.size(F.array_distinct("frequent"))  # frequent shingles after the prefix
-    held = F.when(F.col("e.kind") == 2, F.col("frequent"))
-    entries = entries.select("cls", "n", share.alias("shared"), (F.col("core") / F.col("n")).alias("common"), "dense", "e.key", "e.kind", behind.alias("behind"), held.alias("held"))
+    entries = entries.select("cls", "n", share.alias("shared"), (F.col("core") / F.col("n")).alias("common"), "dense", "e.key", "e.kind")
     order = F.struct(*(F.col(c).alias(c) for c in ("common", "cls", "n", "shared")))  # who has most in common with many leads
     heads = entries.groupBy("key").agg(F.count("*").alias("size"), F.max(order).alias("l")).filter("size > 1")
     heads = heads.select("key", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.shared").alias("lead_shared"))
@@ -282,7 +289,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(seen.join(up, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "components")
 
     # Round 2: a second leader from outside the first one's component.
-    rest = materialise(split_lists(placed(lists.select("key", "cls", "n", "shared", "common", "dense", "kind", "behind", "held", "lead"))), "open-lists")
+    rest = materialise(split_lists(placed(lists.select("key", "cls", "n", "shared", "common", "dense", "kind", "lead"))), "open-lists")
     if rest.take(1):
         first = labels.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
         apart = rest.join(first, "lead", "left").filter("component <> coalesce(lead_component, lead)")
@@ -293,13 +300,15 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if links2.take(1):
             labels = joined(links2, labels)
 
-        # Then all pairs that are still apart. A pair of a list of single frequent shingles is taken from the first list that both are
-        # in, and only if the shingles common to both prefixes and those behind one of them can make up a link.
+        # Then all pairs that are still apart. Where a pair shares frequent shingles alone, the masks tell how many of each it does not share.
         rest = materialise(split_lists(placed(rest.drop("component", "lead"))), "open-lists")
-        both = "array_intersect(held_a, held_b)"
-        once = f"(dense_a OR dense_b) AND {NUMERATOR + DENOMINATOR} * (size({both}) + greatest(behind_a, behind_b)) >= {NUMERATOR} * (n_a + n_b) AND xxhash64(2, array_min({both})) = key"
-        x, y = (rest.select("key", "kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "shared", "dense", "behind", "held", "component"))) for s in "ab")
-        still = x.join(y.drop("kind"), "key").filter("cls_a < cls_b AND component_a <> component_b").filter(_possible("n_a", "shared_a", "n_b", "shared_b")).filter(f"kind < 2 OR ({once})")
+        bits = classes.select("cls", *(F.get("mask", F.lit(i)).alias(f"m{i}") for i in range(MASK_WORDS)))
+        rest = rest.join(bits, "cls")
+        x, y = (rest.select("key", "kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "shared", "dense", "component", *(f"m{i}" for i in range(MASK_WORDS))))) for s in "ab")
+        alone = {s: " + ".join(f"bit_count(m{i}_{s} & ~m{i}_{t})" for i in range(MASK_WORDS)) for s, t in ("ab", "ba")}
+        close = _possible("n_a", f"(shared_a - ({alone['a']}))", "n_b", f"(shared_b - ({alone['b']}))")
+        met = x.join(y.drop("kind"), "key").filter("cls_a < cls_b AND component_a <> component_b").filter(_possible("n_a", "shared_a", "n_b", "shared_b"))
+        still = met.filter(f"kind = 0 OR ((kind = 1 OR dense_a OR dense_b) AND {close})")
         tried3 = still.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(tried.union(tried2), ["a", "b"], "left_anti")
         links3 = materialise(_verify(tried3, sets), "links")
         if links3.take(1):
