@@ -177,7 +177,7 @@ def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]])
             if len(kept) < KEPT_WORDS:
                 kept[w] = mine
         lists.append(mine)
-        single[i] = len(w) == 1 or len(w) == 2 and w[1] in SEPARATORS
+        single[i] = (w[0].isalnum() or w[0] in "@$") and (len(w) == 1 or len(w) == 2 and w[1] in SEPARATORS)
     size = np.array([len(x) for x in lists], dtype=np.int64)
     flat = np.array([h for x in lists for h in x], dtype=np.uint64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
