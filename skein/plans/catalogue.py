@@ -160,12 +160,13 @@ def always_keep_prefix(spark, sf_dir):
     return ranked.filter("first_pick").select("conv_id", F.col("ord").cast("long").alias("ord"), F.col("keep_rank").cast("long").alias("keep_rank"))
 
 
-@query()
+@query(f"WITH RECURSIVE {O.selected(fixed.BUDGET_CHARS['resume'])} SELECT conv_id, ord, message_id, role, kind, text, char_len, round(score, 6) AS score, always_keep FROM selected JOIN scored USING (conv_id, ord)")
 def select_candidates(spark, sf_dir):
-    return C.select(stage(_scored(spark, sf_dir), "scored"), fixed.BUDGET_CHARS["resume"]).select("conv_id", "ord", "message_id", "role", "kind", "text", "char_len", "score", "always_keep")
+    out = C.select(stage(_scored(spark, sf_dir), "scored"), fixed.BUDGET_CHARS["resume"])
+    return out.select("conv_id", F.col("ord").cast("long").alias("ord"), "message_id", "role", "kind", "text", F.col("char_len").cast("long").alias("char_len"), F.round("score", 6).alias("score"), "always_keep")
 
 
-@query()
+@query(f"WITH RECURSIVE {O.selected(fixed.BUDGET_CHARS['tldr'])} SELECT conv_id, count(*) FILTER (WHERE (conv_id, msg_idx) NOT IN (SELECT (conv_id, msg_idx) FROM selected JOIN scored USING (conv_id, ord))) AS dropped_messages FROM messages GROUP BY conv_id")
 def dropped_messages(spark, sf_dir):
     c = corpus(spark, sf_dir)
     scored = stage(C.score(C.extract(c.messages), types_of(c)), "scored")
@@ -331,9 +332,9 @@ def textrank_summary(spark, sf_dir):
     return textrank.summarize(rows, "message_id", "text", 3)
 
 
-@query()
+@query(f"WITH {O.TLDR} SELECT conv_id, type, input_chars, markdown, length(markdown)::INTEGER AS output_chars FROM tldr_documents")
 def render_tldr(spark, sf_dir):
-    return compress(corpus(spark, sf_dir), "tldr")
+    return compress(corpus(spark, sf_dir), "tldr").select("conv_id", "type", "input_chars", "markdown", "output_chars")
 
 
 @query()
@@ -341,9 +342,9 @@ def render_resume(spark, sf_dir):
     return compress(corpus(spark, sf_dir), "resume")
 
 
-@query()
+@query(f"WITH {O.FULL} SELECT conv_id, type, input_chars, markdown, length(markdown)::INTEGER AS output_chars FROM full_documents")
 def render_full(spark, sf_dir):
-    return compress(corpus(spark, sf_dir), "full")
+    return compress(corpus(spark, sf_dir), "full").select("conv_id", "type", "input_chars", "markdown", "output_chars")
 
 
 @query(f"WITH {O.MESSAGES}, r AS (SELECT conv_id, msg_idx, role, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM messages WHERE role IN ('user', 'assistant')) SELECT conv_id, msg_idx, role FROM r WHERE back <= 30")

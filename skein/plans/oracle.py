@@ -160,3 +160,43 @@ def plain(x: str) -> str:
 PLAIN = f"""{BLOCKS},
 plains AS (SELECT conv_id, msg_idx, any_value(role) AS role, string_agg({plain("text")}, ' ' ORDER BY block_idx) AS plain FROM blocks WHERE type = 'text' GROUP BY conv_id, msg_idx),
 sizes AS (SELECT conv_id, count(*) AS n FROM messages GROUP BY conv_id)"""
+
+
+def selected(budget: float) -> str:
+    """The greedy selection as a recursion over the ranks of a conversation."""
+    return f"""{SCORED},
+keeps AS (SELECT *, row_number() OVER w AS keep_rank, sum(char_len) OVER (w ROWS UNBOUNDED PRECEDING) AS cost FROM scored WHERE always_keep WINDOW w AS (PARTITION BY conv_id ORDER BY score DESC, ord)),
+firsts AS (SELECT conv_id, ord FROM keeps WHERE cost <= {budget * fixed.ALWAYS_KEEP_SHARE} OR keep_rank = 1),
+rest AS (SELECT s.*, row_number() OVER (PARTITION BY s.conv_id ORDER BY s.score / greatest(1.0, log10(s.char_len + 10)) DESC, coalesce(k.keep_rank, 0), s.ord) AS rank
+  FROM scored s LEFT JOIN keeps k USING (conv_id, ord) WHERE (s.conv_id, s.ord) NOT IN (SELECT (conv_id, ord) FROM firsts)),
+walk(conv_id, rank, used, msgs, ords) AS (
+  SELECT c.conv_id, 0::BIGINT, coalesce(sum(char_len) FILTER (WHERE f.ord IS NOT NULL), 0)::BIGINT, coalesce(list(c.msg_idx) FILTER (WHERE f.ord IS NOT NULL), []), coalesce(list(c.ord) FILTER (WHERE f.ord IS NOT NULL), [])
+  FROM scored c LEFT JOIN firsts f USING (conv_id, ord) GROUP BY c.conv_id
+  UNION ALL
+  SELECT conv_id, rank, CASE WHEN take THEN used + char_len ELSE used END, CASE WHEN take THEN list_append(msgs, msg_idx) ELSE msgs END, CASE WHEN take THEN list_append(ords, ord) ELSE ords END
+  FROM (SELECT w.conv_id, r.rank, w.used, w.msgs, w.ords, r.char_len, r.msg_idx, r.ord, w.used + r.char_len <= {budget} AND (r.score - {fixed.DIVERSITY_PENALTY} * len(list_filter(w.msgs, lambda m: m = r.msg_idx)) > 0 OR r.always_keep) AS take FROM walk w JOIN rest r ON r.conv_id = w.conv_id AND r.rank = w.rank + 1)),
+selected AS (SELECT conv_id, unnest(ords) AS ord FROM (SELECT conv_id, max_by(ords, rank) AS ords FROM walk GROUP BY conv_id))"""
+
+
+_SHOWN = "CASE WHEN type = 'code' THEN '```' || coalesce(language, '') || chr(10) || text || chr(10) || '```' ELSE text END"
+FULL = f"""{BLOCKS}, {signals_sql()}, {TYPED},
+shown AS (SELECT conv_id, msg_idx, CASE any_value(role) WHEN 'user' THEN '### User' WHEN 'assistant' THEN '### Assistant' ELSE '### ' || any_value(role) END || chr(10) || chr(10) || string_agg({_SHOWN}, chr(10) || chr(10) ORDER BY block_idx) AS t, sum(length(text)) AS n FROM blocks GROUP BY conv_id, msg_idx),
+bodies AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY msg_idx) AS body, sum(n)::BIGINT AS input_chars FROM shown GROUP BY conv_id),
+lead AS (SELECT conv_id, type, input_chars, '# Conversation' || chr(10) || chr(10) || '**Source:** chatgpt' || chr(10) || chr(10) || chr(10) || coalesce('## System' || chr(10) || system_prompt || chr(10) || chr(10), '') || body || chr(10) || chr(10) || '---' || chr(10)
+  || '*Generated by Skein. Compressed ' || format('{{:,}}', input_chars) || ' -> ' AS t FROM bodies JOIN types USING (conv_id) LEFT JOIN prompts USING (conv_id)),
+full_documents AS (SELECT conv_id, type, input_chars, t || format('{{:,}}', length(t) + length('0 chars.*') + 1) || ' chars.*' || chr(10) AS markdown FROM lead)"""
+
+_SENTENCES = sentences("t")
+TLDR = f"""{BLOCKS}, {signals_sql()}, {TYPED},
+spoken AS (SELECT conv_id, msg_idx, string_agg(text, ' ' ORDER BY block_idx) AS t FROM blocks WHERE role = 'user' AND type = 'text' GROUP BY conv_id, msg_idx),
+asked AS (SELECT conv_id, min(msg_idx) AS a, max(msg_idx) AS z FROM messages WHERE role = 'user' GROUP BY conv_id),
+firsts AS (SELECT asked.conv_id, {sentences("regexp_replace(t, '[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]+', ' ', 'g')")}[1:2] AS s FROM asked JOIN spoken ON spoken.conv_id = asked.conv_id AND msg_idx = a),
+lasts AS (SELECT asked.conv_id, {_SENTENCES}[1:2] AS s FROM asked JOIN spoken ON spoken.conv_id = asked.conv_id AND msg_idx = z),
+sizes AS (SELECT conv_id, sum(length(text))::BIGINT AS input_chars FROM blocks GROUP BY conv_id),
+tails AS (SELECT conv_id, type, input_chars, coalesce(CASE WHEN length(system_prompt) >= 60 THEN '## Context' || chr(10) || system_prompt || chr(10) || chr(10) END, '')
+  || coalesce(CASE len(f.s) WHEN 1 THEN '## Goal' || chr(10) || f.s[1] || chr(10) || chr(10) WHEN 2 THEN '## Goal' || chr(10) || '- ' || f.s[1] || chr(10) || '- ' || f.s[2] || chr(10) || chr(10) END, '')
+  || coalesce(CASE WHEN len(l.s) > 0 THEN '## Next steps' || chr(10) || array_to_string(l.s, ' ') || chr(10) || chr(10) END, '') || '---' || chr(10) || '*Generated by Skein.*' || chr(10) AS t
+  FROM sizes JOIN types USING (conv_id) LEFT JOIN prompts USING (conv_id) LEFT JOIN firsts f USING (conv_id) LEFT JOIN lasts l USING (conv_id)),
+firstly AS (SELECT *, '# Conversation Handoff' || chr(10) || chr(10) || '**Source:** chatgpt | **Type:** ' || type || ' | **' AS h, ' ' || format('{{:,}}', input_chars) || ' -> ' AS m, ' chars**' || chr(10) || chr(10) || t AS e FROM tails),
+sized AS (SELECT *, length(h || 'Compressed' || m || '0' || e) AS n FROM firstly),
+tldr_documents AS (SELECT conv_id, type, input_chars, h || CASE WHEN n <= input_chars THEN 'Compressed' ELSE 'Restructured' END || m || format('{{:,}}', n) || e AS markdown FROM sized)"""
