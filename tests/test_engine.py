@@ -157,3 +157,51 @@ def test_stream_compresses_new_files(spark, tmp_path):
     (tmp_path / "in/a.json").write_text(catalogue._LIST)
     stream.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check", ("full",)).awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").select("conv_id").collect()[0][0] == "l1"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from skein.__main__ import main
+
+    (tmp_path / "a.json").write_text(catalogue._TREE)
+    (tmp_path / "b.json").write_text("{broken")
+    assert main([f"file://{tmp_path}", "--level", "full"]) == 1
+    out = capsys.readouterr().out
+    assert "isn't valid JSON" in out and "# Tree" in out and "```sql\nselect 1\n```" in out
+    assert main([f"file://{tmp_path}/a.json", "--list"]) == 0
+    assert "t1\t" in capsys.readouterr().out
+
+
+def test_plans_and_lists(spark):
+    turns = [
+        (1, 0, "user", "Outline the work please."),
+        (1, 1, "assistant", "Here it is:\n\nPhase 1 - Collect the data\nstep 2: ignored\nPhase 2: Train the model"),
+        (2, 0, "assistant", "Nothing planned."),
+    ]
+    from skein.operators import recency
+
+    c = tables.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: [tuple(p) for p in r.plan] for r in recency.structured_plan(c.messages).collect()}
+    assert got == {1: [("Phase 1", "Collect the data"), ("Phase 2", "Train the model")]}
+
+
+def test_sentence_ranking(spark):
+    from skein.operators import textrank
+
+    rows = spark.createDataFrame([("a", "Cats chase mice. Mice fear cats. The weather is fine today. Cats and mice live here."), ("b", "Single one."), ("c", "")], "k string, t string")
+    got = {r.k: r.summary for r in textrank.summarize(rows, "k", "t", 2).collect()}
+    assert got["b"] == "Single one." and "weather" not in got["a"] and "c" not in got
+    scores = {(r.k, r.idx): r.score for r in textrank.rank(rows, "k", "t").collect()}
+    assert scores["b", 0] == 1 and scores["a", 2] < scores["a", 0]
+
+
+def test_artifacts(spark):
+    from skein.operators import artifacts
+    from skein.sources.exports import parse
+
+    code = "\\n".join(["class Harbor:", *[f"    x{i} = {i}" for i in range(45)]])
+    say = lambda i, who, text: f'{{"uuid":"{i}","sender":"{who}","content":[{{"type":"text","text":"{text}"}}]}}'
+    raw = '{"uuid":"z","name":"n","chat_messages":[%s]}' % ",".join([say(1, "human", "see harbor_model.py"), say(2, "assistant", f"```python\\n{code}\\n```"), say(3, "human", "ok"), say(4, "assistant", "```\\n" + "\\n".join("y" for _ in range(41)) + "\\n```")])
+    got = artifacts.summarize(parse(spark.createDataFrame([("f", raw)], "file string, raw string")).messages).orderBy("ord").collect()
+    assert [(r.display_name, r.description, r.language, r.loc, r.anonymous) for r in got] == [("harbor_model.py", "Python module, defines `Harbor`, 46 LOC", "python", 46, False), ("inline code #3", "Code module, 41 LOC", "code", 41, True)]
+    section = artifacts.section(artifacts.summarize(parse(spark.createDataFrame([("f", raw)], "file string, raw string")).messages)).collect()[0].artifacts_section
+    assert section.startswith("## Code artifacts in this conversation\n- `harbor_model.py` - Python module, defines `Harbor`, 46 LOC\n\n```python\nclass Harbor:")
