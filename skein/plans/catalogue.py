@@ -119,6 +119,19 @@ def measure_text(spark, sf_dir):
     return seeds.turns(spark, sf_dir).select("conv_id", "turn", T.tokens_estimate(t).alias("tokens"), T.lines(t).alias("lines"), T.looks_like_header(t).alias("header"), F.round(T.url_ratio(t), 9).alias("url_ratio"), T.slugify(t).alias("slug"))
 
 
+@query(f"""WITH {O.TURNS} SELECT conv_id, turn, regexp_replace(regexp_replace('```py' || chr(10) || text || chr(10) || '```', '^```[\\w-]*\\n?', ''), '\\n?```\\s*$', '') AS unfenced, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS two_lines, len(string_split(text, chr(10))) > 2 AS cut,
+  CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substr(text, 1, 57), '\\s\\S*$', '') || '...' END AS short, regexp_replace({O.ws("regexp_replace(text, '\\s+', ' ', 'g')")}, '^[-*]\\s*', '') AS bullet,
+  contains(lower(text), 'the') AS found, CASE WHEN regexp_matches(c, '^[^.!?\\n]{{8,180}}') THEN {O.ws("regexp_extract(c, '^[^.!?\\n]{8,180}[.!?]?')")} ELSE {O.ws("substr(c, 1, 120)")} END AS first_sentence
+  FROM (SELECT *, {O.ws("regexp_replace(text, '\\s+', ' ', 'g')")} AS c FROM turns)""")
+def shorten_text(spark, sf_dir):
+    t = F.col("text")
+    two = T.truncate_lines(t, 2)
+    return seeds.turns(spark, sf_dir).select(
+        "conv_id", "turn", T.strip_code_fences(F.concat(F.lit("```py\n"), t, F.lit("\n```"))).alias("unfenced"), two["text"].alias("two_lines"), two["truncated"].alias("cut"),
+        T.cut_words(t, 60, 57).alias("short"), T.bullet(t).alias("bullet"), F.contains(F.lower(t), F.lit("the")).alias("found"), T.first_sentence(t).alias("first_sentence"),
+    )
+
+
 # Classification, candidates, scores
 
 
@@ -182,15 +195,15 @@ texts AS (SELECT conv_id, msg_idx, string_agg(CASE WHEN type = 'text' THEN {O.pl
 cut AS (SELECT conv_id, msg_idx, regexp_extract_all(t, '([^A-Za-z]*)([A-Za-z][A-Za-z0-9_-]*)', 1) AS gs, regexp_extract_all(t, '([^A-Za-z]*)([A-Za-z][A-Za-z0-9_-]*)', 2) AS ws FROM texts),
 words AS (SELECT c.conv_id, c.msg_idx, u.i, u.gap, u.word, u.i = 0 OR regexp_matches(u.gap, '[.!?]\\s*$|\\n') AS at_start FROM cut c, LATERAL (SELECT unnest(gs) AS gap, unnest(ws) AS word, unnest(range(len(ws))) AS i) u),
 seen AS (SELECT *, bool_or(NOT at_start) OVER (PARTITION BY conv_id, msg_idx, word) AS inside, word[1:1] BETWEEN 'A' AND 'Z' AS cap FROM words),
-entries AS (SELECT conv_id, msg_idx, 0 AS class, word AS term FROM seen WHERE length(word) >= 3 AND cap AND word NOT IN ({_CAPITAL}) AND (word = upper(word) OR NOT at_start OR inside)
-  UNION ALL SELECT conv_id, msg_idx, 1, lower(word) FROM seen WHERE length(word) >= 4 AND lower(word) NOT IN ({_COMMON}) AND (cap AND word NOT IN ({_CAPITAL}) OR NOT cap AND regexp_matches(word, '^[a-z0-9_-]+$'))),
+entries AS (SELECT conv_id, msg_idx, i, 0 AS class, word AS term FROM seen WHERE length(word) >= 3 AND cap AND word NOT IN ({_CAPITAL}) AND (word = upper(word) OR NOT at_start OR inside)
+  UNION ALL SELECT conv_id, msg_idx, i, 1, lower(word) FROM seen WHERE length(word) >= 4 AND lower(word) NOT IN ({_COMMON}) AND (cap AND word NOT IN ({_CAPITAL}) OR NOT cap AND regexp_matches(word, '^[a-z0-9_-]+$'))),
 pairs AS (SELECT conv_id, msg_idx, i, word AS a, lead(word) OVER w AS b, lead(gap) OVER w AS g FROM words WINDOW w AS (PARTITION BY conv_id, msg_idx ORDER BY i)),
 fit AS (SELECT *, lower(a) || ' ' || lower(b) AS pair FROM pairs WHERE length(a) >= 3 AND length(b) >= 3 AND NOT regexp_matches(g, '[.!?\\n]') AND lower(a) NOT IN ({_COMMON}) AND lower(b) NOT IN ({_COMMON}) AND a NOT IN ({_CAPITAL}) AND b NOT IN ({_CAPITAL})
   AND (a[1:1] BETWEEN 'A' AND 'Z' OR b[1:1] BETWEEN 'A' AND 'Z' OR regexp_matches(a, '^[a-z]+$') AND regexp_matches(b, '^[a-z]+$'))),
-counts AS (SELECT conv_id, class, term, count(*) AS count, count(DISTINCT msg_idx) AS messages FROM entries GROUP BY ALL
-  UNION ALL SELECT conv_id, 2, min_by(a || ' ' || b, msg_idx * 1000000 + i), count(*), count(DISTINCT msg_idx) FROM fit GROUP BY conv_id, pair),
+counts AS (SELECT conv_id, class, term, count(*) AS count, count(DISTINCT msg_idx) AS messages, min(msg_idx * 1000000 + i) AS seen FROM entries GROUP BY conv_id, class, term
+  UNION ALL SELECT conv_id, 2, min_by(a || ' ' || b, msg_idx * 1000000 + i), count(*), count(DISTINCT msg_idx), min(msg_idx * 1000000 + i) FROM fit GROUP BY conv_id, pair),
 n AS (SELECT conv_id, count(*) AS n FROM messages GROUP BY conv_id),
-weighed AS (SELECT conv_id, class, term, count, messages, messages / n AS spread, count * (CASE class WHEN 0 THEN 0.4 + 0.6 * messages / n WHEN 1 THEN 0.3 + 0.5 * messages / n ELSE 0.5 + 0.7 * messages / n END) AS weight
+weighed AS (SELECT conv_id, class, term, count, messages, seen, messages / n AS spread, count * (CASE class WHEN 0 THEN 0.4 + 0.6 * messages / n WHEN 1 THEN 0.3 + 0.5 * messages / n ELSE 0.5 + 0.7 * messages / n END) AS weight
   FROM counts JOIN n USING (conv_id) WHERE class = 0 AND count >= 2 AND messages >= 2 OR class = 1 AND count >= 5 AND messages >= 3 OR class = 2 AND count >= 3 AND messages >= 2)"""
 
 
@@ -199,12 +212,59 @@ def identity_terms(spark, sf_dir):
     return identity.all_terms(_messages(spark, sf_dir)).select("conv_id", "class", "term", "count", "messages", F.round("spread", 9).alias("spread"), F.round("weight", 9).alias("weight"))
 
 
+_TOP = f"""{_WORDS},
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, class, seen) AS rank FROM weighed),
+familiar AS (SELECT conv_id, list(lower(term) ORDER BY rank) AS terms FROM top WHERE rank <= 12 GROUP BY conv_id)"""
+
+
+@query(f"WITH {_TOP} SELECT conv_id, rank, term FROM top WHERE rank <= 12")
+def identity_top_terms(spark, sf_dir):
+    return identity.top_terms(identity.all_terms(_messages(spark, sf_dir))).select("conv_id", F.col("rank").cast("long").alias("rank"), "term")
+
+
+@query(f"""WITH {_TOP}, names AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, seen) AS r FROM weighed WHERE class = 0 AND spread >= 0.02)
+SELECT conv_id, term AS project_name, CASE WHEN term IS NULL THEN 'low' WHEN count >= 10 AND messages >= 5 THEN 'high' WHEN count >= 4 AND messages >= 3 THEN 'medium' ELSE 'low' END AS confidence
+  FROM (SELECT DISTINCT conv_id FROM known_ids) LEFT JOIN (SELECT * FROM names WHERE r = 1) USING (conv_id)""".replace("known_ids", "turns WHERE role IN ('user', 'assistant', 'system', 'tool')"))
+def project_name(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return identity.identity(c.conversations, c.messages).select("conv_id", "project_name", "confidence")
+
+
 @query()
 def project_identity(spark, sf_dir):
     c = corpus(spark, sf_dir)
     return identity.identity(c.conversations, c.messages).select("conv_id", "project_name", "project_line", "confidence", "recent_focus_line", "recent_blocks")
 
 
+_NEGATED = fixed.NEGATION.replace("(?!", "(?:")
+
+
+def _decided(pattern: str) -> str:
+    """Whether s matches; a pattern that forbids a negation is tried without that and with a negation required."""
+    if fixed.NEGATION not in pattern:
+        return O.like("s", pattern)
+    return f"({O.like('s', pattern.replace(fixed.NEGATION, ''))} AND NOT {O.like('s', pattern.replace(fixed.NEGATION, _NEGATED))})"
+
+
+_NAMES = "list_filter(regexp_extract_all(regexp_replace(s, '^[\\s\"''(\\[]+', ''), '[A-Za-z][A-Za-z0-9_-]*')[2:], lambda w: length(w) >= 3 AND w[1:1] BETWEEN 'A' AND 'Z' AND w NOT IN ({})))".format(", ".join(map(O.q, fixed.PRONOUN_LIKE)))
+_NAMES = "len(" + _NAMES
+
+
+@query(f"""WITH {_TOP},
+split AS (SELECT conv_id, msg_idx, block_idx, message_id, role, list_filter(list_transform(string_split_regex(regexp_replace({O.plain("text")}, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30) || '|\\n+'), lambda x: {O.ws("x")}), lambda x: x <> '') AS ss FROM blocks WHERE type = 'text'),
+said AS (SELECT d.conv_id, d.msg_idx, d.block_idx, d.message_id, d.role, u.s, u.i, coalesce(terms[1:5], []) AS ks FROM split d LEFT JOIN familiar USING (conv_id), LATERAL (SELECT unnest(d.ss) AS s, unnest(range(len(d.ss))) AS i) u),
+shaped AS (SELECT *, len(list_filter(ks, lambda t: contains(lower(s), t))) > 0 AS names FROM said WHERE length(s) BETWEEN 25 AND 300 AND NOT starts_with(s, '#') AND NOT ends_with(s, '?') AND NOT regexp_matches(s, ':\\s*$')
+  AND NOT {O.like("s", fixed.PROPOSAL)} AND NOT {O.like("s", fixed.INSTRUCTION_LEAD)} AND NOT {O.like("s", fixed.NARRATION_LEAD)} AND NOT {O.header("s")} AND regexp_matches(s, '[a-zA-Z]')
+  AND NOT ({O.like("s", fixed.FRAGMENT_LEAD)} AND NOT {O.like("s[1:80]", fixed.FRAGMENT_SUBJECT)}) AND NOT ({O.like("s", fixed.HYPOTHETICAL_LEAD)} AND {O.like("s", fixed.HYPOTHETICAL_VERB)})),
+strong AS (SELECT *, CASE WHEN {_decided(fixed.HARD_DECISION)} THEN 3 WHEN {_decided(fixed.DECISION_TRADEOFF)} THEN 2.5 WHEN {_decided(fixed.SOFT_COMMIT)} THEN 2 WHEN role = 'assistant' AND {_decided(fixed.RECOMMEND)} THEN 1.5 ELSE 0 END AS base
+  FROM shaped WHERE len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) >= 8 OR names OR {_NAMES} > 0)
+SELECT conv_id, msg_idx, s AS text, round(msg_idx / greatest(1, n - 1), 9) AS position, round(base + CASE WHEN names THEN 0.3 ELSE 0 END + 0.5 * msg_idx / greatest(1, n - 1), 9) AS strength, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx, block_idx, i) AS ord FROM strong JOIN n USING (conv_id) WHERE base > 0""")
+def decision_sentences(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    found = decisions.find(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
+    return found.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "text", F.round("position", 9).alias("position"), F.round("strength", 9).alias("strength"), F.col("ord").cast("long").alias("ord"))
+
+
 @query()
 def extract_decisions(spark, sf_dir):
     c = corpus(spark, sf_dir)
@@ -212,10 +272,23 @@ def extract_decisions(spark, sf_dir):
     return decisions.extract(c.messages, who).select("conv_id", F.posexplode("decisions").alias("i", "d")).select("conv_id", "i", "d.*")
 
 
-@query()
+def _cut(t: str, most: int) -> str:
+    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE regexp_replace(substr({t}, 1, {most - 1}), '\\s\\S*$', '') || '...' END"
+
+
+@query(f"""WITH {_TOP},
+tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM messages WHERE role IN ('user', 'assistant')) WHERE back <= 30),
+told AS (SELECT conv_id, msg_idx, coalesce({O.ws(f"regexp_replace(string_agg({O.plain('text')}, ' ' ORDER BY block_idx) FILTER (WHERE type = 'text'), '\\s+', ' ', 'g')")}, '') AS whole, bool_or(type = 'code') AS had_code FROM blocks GROUP BY conv_id, msg_idx),
+parted AS (SELECT t.conv_id, t.msg_idx, t.role, whole, had_code, coalesce(terms, []) AS ks, list_filter({O.sentences('whole')}, lambda x: NOT {O.header('x')}) AS ss FROM tail t JOIN told USING (conv_id, msg_idx) LEFT JOIN familiar ON familiar.conv_id = t.conv_id),
+picked AS (SELECT *, CASE WHEN role = 'user' THEN CASE WHEN len(ss) <= 3 THEN ss WHEN ss[-1] = ss[2] THEN ss[1:2] ELSE ss[1:2] || ss[-1:] END ELSE (ss[1:2] || list_filter(ss[3:], lambda x: len(list_filter(ks, lambda k: contains(lower(x), k))) > 0))[1:4] END AS p FROM parted),
+joined AS (SELECT *, array_to_string(p, ' ') || CASE WHEN had_code THEN ' [+ code, see artifacts]' ELSE '' END AS t FROM picked),
+lines AS (SELECT conv_id, msg_idx, role, had_code, CASE WHEN whole = '' THEN CASE WHEN had_code THEN '[code only - see artifacts]' ELSE '' END WHEN len(ss) = 0 THEN {_cut('whole', 240)} ELSE {_cut('t', 400)} END AS text FROM joined),
+costs AS (SELECT *, sum(length(text) + 20) OVER w AS c, row_number() OVER w AS r FROM lines WINDOW w AS (PARTITION BY conv_id ORDER BY msg_idx DESC))
+SELECT conv_id, msg_idx, role, text, had_code FROM costs WHERE c <= 3500 OR r <= 2""")
 def recent_snippets(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return recency.snippets(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
+    out = recency.snippets(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
+    return out.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "role", "text", "had_code")
 
 
 @query(f"""WITH {O.BLOCKS}, costs AS (SELECT conv_id, msg_idx, sum(length(text) + 20) OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS r FROM (SELECT conv_id, msg_idx, string_agg(text, ' ' ORDER BY block_idx) AS text FROM blocks GROUP BY conv_id, msg_idx))
@@ -323,6 +396,19 @@ def parse_exports(spark, sf_dir):
     return M.blocks(exports.parse(_exports(spark)).messages).select("conv_id", "msg_idx", "role", "block_idx", "type", "language", "text", "summary")
 
 
+_LISTED = [("a", "t1", "Tree", 3), ("b", "l1", "List", 3)]
+
+
+@query(f"SELECT * FROM (VALUES {seeds.values(_LISTED)}) v(file, id, title, message_count)")
+def list_exports(spark, sf_dir):
+    return exports.list_conversations(_exports(spark)).select("file", "id", "title", "message_count")
+
+
+@query("SELECT 'b' AS file, 'l1' AS uuid")
+def extract_export(spark, sf_dir):
+    return exports.extract_raw(_exports(spark).filter("file <> 'x'"), "l1").select("file", F.get_json_object("json", "$.uuid").alias("uuid"))
+
+
 # Summaries and documents
 
 
