@@ -229,6 +229,8 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = df.sparkSession
     rows = df.selectExpr(f"cast(`{id_col}` AS long) AS doc_id", f"`{text_col}` AS text")
     size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # rows that are in no file have no known size
+        size = (rows.select(F.sum(F.octet_length("text"))).first()[0] or 0) / 1.7
     bits = min(16, max(6, math.ceil(math.log2(max(1.0, size / 3.5 / BUCKET_SHINGLES)))))
     packed = _pack(rows, bits)
     counted = packed.groupBy("bucket").applyInArrow(_count(1 << bits), COUNTED)

@@ -153,7 +153,7 @@ def redact(df: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame
             out.append(t)
         cols["text"] = pa.array(out, pa.string())
         if "n_chars" in cols:
-            cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+            cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], cols["n_chars"].type)
         return pa.record_batch(list(cols.values()), list(cols))
 
-    return clean.unionByName(map_arrow(marked, run, schema.simpleString()[7:-1]))
+    return clean.unionByName(map_arrow(marked, run, schema))

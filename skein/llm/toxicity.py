@@ -295,4 +295,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         s = logistic(model.margins(*extract(b.column(b.schema.get_field_index("text")), model.characters, kept)))
         return b.filter(pa.array(s < 0.7))
 
-    return map_arrow(docs, run, docs.schema.simpleString()[7:-1])
+    return map_arrow(docs, run, docs.schema)

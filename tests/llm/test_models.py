@@ -256,3 +256,15 @@ def test_pipeline_stages(spark):
     out = P.encode(spark, mixed, SF)
     assert out.count() == mixed.count() == P.run(spark, SF).count()
     assert out.filter("length(ids) <> 4 * n_tokens").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from skein.llm import secrets
+
+    rows = [(1, "some clean text here", "a", 20, 1.5, None), (2, "token=abcdefgh", None, 14, None, [1]), (None, None, "b", None, 2.0, []), (1, "some clean text here", "a", 20, 1.5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, `odd name, of: it` double, score array<int>")
+    assert toxicity.keep_clean(df, table(spark, "labels")).schema == df.schema
+    hidden = secrets.redact(df, secrets.scan_once(df))
+    assert hidden.schema == df.schema and sorted(r.n_chars or 0 for r in hidden.collect()) == [0, 8, 20, 20]
+    assert ngram_join.keep_one(df).schema == df.schema and ngram_join.keep_one(df).count() == 3
+    assert mixing.draw(df, mixing.Target(repeats=2.0, budget=None)).schema == df.schema
