@@ -15,6 +15,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, texts
 
-#: Distinct stretches of text whose tokens a worker keeps.
-KEPT_WORDS = 300_000
+#: Distinct stretches of text, and words, whose tokens a worker keeps: those it meets first, so the frequent ones.
+KEPT_WORDS = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -180,23 +181,25 @@ class BacktrackingBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, spelled = self.known, self.spelled
+        known = self.known
         chunks = self.words.chunks(text)
-        new = [c for c in chunks if c not in known]
-        if new:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                spelled.clear()
-                new = chunks
-            for c in new:
-                if c in known:
-                    continue
-                words = self.words.split(c) if isinstance(c, str) else []
-                for w in words:
-                    if w not in spelled:
-                        spelled[w] = np.array(self.word(w), dtype="<u4").tobytes()
-                known[c] = b"".join([spelled[w] for w in words]) if isinstance(c, str) else struct.pack("<I", c)
-        return b"".join([known[c] for c in chunks])
+        rare = {c: self._chunk(c) for c in chunks if c not in known}
+        if rare and len(known) < KEPT_WORDS:
+            known.update(rare)
+        return b"".join([known[c] if c in known else rare[c] for c in chunks])
+
+    def _chunk(self, chunk: str | int) -> bytes:
+        if isinstance(chunk, int):
+            return struct.pack("<I", chunk)
+        spelled, out = self.spelled, []
+        for w in self.words.split(chunk):
+            ids = spelled.get(w)
+            if ids is None:
+                ids = array("I", self.word(w)).tobytes()
+                if len(spelled) < KEPT_WORDS:
+                    spelled[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens' spellings with single spaces between them, as a tokenizer without a decoder gives."""

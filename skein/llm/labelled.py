@@ -25,17 +25,22 @@ def training_labels(labels: DataFrame, label: str, most: int = MAX_TRAINING) ->
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def collect_features(docs: DataFrame, labels: DataFrame, extract, dtype: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sample's features and labels on the driver. extract(texts array) gives one numpy array per text; the sample's bound bounds them."""
+def collect_features(docs: DataFrame, labels: DataFrame, extract, dtype: str | np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, features, labels) of the sample on the driver, by doc_id. extract(texts array) gives one numpy array per text; the sample's bound bounds them."""
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "y")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([b.column("doc_id"), b.column("y"), pa.array([x.tobytes() for x in extract(b.column("text"))], pa.binary())], ["doc_id", "y", "features"])
 
-    got = map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, features binary").toArrow()
-    order = np.argsort(np.array(got["doc_id"].to_pylist(), dtype=np.int64), kind="stable")
-    features, y = got["features"].to_pylist(), got["y"].to_pylist()
-    return [np.frombuffer(features[i], dtype=dtype) for i in order], np.array([y[i] for i in order], dtype=np.float64)
+    got = map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, features binary").toArrow().sort_by("doc_id")
+    packed, y = got["features"].combine_chunks(), got["y"].to_numpy().astype(np.float64)
+    if not len(y):
+        return np.zeros(1, np.int64), np.zeros(0, dtype), y
+    packed = packed.cast(pa.large_binary()) if isinstance(packed, pa.Array) else packed.chunk(0).cast(pa.large_binary())
+    _, places, data = packed.buffers()
+    places = np.frombuffer(places, dtype="<i8")[packed.offset : packed.offset + len(packed) + 1]
+    flat = np.frombuffer(data, dtype=np.uint8)[places[0] : places[-1]].tobytes() if data is not None else b""
+    return (places - places[0]) // np.dtype(dtype).itemsize, np.frombuffer(flat, dtype=dtype), y
 
 
 def logistic(z):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, segment_sums, word_table
+from .common import give_back, map_arrow, segment_sums, word_table
 from .labelled import collect_features, held_out, logistic, training_labels
 
 #: Bins of hashed words, bins of each statistic, rank of the interactions, passes over the sample.
@@ -104,7 +104,7 @@ class FactorisationMachine:
         return self.bias + s[:, 0] + 0.5 * (s[:, 1 : 1 + k] ** 2 - s[:, 1 + k :]).sum(axis=1)
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, seed: int = 1) -> FactorisationMachine:
+def fit(base: np.ndarray, features: np.ndarray, y: np.ndarray, seed: int = 1) -> FactorisationMachine:
     """Stochastic gradient steps on the log loss with a step size for each weight (AdaGrad)."""
     rng = np.random.default_rng(seed)
     n = WORD_BINS + STAT_BINS * 64
@@ -116,7 +116,8 @@ def fit(features: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Factorisati
     bias, rate_step, shrink = float(np.log(rate / (1 - rate))), 0.1, 2e-5
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            b, v = features[i]["bin"], features[i]["value"].astype(np.float64)
+            x = features[base[i] : base[i + 1]]
+            b, v = x["bin"], x["value"].astype(np.float64)
             f = factors[b]
             vx = f * v[:, None]
             s = vx.sum(axis=0)
@@ -132,7 +133,9 @@ def fit(features: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Factorisati
 
 
 def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
-    return fit(*collect_features(docs, training_labels(labels, "quality"), split, FEATURE))
+    model = fit(*collect_features(docs, training_labels(labels, "quality"), split, FEATURE))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:

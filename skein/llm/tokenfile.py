@@ -36,7 +36,7 @@ from .common import bounded_batches, null_first, shared_folder, texts
 # Fixed values of the public seekable format: skippable frame numbers and the footer's magic.
 SKIP_SEEK, SKIP_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Ids in a frame before it is closed, ids in a file before the next one is begun, stretches of text whose ids a worker keeps.
-FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 300_000
+FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 150_000
 
 
 class LibraryEncoder:
@@ -59,21 +59,27 @@ class LibraryEncoder:
         self.spelled: dict[str | int, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        known, spelled, split = self.known, self.spelled, self.words.split
-        if len(known) > KEPT_WORDS:
-            known.clear()
-            spelled.clear()
-        lists = [self.words.chunks(t) for t in batch]
-        for c in {c for chunks in lists for c in chunks if c not in known}:
-            if isinstance(c, int):
-                known[c] = struct.pack("<I", c)
-                continue
-            words = split(c)
-            for w in words:
-                if w not in spelled:
-                    spelled[w] = self.word(w)
-            known[c] = spelled[words[0]] if len(words) == 1 else b"".join([spelled[w] for w in words])
-        return [b"".join([known[c] for c in chunks]) for chunks in lists]
+        known, out = self.known, []
+        for t in batch:
+            chunks = self.words.chunks(t)
+            rare = {c: self._chunk(c) for c in chunks if c not in known}
+            if rare and len(known) < KEPT_WORDS:
+                known.update(rare)
+            out.append(b"".join([known[c] if c in known else rare[c] for c in chunks]))
+        return out
+
+    def _chunk(self, chunk: str | int) -> bytes:
+        if isinstance(chunk, int):
+            return struct.pack("<I", chunk)
+        spelled, out = self.spelled, []
+        for w in self.words.split(chunk):
+            ids = spelled.get(w)
+            if ids is None:
+                ids = self.word(w)
+                if len(spelled) < KEPT_WORDS:
+                    spelled[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def word(self, word: str) -> bytes:
         """A prepared word's ids by the library's model, which reads a visible letter for each byte; printable ASCII stands for itself."""

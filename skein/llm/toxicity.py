@@ -228,24 +228,26 @@ LEAST_TEXTS, LEAST_Z = 3, 3.5
 STEPS, SHRINK = 3000, 2e-7
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, characters: CharacterModel) -> ToxicityModel:
+def fit(base: np.ndarray, features: np.ndarray, y: np.ndarray, characters: CharacterModel) -> ToxicityModel:
     none = np.zeros(0)
     pos, neg = y.sum(), (1 - y).sum()
-    if not pos or not neg:
+    if not pos or not neg or not len(features):
         return ToxicityModel(characters, none.astype(np.uint64), none, -3.0)
-    flat = np.concatenate(features)
-    label = np.repeat(y, [len(x) for x in features])
-    names, index = np.unique(flat, return_inverse=True)
-    n1, n0 = np.bincount(index, weights=label), np.bincount(index, weights=1 - label)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(base))
+    order = np.argsort(features, kind="stable")
+    row, names = row[order], features[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    n = np.diff(np.concatenate([starts, [len(names)]]))
+    n1 = np.add.reduceat(y[row], starts)
+    n0 = n - n1
     odds = np.log((n1 + 0.5) / (pos - n1 + 0.5)) - np.log((n0 + 0.5) / (neg - n0 + 0.5))
     error = np.sqrt(1 / (n1 + 0.5) + 1 / (pos - n1 + 0.5) + 1 / (n0 + 0.5) + 1 / (neg - n0 + 0.5))
     good = (n1 >= LEAST_TEXTS) & (odds > 0) & (odds / error >= min(LEAST_Z, 0.85 * float((odds / error).max())))
     chosen = np.flatnonzero(good)
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    column = place[index]
-    row = np.repeat(np.arange(len(y)), [len(x) for x in features])
-    row, column = row[column >= 0], column[column >= 0]
+    row = np.concatenate([row[:0], *(row[starts[k] : starts[k] + n[k]] for k in chosen)])
+    column = np.repeat(np.arange(len(chosen)), n[chosen])
+    names = names[starts[chosen]]
     w, bias = np.zeros(len(chosen)), float(np.log(pos / neg))
     seen_w, seen_b = np.full(len(chosen), 1e-3), 1e-3
     for _ in range(STEPS):  # whole-sample steps on the log loss, weights kept non-negative and drawn to 0
@@ -257,7 +259,7 @@ def fit(features: list[np.ndarray], y: np.ndarray, characters: CharacterModel) -
         w = np.maximum(w - 0.3 * gw / np.sqrt(seen_w), 0)
         bias -= 0.1 * g.sum() / np.sqrt(seen_b)
     used = w > 0.02
-    return ToxicityModel(characters, names[chosen][used], w[used], bias)
+    return ToxicityModel(characters, names[used], w[used], bias)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -267,7 +269,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         base, hashed = extract(column, characters, {})
         return [hashed[a:z] for a, z in zip(base[:-1], base[1:], strict=True)]
 
-    return fit(*collect_features(docs, training_labels(labels, "toxic"), split, "<u8"), characters)
+    model = fit(*collect_features(docs, training_labels(labels, "toxic"), split, "<u8"), characters)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
