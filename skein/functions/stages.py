@@ -6,6 +6,7 @@ This keeps such results from being computed for each reader, keeps plans small,
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """stage() for tables that do not depend on one another, planned and run side by side."""
+    with ThreadPoolExecutor(min(8, len(tables))) as pool:
+        return dict(zip(tables, pool.map(lambda kv: stage(kv[1], kv[0]), tables.items()), strict=True))

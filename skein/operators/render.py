@@ -10,7 +10,7 @@ from ..functions import attachments as A
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import like
-from ..functions.stages import stage
+from ..functions.stages import stage, stage_all
 from ..sources.tables import Corpus
 from . import artifacts, decisions, identity, recency
 from .messages import input_chars
@@ -65,16 +65,17 @@ def selected_sections(selected: DataFrame, ends: DataFrame) -> DataFrame:
     drafts = selected.filter((role == "assistant") & sentence).groupBy("conv_id").agg(F.max("msg_idx").alias("msg_idx"))
     latest = selected.join(drafts, ["conv_id", "msg_idx"]).filter(kind != "code")
     draft = latest.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "ord", "text"))), lambda x: x["text"]), " ").alias("t"))
+    parts = {
+        "key_decisions": _bullets(selected.filter(said & decided), "Key decisions", "key_decisions", 8, True),
+        "questions": _bullets(asked, "Open questions", "questions", 5, True),
+        "findings": _bullets(selected.filter(sentence & (role == "assistant") & (like(text, fixed.SECTION_CITATION) | like(text, r"\d"))), "Findings", "findings", 10, False),
+        "tradeoffs": _bullets(selected.filter(sentence & like(text, fixed.SECTION_TRADEOFF)), "Tradeoffs", "tradeoffs", 6, False),
+        "style_notes": _bullets(selected.filter(sentence & like(text, fixed.SECTION_STYLE)), "Style notes", "style_notes", 5, False),
+        "draft": draft.filter(T.trim(F.col("t")) != "").select("conv_id", F.concat(F.lit("## Current draft\n"), "t").alias("draft")),
+    }
     out = selected.select("conv_id").distinct()
-    for part in (
-        _bullets(selected.filter(said & decided), "Key decisions", "key_decisions", 8, True),
-        _bullets(asked, "Open questions", "questions", 5, True),
-        _bullets(selected.filter(sentence & (role == "assistant") & (like(text, fixed.SECTION_CITATION) | like(text, r"\d"))), "Findings", "findings", 10, False),
-        _bullets(selected.filter(sentence & like(text, fixed.SECTION_TRADEOFF)), "Tradeoffs", "tradeoffs", 6, False),
-        _bullets(selected.filter(sentence & like(text, fixed.SECTION_STYLE)), "Style notes", "style_notes", 5, False),
-        draft.filter(T.trim(F.col("t")) != "").select("conv_id", F.concat(F.lit("## Current draft\n"), "t").alias("draft")),
-    ):
-        out = out.join(stage(part, "section"), "conv_id", "left")
+    for part in stage_all(parts).values():
+        out = out.join(part, "conv_id", "left")
     return out
 
 
@@ -118,8 +119,8 @@ def handoff_sections(corpus: Corpus) -> DataFrame:
     kinds = lambda *k: F.sum(F.size(F.filter(named, lambda a: a["type"].isin(*k))))
     counts = m.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.min("created_at").alias("since"), F.max("created_at").alias("until"), kinds("image").alias("images"), kinds("pdf", "document").alias("documents"), kinds("code_file").alias("code_files"))
     out = who
-    for name, part in {"state": state, "decided": decided, "asked": asked, "steps": steps, "plan": plan, "made": made, "counts": counts}.items():
-        out = out.join(stage(part, name), "conv_id", "left")
+    for part in stage_all({"state": state, "decided": decided, "asked": asked, "steps": steps, "plan": plan, "made": made, "counts": counts}).values():
+        out = out.join(part, "conv_id", "left")
     return out
 
 
@@ -179,7 +180,10 @@ def render(corpus: Corpus, types: DataFrame, selected: DataFrame | None, level:
     header = lambda out: F.concat(F.lit("# "), F.coalesce(title, F.lit("Conversation Handoff")), F.lit("\n\n"), _meta_line(F.col("input_chars"), out))
     if level == "tldr":
         return _twice(rows, lambda out: F.concat(_joined([header(out), F.col("context"), F.col("goal"), F.col("next"), foot]), F.lit("\n")))
-    rows = stage(rows, "heads").join(selected_sections(selected, ends), "conv_id", "left").join(attachment_summary(m), "conv_id", "left").join(handoff_sections(corpus), "conv_id", "left")
+    parts = stage_all({"heads": rows, "selected-sections": selected_sections(selected, ends), "attachments": attachment_summary(m), "handoff": handoff_sections(corpus)})
+    rows, *others = parts.values()
+    for part in others:
+        rows = rows.join(part, "conv_id", "left")
     rows = stage(rows, "sections")
     known = F.col("confidence") != "low"
     about = _joined([F.when(known & (F.col("project_line") != ""), F.concat(F.lit("**Project:** "), "project_line")), F.when((F.col("recent_focus_line") != "") & (F.col("recent_blocks") >= 30), F.concat(F.lit("**Recent focus:** "), "recent_focus_line"))], "\n")

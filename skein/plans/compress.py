@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..functions.stages import stage
+from ..functions.stages import stage, stage_all
 from ..operators import candidates as C
 from ..operators.classify import TYPES, classify
 from ..operators.messages import dropped_attachments
@@ -38,9 +38,8 @@ def compress(corpus: Corpus, level: str = "resume", force_type: str | None = Non
 
 def _shared(corpus: Corpus, force_type: str | None) -> tuple[Corpus, DataFrame, DataFrame]:
     """What all levels have in common: the corpus, types and scored candidates, each computed once."""
-    corpus = Corpus(stage(corpus.conversations, "conversations"), stage(corpus.messages, "messages"))
-    types = stage(types_of(corpus, force_type), "types")
-    candidates = stage(C.extract(corpus.messages), "candidates")
+    corpus = Corpus(*stage_all({"conversations": corpus.conversations, "messages": corpus.messages}).values())
+    types, candidates = stage_all({"types": types_of(corpus, force_type), "candidates": C.extract(corpus.messages)}).values()
     return corpus, types, stage(C.score(candidates, types), "scored")
 
 
