@@ -61,12 +61,6 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this package made."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts, null as the empty text."""
     return pc.fill_null(batch.column(name), "").to_pylist()
