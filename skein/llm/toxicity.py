@@ -161,7 +161,7 @@ def hashes(word: str) -> list[int]:
 
 
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 60_000
 
 
 def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,20 +266,32 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     characters = CharacterModel(count_characters(docs))
 
     def split(column: pa.Array) -> list[np.ndarray]:
-        base, hashed = extract(column, characters, {})
-        return [hashed[a:z] for a, z in zip(base[:-1], base[1:], strict=True)]
+        out, kept = [], {}
+        for at in range(0, len(column), SLICE):
+            base, hashed = extract(column.slice(at, SLICE), characters, kept)
+            out += [hashed[a:z] for a, z in zip(base[:-1], base[1:], strict=True)]
+        return out
 
     model = fit(*collect_features(docs, training_labels(labels, "toxic"), split, "<u8"), characters)
     give_back()
     return model
 
 
+#: Texts that are taken apart at once.
+SLICE = 250
+
+
+def scores(column: pa.Array, model: ToxicityModel, kept: dict[str, list[int]]) -> np.ndarray:
+    parts = [model.margins(*extract(column.slice(at, SLICE), model.characters, kept)) for at in range(0, len(column), SLICE)]
+    return logistic(np.concatenate([np.zeros(0), *parts]))
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. No shuffle."""
     kept: dict[str, list[int]] = {}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = logistic(model.margins(*extract(b.column("text"), model.characters, kept)))
+        s = scores(b.column("text"), model, kept)
         return pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text"))
@@ -296,7 +308,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kept: dict[str, list[int]] = {}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = logistic(model.margins(*extract(b.column(b.schema.get_field_index("text")), model.characters, kept)))
+        s = scores(b.column(b.schema.get_field_index("text")), model, kept)
         return b.filter(pa.array(s < 0.7))
 
     return map_arrow(docs, run, docs.schema)
