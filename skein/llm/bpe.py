@@ -67,13 +67,17 @@ class Words:
     def chunks(self, text: str) -> list[str | int]:
         """Stretches between white space, prepared; no word crosses it. A special token appears as its id."""
         if not any(m in text for m in self.marks):
-            text = self.prepared(text)
-            return self.find(text) if _ODD_SPACE(text) else text.split()
+            return self.plain(text)
         out: list[str | int] = []
-        for k, piece in enumerate(self.cut.split(text)):
-            out += [self.special[piece]] if k % 2 else self.chunks(piece)
+        for k, piece in enumerate(self.cut.split(text)):  # a mark alone is no special token: pieces between them are plain
+            out += [self.special[piece]] if k % 2 else self.plain(piece)
         return out
 
+    def plain(self, text: str) -> list[str]:
+        """Prepared stretches of a text without special tokens."""
+        text = self.prepared(text)
+        return self.find(text) if _ODD_SPACE(text) else text.split()
+
 
 class BacktrackingBpe:
     """Encoder and decoder for one tokenizer file."""

@@ -51,6 +51,17 @@ def test_backtracking_bpe_equals_the_library(library):
         assert model.decode(got).decode() == library.decode(want, skip_special_tokens=False), t
 
 
+MARKED = ["<|", "<|im_start|>", "a<|endoftext|>b <| c", "x <| y", "<|user|> Hi<|startoftext|><|", "<|ENDOFTEXT|> <|endoftext|", "é<|\x1c<|endoftext|>|>"]
+
+
+def test_marks_outside_special_tokens(library):
+    model = bpe.load(VOCABULARY)
+    for t in MARKED:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(model.encode(t), dtype="<u4").tolist() == want, t
+        assert tokenfile.LibraryEncoder(VOCABULARY).encode([t]) == [model.encode(t)], t
+
+
 def test_op1(documents, library):
     def expected(i, t):
         ids = library.encode(t or "", add_special_tokens=False).ids
