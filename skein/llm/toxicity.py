@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ ALPHABET, BORDER, OTHER = 28, 26, 27
 SUBSTITUTE, KEEP_SYMBOL, REPEAT, HALVE, DROP, SPLIT = -0.7, -6.0, -0.5, -3.0, -0.2, -2.5
 #: Lengths of the beginnings of words that count as features; single characters in a row from which they are read as one stretch.
 BEGINNINGS, LEAST_SPACED = (4, 5, 6), 4
-#: Stretches longer than this are no disguised words: keys, hashes and the like keep their spelling.
-LONGEST_STRETCH = 40
+#: Words up to this length are sought whole inside readings of spaced characters, longer ones by their beginnings.
+LONGEST_WITHIN = 16
+#: Characters of a reading whose inner words are hashed at once, and hashes of a word up to which they are kept.
+PIECE, KEPT_HASHES = 10_000, 1_000
 
 _CLASS = np.full(256, BORDER, dtype=np.int64)
 _CLASS[97:123] = np.arange(26)
@@ -92,9 +95,8 @@ class CharacterModel:
         """What the channel gives to n symbols written for k."""
         return 0.0 if n == k else HALVE if n == 2 else REPEAT
 
-    def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, stretch: str) -> Iterator[list[tuple[str, float]]]:
         """For each run of one symbol: the strings it may stand for and what the channel gives them."""
-        out: list[list[tuple[str, float]]] = []
         at = 0
         while at < len(stretch):
             c, n = stretch[at], 1
@@ -102,19 +104,19 @@ class CharacterModel:
                 n += 1
             if c in LEET:
                 way = [(x, SUBSTITUTE) for x in LEET[c]]
-                out.append([(x * k, s * k + self.repeats(n, k)) for x, s in way for k in {1, min(n, 2)}] + [(c * n, KEEP_SYMBOL * n)])
+                yield [(x * k, s * k + self.repeats(n, k)) for x, s in way for k in {1, min(n, 2)}] + [(c * n, KEEP_SYMBOL * n)]
             elif c in SEPARATORS:
-                out.append([("", DROP), (" ", SPLIT)])
+                yield [("", DROP), (" ", SPLIT)]
             else:
-                out.append([(c * k, self.repeats(n, k)) for k in {1, min(n, 2)}])
+                yield [(c * k, self.repeats(n, k)) for k in {1, min(n, 2)}]
             at += n
-        return out
 
     def decode(self, stretch: str) -> str:
-        """The likeliest reading; words in it are separated by blanks."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(BORDER, BORDER): (0.0, "")}
-        for ways in [*self.lattice(stretch), [(" ", 0.0)]]:
-            reached: dict[tuple[int, int], tuple[float, str]] = {}
+        """The likeliest reading; words in it are separated by blanks. Linear in the stretch: states carry links to what they said before."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(BORDER, BORDER): (0.0, None)}
+        sure: list[str] = []
+        for ways in chain(self.lattice(stretch), [[(" ", 0.0)]]):
+            reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, said) in best.items():
                 for letters, channel in ways:
                     x, y, s = a, b, score + channel
@@ -123,20 +125,38 @@ class CharacterModel:
                         s += self.log[x][y][z]
                         x, y = y, z
                     if (x, y) not in reached or s > reached[x, y][0]:
-                        reached[x, y] = (s, said + letters)
+                        reached[x, y] = (s, (said, letters))
+            if len(reached) == 1:  # all paths lead here: what was said so far is settled
+                ((state, (s, said)),) = reached.items()
+                sure += self.spelled(said)
+                reached = {state: (s, None)}
             best = reached
-        return max(best.values())[1].strip()
+        return "".join([*sure, *self.spelled(max(best.values(), key=lambda x: x[0])[1])]).strip()
+
+    @staticmethod
+    def spelled(said: tuple | None) -> list[str]:
+        out = []
+        while said:
+            said, letters = said
+            out.append(letters)
+        return out[::-1]
+
+
+def spaced(word: str) -> bool:
+    """Single characters between separators."""
+    letters, inside = sum(c.isalpha() for c in word), sum(c in SEPARATORS for c in word[1:-1])
+    return letters >= LEAST_SPACED and letters == inside + 1 and len(word) - letters <= inside + 1
 
 
 def suspicious(word: str) -> bool:
     """Symbols for letters next to letters, a letter three times in a row, or single characters between separators."""
-    if not 3 <= len(word) <= LONGEST_STRETCH or "@" in word[1:] and "." in word:
+    if len(word) < 3 or "@" in word[1:] and "." in word:
         return False
     letters = sum(c.isalpha() for c in word)
     if not letters or letters < len(word) and not any(c in LEET or c in SEPARATORS for c in word if not c.isalpha()):
         return False
     inside = [c for c in word[1:-1] if c in SEPARATORS]
-    if inside and len(word) - letters <= len(inside) + 1 and letters == len(inside) + 1 and letters >= LEAST_SPACED:
+    if spaced(word):
         return True
     if any(c in LEET for c in word) and not inside and letters * 3 >= len(word):
         return True
@@ -160,6 +180,19 @@ def hashes(word: str) -> list[int]:
     return [h("w" + word), *(h(f"p{k}" + word[:k]) for k in BEGINNINGS if len(word) > k)]
 
 
+def within(word: str) -> list[int]:
+    """Hashes of what may be a word inside the reading of spaced characters, whose word borders are lost: longer words show by their beginning."""
+    h, longest = xxhash.xxh64_intdigest, BEGINNINGS[-1]
+    found = {word[a:z] for a in range(len(word)) for z in range(a + LEAST_SPACED, min(len(word), a + LONGEST_WITHIN) + 1)}
+    begun = {word[a : a + longest] for a in range(len(word) - longest)}
+    return [*(h("w" + x) for x in found), *(h(f"p{longest}" + x) for x in begun)]
+
+
+def token_hashes(word: str, model: CharacterModel) -> list[int]:
+    found = restored(word, model)
+    return [h for x in found for h in hashes(x)] + [h for x in found[1:] if spaced(word.strip(EDGE)) for at in range(0, len(x), PIECE) for h in within(x[at : at + PIECE + LONGEST_WITHIN])]
+
+
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 60_000
 
@@ -173,8 +206,8 @@ def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]])
     for i, w in enumerate(words):
         mine = kept.get(w)
         if mine is None:
-            mine = [h for x in restored(w if w.isascii() else w.lower(), model) for h in hashes(x)]
-            if len(kept) < KEPT_WORDS:
+            mine = token_hashes(w if w.isascii() else w.lower(), model)
+            if len(kept) < KEPT_WORDS and len(mine) <= KEPT_HASHES:
                 kept[w] = mine
         lists.append(mine)
         single[i] = (w[0].isalnum() or w[0] in "@$") and (len(w) == 1 or len(w) == 2 and w[1] in SEPARATORS)
@@ -194,12 +227,13 @@ def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]])
         for a, z in zip(edges[::2], edges[1::2], strict=True):
             for t in range(int(owner[a]), int(owner[z - 1]) + 1):
                 lo, hi = max(a, offsets[t]), min(z, offsets[t + 1])
-                if LEAST_SPACED <= hi - lo <= LONGEST_STRETCH:
+                if hi - lo >= LEAST_SPACED:
                     for w in model.decode(" ".join(words[c][0] for c in codes[lo:hi])).split():
-                        extra_h += hashes(w)
-                        extra_t += [t] * (len(extra_h) - len(extra_t))
-    hashed = np.concatenate([hashed, np.array(extra_h, dtype=np.uint64)])
-    text_of = np.concatenate([text_of, np.array(extra_t, dtype=np.int64)])
+                        for at in range(0, len(w), PIECE):  # long readings in overlapping pieces
+                            extra_h.append(np.array(hashes(w)[: None if not at else 0] + within(w[at : at + PIECE + LONGEST_WITHIN]), dtype=np.uint64))
+                            extra_t.append(np.full(len(extra_h[-1]), t))
+    hashed = np.concatenate([hashed, *extra_h])
+    text_of = np.concatenate([text_of, *extra_t])
     order = np.lexsort((hashed, text_of))
     hashed, text_of = hashed[order], text_of[order]
     new = np.ones(len(hashed), dtype=bool)

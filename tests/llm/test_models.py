@@ -92,6 +92,18 @@ def test_spaced_words_are_seen(characters):
     assert set(toxicity.hashes("idiot")) <= set(hashed[base[0] : base[1]].tolist()) and base[3] == base[2]
 
 
+def test_disguises_of_any_length_are_decoded(characters):
+    spaced = " ".join("youareanidiotandamoron" * 500)
+    base, hashed = toxicity.extract(pa.array([spaced]), characters, {})
+    assert toxicity.hashes("idiot")[0] in hashed.tolist()
+    for n in (40, 41, 5000):
+        assert "idiot" in toxicity.restored("i" * n + "diot", characters)
+    base, hashed = toxicity.extract(pa.array(["y.o.u.a.r.e.a.n." * 200 + "i.d.i.o.t"]), characters, {})
+    assert toxicity.hashes("idiot")[0] in hashed.tolist()
+    assert characters.decode("1d10t " * 20_000).replace(" ", "") == "idiot" * 20_000
+    assert len(characters.decode("10" * 100_000)) >= 100_000
+
+
 def test_character_counts_cover_all_texts(spark):
     docs = spark.createDataFrame([("ab",), ("abc",), (None,), ("é",)], "text string")
     assert toxicity.count_characters(docs.repartition(1)).sum() == len("ab" + "abc" + "é".encode().decode("latin-1")) - 2
