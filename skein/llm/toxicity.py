@@ -12,6 +12,7 @@ Repeated rows come back one each; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -29,7 +30,10 @@ from .labelled import collect_features, held_out, logistic, training_labels
 # What symbols are written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = ".-_*~ '`/\\,:;"
+TRIPLE = re.compile(r"([^\W\d_])\1\1").search
+PARTS = re.compile("[" + re.escape(SEPARATORS) + "]+").split
 EDGE = ".,;:!?\"'()[]{}<>#$%&*|+-=_~`/\\…«»“”‘’¿¡"
+MARKS = "".join(c for c in EDGE if c not in LEET)
 
 #: Symbols of the character model: letters, the border of a word, any other letter.
 ALPHABET, BORDER, OTHER = 28, 26, 27
@@ -96,19 +100,21 @@ class CharacterModel:
         return 0.0 if n == k else HALVE if n == 2 else REPEAT
 
     def lattice(self, stretch: str) -> Iterator[list[tuple[str, float]]]:
-        """For each run of one symbol: the strings it may stand for and what the channel gives them."""
-        at = 0
+        """For each run of one symbol: the strings it may stand for and what the channel gives them. A symbol that comes again behind a separator may go on with the one before."""
+        at, before = 0, ""
         while at < len(stretch):
             c, n = stretch[at], 1
             while at + n < len(stretch) and stretch[at + n] == c:
                 n += 1
             if c in LEET:
                 way = [(x, SUBSTITUTE) for x in LEET[c]]
-                yield [(x * k, s * k + self.repeats(n, k)) for x, s in way for k in {1, min(n, 2)}] + [(c * n, KEEP_SYMBOL * n)]
+                yield [(x * k, s * k + self.repeats(n, k)) for x, s in way for k in {1, min(n, 2)}] + [(c * n, KEEP_SYMBOL * n)] + [("", REPEAT)] * (c == before)
             elif c in SEPARATORS:
                 yield [("", DROP), (" ", SPLIT)]
             else:
-                yield [(c * k, self.repeats(n, k)) for k in {1, min(n, 2)}]
+                yield [(c * k, self.repeats(n, k)) for k in {1, min(n, 2)}] + [("", REPEAT)] * (c == before)
+            if c not in SEPARATORS:
+                before = c
             at += n
 
     def decode(self, stretch: str) -> str:
@@ -143,33 +149,31 @@ class CharacterModel:
 
 
 def spaced(word: str) -> bool:
-    """Single characters between separators."""
-    letters, inside = sum(c.isalpha() for c in word), sum(c in SEPARATORS for c in word[1:-1])
-    return letters >= LEAST_SPACED and letters == inside + 1 and len(word) - letters <= inside + 1
+    """Runs of single characters between separators: as many as make a spaced word, and most of what stands there."""
+    parts = [x for x in PARTS(word) if x]
+    alone = sum(x == x[0] * len(x) for x in parts)
+    return alone >= LEAST_SPACED and alone * 2 > len(parts)
 
 
 def suspicious(word: str) -> bool:
-    """Symbols for letters next to letters, a letter three times in a row, or single characters between separators."""
-    if len(word) < 3 or "@" in word[1:] and "." in word:
+    """A letter, and symbols for letters, separators inside or a letter three times in a row: whether it is a disguise is for the character model to say."""
+    if len(word) < 3 or not any(c.isalpha() for c in word):
         return False
-    letters = sum(c.isalpha() for c in word)
-    if not letters or letters < len(word) and not any(c in LEET or c in SEPARATORS for c in word if not c.isalpha()):
-        return False
-    inside = [c for c in word[1:-1] if c in SEPARATORS]
-    if spaced(word):
-        return True
-    if any(c in LEET for c in word) and not inside and letters * 3 >= len(word):
-        return True
-    return any(word[i] == word[i + 1] == word[i + 2] and word[i].isalpha() for i in range(len(word) - 2))
+    return any(c in LEET for c in word) or any(c in SEPARATORS for c in word[1:-1]) or TRIPLE(word) is not None
 
 
 def restored(word: str, model: CharacterModel) -> list[str]:
-    """The words that a token is read as: itself without marks around it and, if it looks disguised, what decoding gives."""
+    """The words that a token is read as: itself without marks around it, its parts between separators and, of what looks disguised, what decoding gives."""
     bare = word.strip(EDGE)
+    if bare.isalpha() and word.rstrip(".,;:?!\"')").lstrip(MARKS) == bare and not TRIPLE(bare):
+        return [bare]
     found = [bare] if bare else []
-    opened = word[:1] in LEET and not word[:1].isalnum()
-    if bare and (opened or not bare.isalpha() or any(bare[i] == bare[i + 1] == bare[i + 2] for i in range(len(bare) - 2))):
-        for shape in dict.fromkeys((bare, word.rstrip(".,;:?!\"')"))):
+    for whole in dict.fromkeys((word, *PARTS(bare))):
+        inner = whole.strip(EDGE)
+        if not inner:
+            continue
+        found.append(inner)
+        for shape in dict.fromkeys((inner, whole.rstrip(".,;:?!\"')"), whole.strip(SEPARATORS))):
             if suspicious(shape):
                 found += model.decode(shape).split()
     return list(dict.fromkeys(found))
@@ -190,7 +194,9 @@ def within(word: str) -> list[int]:
 
 def token_hashes(word: str, model: CharacterModel) -> list[int]:
     found = restored(word, model)
-    return [h for x in found for h in hashes(x)] + [h for x in found[1:] if spaced(word.strip(EDGE)) for at in range(0, len(x), PIECE) for h in within(x[at : at + PIECE + LONGEST_WITHIN])]
+    if len(found) == 1:
+        return hashes(found[0])
+    return [h for x in found for h in hashes(x)] + [h for x in found[1:] if spaced(word) for at in range(0, len(x), PIECE) for h in within(x[at : at + PIECE + LONGEST_WITHIN])]
 
 
 #: Words whose hashes a worker keeps.
@@ -202,7 +208,7 @@ def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]])
     offsets, codes, distinct = word_table(column)
     n = len(offsets) - 1
     words = distinct.to_pylist()
-    lists, single = [], np.zeros(len(words), dtype=bool)
+    lists, single, between = [], np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
     for i, w in enumerate(words):
         mine = kept.get(w)
         if mine is None:
@@ -210,7 +216,9 @@ def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]])
             if len(kept) < KEPT_WORDS and len(mine) <= KEPT_HASHES:
                 kept[w] = mine
         lists.append(mine)
-        single[i] = (w[0].isalnum() or w[0] in "@$") and (len(w) == 1 or len(w) == 2 and w[1] in SEPARATORS)
+        alone = w.strip(SEPARATORS)
+        single[i] = alone != "" and (alone[0].isalnum() or alone[0] in LEET) and alone == alone[0] * len(alone)
+        between[i] = not alone
     size = np.array([len(x) for x in lists], dtype=np.int64)
     flat = np.array([h for x in lists for h in x], dtype=np.uint64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
@@ -222,13 +230,15 @@ def extract(column: pa.Array, model: CharacterModel, kept: dict[str, list[int]])
     hashed, text_of = flat[at] if len(at) else np.zeros(0, np.uint64), np.repeat(owner_of, reps)
     extra_h, extra_t = [], []
     if len(codes):  # stretches of single characters
-        s = single[codes]
+        s, letters = (single | between)[codes], np.concatenate([[0], np.cumsum(single[codes])])
         edges = np.flatnonzero(np.diff(np.concatenate([[0], s.astype(np.int8), [0]])))
         for a, z in zip(edges[::2], edges[1::2], strict=True):
+            if letters[z] - letters[a] < LEAST_SPACED:
+                continue
             for t in range(int(owner[a]), int(owner[z - 1]) + 1):
                 lo, hi = max(a, offsets[t]), min(z, offsets[t + 1])
-                if hi - lo >= LEAST_SPACED:
-                    for w in model.decode(" ".join(words[c][0] for c in codes[lo:hi])).split():
+                if letters[hi] - letters[lo] >= LEAST_SPACED:
+                    for w in model.decode(" ".join(words[c].strip(SEPARATORS) for c in codes[lo:hi] if single[c])).split():
                         for at in range(0, len(w), PIECE):  # long readings in overlapping pieces
                             extra_h.append(np.array(hashes(w)[: None if not at else 0] + within(w[at : at + PIECE + LONGEST_WITHIN]), dtype=np.uint64))
                             extra_t.append(np.full(len(extra_h[-1]), t))

@@ -104,6 +104,18 @@ def test_disguises_of_any_length_are_decoded(characters):
     assert len(characters.decode("10" * 100_000)) >= 100_000
 
 
+@pytest.mark.parametrize("written,meant", [("1.d.1.0.t", "idiot"), ("st-up1d", "stupid"), ("1d10t's", "idiot"), ("you,1d10t", "idiot"), ("id.iot", "idiot"), ("1d107", "idiot"), ("5tup1d", "stupid"), ("i.i.i.d.i.0.0.t", "idiot"), ("$-7-u-p-1-d!", "stupid")])
+def test_combined_disguises(characters, written, meant):
+    base, hashed = toxicity.extract(pa.array([written]), characters, {})
+    assert toxicity.hashes(meant)[0] in hashed.tolist(), toxicity.restored(written, characters)
+
+
+@pytest.mark.parametrize("written", ["! d ! o t", "! d | 0 +", "i i i d i o o o o t", "iii ddd iii ooo ttt", "i - d - 1 - o - t", ".i .d .i .o .t"])
+def test_combined_spaced_disguises(characters, written):
+    base, hashed = toxicity.extract(pa.array(["plain words", written]), characters, {})
+    assert toxicity.hashes("idiot")[0] in hashed[base[1] :].tolist()
+
+
 def test_character_counts_cover_all_texts(spark):
     docs = spark.createDataFrame([("ab",), ("abc",), (None,), ("é",)], "text string")
     assert toxicity.count_characters(docs.repartition(1)).sum() == len("ab" + "abc" + "é".encode().decode("latin-1")) - 2
