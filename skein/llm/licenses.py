@@ -65,16 +65,23 @@ class SuffixAutomaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.longest = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template -> last end of the state's runs in it
+        self.ends: list[dict[int, list[int]]] = [{}]  # template -> all ends of the state's runs in it, in order
+        last_states = []
         for which, seq in enumerate(sequences):
             last = 0
             for at, w in enumerate(seq):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(which, at + 1)
+                self.ends[last].setdefault(which, []).append(at + 1)
+            last_states.append(last)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.longest[s]):
             if (up := self.link[s]) > 0:
                 for which, at in self.ends[s].items():
-                    self.ends[up].setdefault(which, at)
+                    self.ends[up][which] = sorted({*self.ends[up].get(which, []), *at})
+        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (template, size) that a run of the state ends with
+        for which, last in enumerate(last_states):
+            self.whole[last].append((which, len(sequences[which])))
+        for s in sorted(range(1, len(self.next)), key=lambda s: self.longest[s]):
+            self.whole[s] += self.whole[self.link[s]]
 
     def _state(self, longest: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
@@ -122,6 +129,19 @@ class SuffixAutomaton:
         return out
 
 
+    def completed(self, words: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, template) wherever a whole template stands in words, whatever follows. Linear time and a step for each find."""
+        out, s, n = [], 0, 0
+        for at, w in enumerate(words):
+            while s and w not in self.next[s]:
+                s = self.link[s]
+                n = self.longest[s]
+            if w in self.next[s]:
+                s, n = self.next[s][w], n + 1
+                out += [(at + 1 - size, at + 1, which) for which, size in self.whole[s] if size <= n]
+        return out
+
+
 class Scanner:
     def __init__(self):
         numbers: dict[str, int] = {}
@@ -134,18 +154,21 @@ class Scanner:
     def spans(self, words: list[int], offset: int = 0) -> list[tuple[int, int, str, float]]:
         """(start, end, label, covered share) of the template spans in a stretch of known words."""
         chains: dict[int, list[list[int]]] = {}  # template -> chains of [start, end, covered words, end inside the template]
-        for a, z, s in self.automaton.runs(words):
-            for which, end in self.automaton.ends[s].items():
-                size = len(self.templates[which][1])
-                if z - a < min(LEAST_RUN, size):
-                    continue
-                mine = chains.setdefault(which, [])
-                if mine and a - mine[-1][1] <= LARGEST_GAP and end - (z - a) >= mine[-1][3] - 1:
-                    c = mine[-1]
-                    c[2] += z - max(a, c[1])
-                    c[1], c[3] = z, end
-                else:
-                    mine.append([a, z, z - a, end])
+        hits = [(z, a, which, tuple(ends)) for a, z, s in self.automaton.runs(words) for which, ends in self.automaton.ends[s].items()]
+        whole = [(z, a, which, (z - a,)) for a, z, which in self.automaton.completed(words)]
+        for z, a, which, ends in sorted({*hits, *whole}):
+            size = len(self.templates[which][1])
+            if z - a < min(LEAST_RUN, size):
+                continue
+            mine = chains.setdefault(which, [])
+            near = mine and a - mine[-1][1] <= LARGEST_GAP
+            after = next((end for end in ends if near and end - (z - a) >= mine[-1][3] - 1), None)
+            if after is not None:
+                c = mine[-1]
+                c[2] += z - max(a, c[1])
+                c[1], c[3] = z, after
+            else:
+                mine.append([a, z, z - a, ends[0]])
         out = [(a + offset, z + offset, self.templates[k][0], min(1.0, n / len(self.templates[k][1]))) for k, cs in chains.items() for a, z, n, _ in cs]
         return sorted(x for x in out if x[3] >= LEAST_COVER)
 

@@ -134,6 +134,23 @@ def test_op2(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_templates_count_whatever_follows(spark):
+    short = next(t for k, t in licenses.TEMPLATES if k == "apache-2.0")
+    df = spark.createDataFrame([(0, "Licensed under the Apache License, Version 2.0. The quick brown fox"), (1, "see " + short + " the license")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert all(r.labels == "apache,apache-2.0" and r.score == 1.0 for r in got.values())
+    assert got[0].spans == "apache-2.0:0:8" and got[1].spans == "apache-2.0:1:9"
+    scanner = licenses.Scanner()
+    for which, (_, template) in enumerate(scanner.templates):  # every template, followed by every word
+        for w in range(len(scanner.words)):
+            assert (0, len(template), which) in scanner.automaton.completed([*template, w])
+
+
+def test_runs_keep_all_their_ends_in_a_template():
+    automaton = licenses.SuffixAutomaton([[1, 2, 3, 1, 2, 4], [0, 1, 2]])
+    assert automaton.ends[automaton.runs([1, 2])[0][2]] == {0: [2, 5], 1: [3]}
+
+
 def test_suffix_automaton_gives_matching_statistics():
     rng = random.Random(3)
     seqs = [[rng.randrange(4) for _ in range(12)] for _ in range(4)]
