@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import flag_members, map_arrow, materialise, maybe_members, member_filter, shared_folder, texts
 
 #: Names the set of rules below in the ledger; raise it with every change of a rule.
-RULE_VERSION = 1
+RULE_VERSION = 3
 
 # The base rules, in the order in which ties are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -33,11 +33,16 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "provider", "basic_auth", "entropy")
 
 # Further rules. Each starts with a literal, so that a text without it costs a single search.
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+# A private key goes on to its END line; where that is missing, to the end of its headers and base64 lines.
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    r"|(?:[ \t]*\r?\n[A-Za-z-]+: [^\n]*)*(?:(?:[ \t]*\r?\n)+[ \t]*[A-Za-z0-9+/=]+(?=[ \t]*\r?(?:\n|\Z)))*)"
+)
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 PROVIDER = re.compile(r"(?:ghp_|gho_|ghs_|github_pat_|glpat-|xoxb-|xoxp-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}")
 PROVIDER_STARTS = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza")
-BASIC_AUTH = re.compile(r"://[A-Za-z0-9._-]{1,64}:[^\s:@/]{6,64}@")
+BASIC_AUTH = re.compile(r"://[A-Za-z0-9._-]+:[^\s:@/]{6,}@")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{32,}")
 #: Bits a character from which a long run of mixed letters and digits counts as a secret.
 LEAST_ENTROPY = 4.2

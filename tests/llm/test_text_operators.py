@@ -205,6 +205,16 @@ def test_redaction_applies_the_findings(spark):
     assert got[1].text == "my [secret] ok" and got[1].n_chars == 14 and got[2].text == "clean" and got[3].text is None
 
 
+def test_whole_private_keys_and_long_credentials_are_found(spark):
+    begin, body, end = "-----BEGIN RSA PRIVATE KEY-----", "\nProc-Type: 4,ENCRYPTED\n\n" + "MIIEabcd+/" * 6 + "\nshort==", "\n-----END RSA PRIVATE KEY-----"
+    link = "https://" + "n" * 100 + ":" + "p" * 200 + "@host"
+    texts = ["a " + begin + body + end + " z", "a " + begin + body + "\nsome prose here", begin + body, "see " + link, begin * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df, secrets.scan_once(df)).collect()}
+    assert got[0] == "a [secret] z" and got[1] == "a [secret]\nsome prose here" and got[2] == "[secret]"
+    assert "n" * 100 not in got[3] and "p" * 200 not in got[3] and "PRIVATE" not in got[4]
+
+
 def test_op8(spark):
     texts = [None, "", "a", "x" * 192, "é" * 97, "long " * 40000, "a"]
     df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, feature string")
