@@ -14,7 +14,6 @@ import hashlib
 import json
 import re
 import struct
-import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -23,11 +22,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from .common import map_arrow, texts
 
 #: Distinct stretches of text, and words, whose tokens a worker keeps: those it meets first, so the frequent ones.
 KEPT_WORDS = 100_000
+#: Pairs of tokens whose compatibility a worker keeps; others are decided anew.
+KEPT_PAIRS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -38,34 +41,35 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-#: What str.split() takes for white space and the vocabularies' pattern does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]").search
+#: Characters that str.split() parts words at and the vocabularies' pattern does not, and white space without them.
+_ODD_SPACE, _SPACE = re.compile("[\x1c-\x1f]").search, re.compile("[^\\S\x1c-\x1f]+").split
 
 
 class Words:
-    """Normalisation and word splitting of a tokenizer file: NFC, lower case letter by letter, white space dropped, special strings kept whole."""
+    """Normalisation and word splitting of a tokenizer file: NFC, lower case, white space dropped, special strings kept whole.
 
-    def __init__(self, spec: dict):
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
+    White space never joins or parts words otherwise, so stretches between it are split one by one. ASCII needs no table of
+    characters; other stretches go through the tokenizers library's own normaliser and splitter, whose tables then hold.
+    """
+
+    def __init__(self, path: str, spec: dict):
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        self.split_words = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.marks = sorted({s[:2] for s in self.special})
 
-    def prepared(self, text: str) -> str:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # str.lower() has a final form; letter by letter there is none
-                text = text.replace("Σ", "σ")
-        return text.lower()
-
-    def split(self, chunk: str) -> list[str]:
-        """The words of a prepared stretch without white space."""
-        return [chunk] if chunk.isalpha() else self.find(chunk)
+    def split(self, stretch: str) -> list[str]:
+        """The normalised words of a stretch without white space."""
+        if stretch.isascii():
+            low = stretch.lower()
+            return [low] if low.isalpha() else self.find(low)
+        return [w for w, _ in self.split_words(self.normalize(stretch))]
 
     def chunks(self, text: str) -> list[str | int]:
-        """Stretches between white space, prepared; no word crosses it. A special token appears as its id."""
+        """Stretches between white space; no word crosses it. A special token appears as its id."""
         if not any(m in text for m in self.marks):
             return self.plain(text)
         out: list[str | int] = []
@@ -74,9 +78,8 @@ class Words:
         return out
 
     def plain(self, text: str) -> list[str]:
-        """Prepared stretches of a text without special tokens."""
-        text = self.prepared(text)
-        return self.find(text) if _ODD_SPACE(text) else text.split()
+        """Stretches of a text without special tokens."""
+        return [x for x in _SPACE(text) if x] if _ODD_SPACE(text) else text.split()
 
 
 class BacktrackingBpe:
@@ -85,7 +88,7 @@ class BacktrackingBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words, model = Words(spec), spec["model"]
+        self.words, model = Words(path, spec), spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = byte_letters()
         n = max(max(vocab.values()), *self.words.special.values()) + 1
@@ -150,7 +153,9 @@ class BacktrackingBpe:
         key = a * self.n + b
         found = self.apt.get(key)
         if found is None:
-            found = self.apt[key] = self._neighbours(a, b, self.n + 1)
+            found = self._neighbours(a, b, self.n + 1)
+            if len(self.apt) < KEPT_PAIRS:
+                self.apt[key] = found
         return found
 
     def word(self, word: str) -> list[int]:

@@ -40,7 +40,7 @@ FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 150_000
 
 
 class LibraryEncoder:
-    """The tokenizers library's encoding of whole texts: its vocabulary and merging; the ids of stretches and words seen before are kept."""
+    """The tokenizers library's encoding of whole texts: its normaliser, splitter and model; the ids of stretches and words seen before are kept."""
 
     def __init__(self, path: str):
         import json
@@ -53,7 +53,7 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words, self.model = Words(spec), self.tokenizer.model
+        self.words, self.model = Words(path, spec), self.tokenizer.model
         self.letters = byte_letters()
         self.known: dict[str | int, bytes] = {}
         self.spelled: dict[str | int, bytes] = {}

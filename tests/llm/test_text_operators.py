@@ -62,6 +62,24 @@ def test_marks_outside_special_tokens(library):
         assert tokenfile.LibraryEncoder(VOCABULARY).encode([t]) == [model.encode(t)], t
 
 
+def test_all_code_points_are_classed_as_the_library_does(library):
+    model, encoder = bpe.load(VOCABULARY), tokenfile.LibraryEncoder(VOCABULARY)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or 0xA640 <= c < 0xAC00 or 0xF900 <= c < 0x20000 and c % 3 == 0 or c % 97 == 0)]
+    for at in range(0, len(points), 400):
+        t = " ".join(f"a{chr(c)}B x{chr(c)}1{chr(c)}" for c in points[at : at + 400])
+        want = np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert model.encode(t) == want, at
+        assert encoder.encode([t]) == [want], at
+
+
+def test_pairs_beyond_those_kept_are_decided_anew(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 5)
+    model = bpe.BacktrackingBpe(VOCABULARY)
+    for t in odd_texts(50, seed=9):
+        assert np.frombuffer(model.encode(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(model.apt) <= 5
+
+
 def test_op1(documents, library):
     def expected(i, t):
         ids = library.encode(t or "", add_special_tokens=False).ids
