@@ -1,14 +1,22 @@
-"""Embedding near-duplicates by collision counting over sorted one-dimensional projections.
-
-Every vector is scaled to length one and projected onto the directions of a random rotation; a projection is kept as a signed
-byte. One projection alone tells little in many dimensions (at a cosine of 0.9 a window that keeps 95 of 100 close pairs also keeps
-about half of all others), so projections are sorted in bundles: a table takes some of them, each cut into windows whose borders
-are drawn anew for each table, and sorts the vectors by all of these at once. Vectors that meet in a table become a pair at the
-first table where they meet. Of a pair the collisions are counted: the projections on which one lies in the window centred on the
-other. Pairs that reach a count calibrated on a bounded sample for the wanted recall are verified in double precision.
+"""Embedding near-duplicates by collision counting over projections.
+
+Every vector is scaled to length one and turned at random; its coordinates then are one-dimensional projections. Of a pair the
+collisions are counted: the projections on which one vector lies in the window centred on the other. Pairs that reach a count
+calibrated on a bounded sample for the wanted recall are verified. One sorted projection alone selects next to nothing (a window that
+keeps 95 of 100 pairs at a cosine of 0.9 also keeps about half of all others), so it cannot propose the pairs. What tells vectors
+apart are the ends of the sorted projections: at a cosine of 0.9 more than half of all pairs agree on which of a turn's projections
+lies farthest out, of strangers one in twice as many as there are projections. So a table sorts the vectors by the outermost
+projections of several turns, and pairs that meet in a table are counted. How many turns a table takes follows from the number of
+vectors and the sample's strangers, how many tables from the sample's recall.
+
+A first pass deals ids alone and keeps the cells with two vectors or more; sketches go only there. Large cells are split into pairs
+of pieces. A pair is looked at in the first table where it meets. Sketches are fine enough to decide all pairs but those within
+0.0003 of the cosine, which are verified from the vectors in double precision. What leaves a task is, per vector, the number
+of its links and one link towards its component, so a group of near copies gives rows in proportion to its members.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and keep their own row. Vectors of
-different lengths do not link. Equal vectors are compared once. Repeated vec_ids come back one row each. Other columns are ignored.
+different lengths do not link; an embedding column has one length as a rule, and each length takes a pass of its own. Equal vectors
+are compared once. Repeated vec_ids come back one row each, with the links of their own vectors. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,67 +34,131 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, give_back, map_arrow, materialise
 from .components import connected_components
 
-#: Cosine from which vectors link, recall wanted of pairs just at it (of the tables, of the count), vectors that calibrate the count.
-LEAST_COSINE, TABLE_RECALL, COUNT_RECALL, MAX_SAMPLE = 0.9, 0.95, 0.99, 2000
-#: Width of a table's windows and half of a collision window, both in standard deviations of the difference of a pair at the cosine.
-TABLE_WIDTH, HALF_WINDOW = 8.0, 2.0
-#: Vectors that one cell compares in one piece; larger cells are split into pairs of pieces.
-PIECE = 1024
-SCALE = 127.0
+#: Cosine from which vectors link, recall wanted of pairs just at it (of the tables, of the count), vectors that calibrate both.
+LEAST_COSINE, TABLE_RECALL, COUNT_RECALL, MAX_SAMPLE = 0.9, 0.97, 0.99, 2000
+#: Half of a collision window, in standard deviations of the difference of a pair at the cosine.
+HALF_WINDOW = 2.0
+#: Strangers that a vector may meet in a cell, turns of a table at most, pairs that calibrate.
+STRANGERS, MOST_TURNS, PAIRS = 0.5, 8, 1000
+#: Vectors that one cell compares in one piece, larger cells are split into pairs of pieces; pairs that are compared at once.
+PIECE, PAIRS_AT_ONCE = 1024, 100_000
+SCALE = 32767.0
+
+
+@lru_cache(maxsize=16)
+def _hadamard(d: int) -> np.ndarray:
+    out = np.ones((1, 1), dtype=np.float32)
+    while len(out) < d:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+def turn(x: np.ndarray, seed: int) -> np.ndarray:
+    """The rows of x, as wide as a power of two, after a random rotation: three rounds of random signs and a Hadamard transform. Only the seed is kept."""
+    n, d = x.shape
+    inner = 1 << (d.bit_length() // 2)
+    left, right = (_hadamard(w).astype(x.dtype) for w in (d // inner, inner))
+    for s in np.random.default_rng(seed).integers(0, 2, (3, d)).astype(x.dtype) * 2 - 1:
+        x = (x * (s / x.dtype.type(math.sqrt(d)))).reshape(n, d // inner, inner) @ right
+        x = (left @ x).reshape(n, d) if d > inner else x.reshape(n, d)
+    return x
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one, filled up with zeros to a power of two, 64 at least: signs alone turn a few coordinates in a few ways only."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    width = max(64, 1 << (vectors.shape[1] - 1).bit_length())
+    return np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
 
 
 @dataclass(frozen=True)
 class Projections:
-    """Random rotation, the projections and window borders of each table, and the count a pair must reach."""
+    """What is subtracted before outermost projections are sought, turns of a table, tables, the count a pair must reach."""
 
-    rotation: np.ndarray
-    chosen: np.ndarray
-    border: np.ndarray
-    width: float
-    half: float
+    mean: np.ndarray
+    turns: int
+    tables: int
     least: int
 
-    def sketch(self, vectors: np.ndarray) -> np.ndarray:
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        return np.clip(np.rint(unit @ self.rotation * SCALE), -127, 127).astype(np.int8)
-
-    def cells(self, sketch: np.ndarray) -> np.ndarray:
-        """One number for each sketch and table."""
-        tables, bundle = self.chosen.shape
-        out = np.empty((len(sketch), tables), dtype=np.uint64)
-        weight = np.random.default_rng(7).integers(1, 2**63, bundle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for t in range(tables):
-            bins = np.floor((sketch[:, self.chosen[t]] + self.border[t]) / self.width).astype(np.int64).astype(np.uint64)
-            h = (bins * weight).sum(axis=1, dtype=np.uint64) + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[:, t] = h ^ (h >> np.uint64(29))
-        return out
+    @property
+    def half(self) -> float:
+        return HALF_WINDOW * math.sqrt(2 * (1 - LEAST_COSINE) / len(self.mean)) * SCALE
+
+    @staticmethod
+    def sketch(units: np.ndarray) -> np.ndarray:
+        return np.rint(turn(units, 0) * SCALE).astype(np.int16)
+
+    @staticmethod
+    def outermost(centred: np.ndarray, seed: int) -> np.ndarray:
+        """Which projection of a turn lies farthest out, and on which side."""
+        p = turn(centred, seed)
+        at = np.abs(p).argmax(axis=1)
+        return at * 2 + (p[np.arange(len(p)), at] > 0)
+
+    def cell(self, centred: np.ndarray, table: int) -> np.ndarray:
+        """One number for each vector in a table."""
+        h = np.full(len(centred), table + 1, dtype=np.uint64)
+        for k in range(self.turns):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.outermost(centred, 1 + table * MOST_TURNS + k).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def cells(self, units: np.ndarray) -> np.ndarray:
+        centred = (units - self.mean).astype(np.float32)
+        return np.stack([self.cell(centred, t) for t in range(self.tables)], axis=1)
 
     def collisions(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (np.abs(a.astype(np.int16) - b) <= self.half).sum(axis=1)
+        return (np.abs(a.astype(np.int32) - b) <= self.half).sum(axis=1)
 
+    @property
+    def doubt(self) -> float:
+        """How far the cosine of two sketches may lie from that of their vectors."""
+        off = math.sqrt(len(self.mean)) * 0.5 / SCALE
+        return 2 * off + off * off + 1e-9
 
-def choose(sample: np.ndarray, n: int, seed: int = 3) -> Projections:
-    """Bundles and tables for n vectors; the count is calibrated on the sample, each of whose vectors gets a partner at just the least cosine."""
-    d = sample.shape[1]
-    rng = np.random.default_rng(seed)
-    rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
-    sigma = math.sqrt(2 * (1 - LEAST_COSINE) / d)
-    width = TABLE_WIDTH * sigma
-    close = 1 - 0.8 / TABLE_WIDTH
-    far = 1 - min(0.9, 0.8 * math.sqrt(2 / d) / width)
-    bundle = max(2, math.ceil(math.log(max(n, 64)) / -math.log(far)))  # about one stranger in a cell
-    tables = math.ceil(-math.log(1 - TABLE_RECALL) / close**bundle)
-    chosen = np.stack([rng.choice(d, size=min(bundle, d), replace=False) for _ in range(tables)])
-    border = rng.uniform(0, width * SCALE, size=chosen.shape)
-    out = Projections(rotation, chosen, border, width * SCALE, HALF_WINDOW * sigma * SCALE, 0)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    other = rng.normal(size=unit.shape)
-    other -= (other * unit).sum(axis=1, keepdims=True) * unit
+
+def partners(units: np.ndarray, rng: np.random.Generator, d: int) -> np.ndarray:
+    """A vector at just the least cosine for each of units, whose first d places are in use."""
+    other = np.zeros_like(units)
+    other[:, :d] = rng.normal(size=(len(units), d))
+    other -= (other * units).sum(axis=1, keepdims=True) * units
     other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
-    partner = LEAST_COSINE * unit + math.sqrt(1 - LEAST_COSINE**2) * other
-    counts = out.collisions(out.sketch(unit), out.sketch(partner))
-    return Projections(rotation, chosen, border, out.width, out.half, int(np.quantile(counts, 1 - COUNT_RECALL)))
+    return LEAST_COSINE * units + math.sqrt(1 - LEAST_COSINE**2) * other
+
+
+def _tables(units: np.ndarray, near: np.ndarray, far: np.ndarray, mean: np.ndarray, n: int, most: float) -> tuple[float, Projections]:
+    """Turns and tables that find the pairs (near, far) if mean is subtracted, and the entries and comparisons that they cost a vector; gives up beyond most tables."""
+    a, b, whole = ((x - mean).astype(np.float32) for x in (near, far, units))
+    met = [0.0]
+    for k in (k for k in (1, 2, 3, 5, 8, 13) if k < len(units)):
+        apart = (units * np.roll(units, k, axis=0)).sum(axis=1) < LEAST_COSINE
+        if apart.any():
+            met += [(c == np.roll(c, k))[apart].mean() for c in (Projections.outermost(whole, 2**32 - s) for s in range(1, 9))]
+    by_chance = min(0.9, max(float(np.mean(met)), 0.5 / units.shape[1]))
+    turns = min(MOST_TURNS, max(1, math.ceil(math.log(max(n / STRANGERS, 2)) / -math.log(by_chance))))
+    found, tables, p = np.zeros(len(near), dtype=bool), 0, Projections(mean, turns, 0, 0)
+    while found.mean() < TABLE_RECALL:
+        if tables >= most:
+            return math.inf, p
+        found |= p.cell(a, tables) == p.cell(b, tables)
+        tables += 1
+    return tables * (1 + n * by_chance**turns), Projections(mean, turns, tables, 0)
+
+
+def choose(sample: np.ndarray, n: int, seed: int = 3) -> Projections:
+    """Turns, tables and count for n vectors, calibrated on the sample and partners of its vectors at just the least cosine.
+
+    Vectors that crowd around a direction are told apart better with the mean subtracted; that is done where it costs less.
+    """
+    units = unit(sample)
+    near = np.resize(units, (PAIRS, units.shape[1]))
+    far = partners(near, np.random.default_rng(seed), sample.shape[1])
+    cost, p = _tables(units, near, far, np.zeros(units.shape[1]), n, math.inf)
+    less, q = _tables(units, near, far, units.mean(axis=0), n, 2 * p.tables)
+    p = q if less < cost else p
+    counts = p.collisions(p.sketch(near), p.sketch(far))
+    return Projections(p.mean, p.turns, p.tables, int(np.quantile(counts, 1 - COUNT_RECALL)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -93,118 +166,145 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _entries(vectors: DataFrame, p: Projections) -> DataFrame:
+def _sketches(vectors: DataFrame, p: Projections) -> DataFrame:
+    """(id, copies, sketch, codes): codes are the vector's cells, one for each table."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = p.sketch(_matrix(b.column(1)))
-        cells = p.cells(s)
-        ids = np.repeat(b.column(0).to_numpy(), cells.shape[1])
-        raw = [x.tobytes() for x in s]
-        return pa.record_batch([pa.array(cells.ravel().view(np.int64)), pa.array(ids), pa.array(np.tile(np.arange(cells.shape[1], dtype=np.int32), len(s))), pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(s)), cells.shape[1]), pa.array(raw, pa.binary())).cast(pa.binary())], ["cell", "id", "at", "sketch"])
-
-    return map_arrow(vectors.select("id", "embedding"), run, "cell long, id long, at int, sketch binary")
-
-
-def _meet(rows: DataFrame, p: Projections, shuffled: list[str]) -> DataFrame:
-    """Pairs (a, b) of the cells whose rows stand together in their partition, each from its first table, with enough collisions."""
-
-    def pairs(cell, ids, at, side, sketch) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate([[True], np.any(cell[:, 1:] != cell[:, :-1], axis=0)]))
-        ends = np.concatenate([starts[1:], [cell.shape[1]]])
-        codes = p.cells(sketch)
-        stop = np.repeat(ends, ends - starts)
-        place = np.arange(len(ids))
-        reach = stop - place - 1  # partners after each row
-        lo = 0
-        total = np.cumsum(reach)
+        units = unit(_matrix(b.column(2)))
+        codes = p.cells(units)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * p.tables), pa.array(codes.ravel()))
+        return pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in p.sketch(units)], pa.binary()), lists], ["id", "copies", "sketch", "codes"])
+
+    return map_arrow(vectors.select("id", "copies", "embedding"), run, "id long, copies long, sketch binary, codes array<int>")
+
+
+def _gather(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the smallest place that the pairs (x, y) connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, label[x], low)
+        np.minimum.at(after, label[y], low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+MET = "a long, b long, n long"
+
+
+def _meet(rows: DataFrame, p: Projections) -> DataFrame:
+    """(a, b, n): a vector, one that it is connected with, and its links found here; n is null for pairs that sketches cannot decide."""
+
+    def pairs(key: np.ndarray, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, sketch: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], np.any(key[:, 1:] != key[:, :-1], axis=0)]))
+        ends = np.concatenate([starts[1:], [key.shape[1]]])
+        table, place = key[0] >> 32, np.arange(len(ids))
+        reach = np.repeat(ends, ends - starts) - place - 1  # partners after each row
+        total, lo = np.cumsum(reach), 0
         while lo < len(ids):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 200_000, "right")))
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
             x = np.repeat(place[lo:hi], reach[lo:hi])
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(reach[lo:hi]) - reach[lo:hi], reach[lo:hi])
-            ok = (cell[1, x] == cell[2, x]) | (side[x] != side[y])
+            lo = hi
+            ok = (key[1, x] == key[2, x]) | (side[x] != side[y])
             x, y = x[ok], y[ok]
             ok = p.collisions(sketch[x], sketch[y]) >= p.least
             x, y = x[ok], y[ok]
-            ok = (codes[x] == codes[y]).argmax(axis=1) == at[x]
-            x, y = ids[x[ok]], ids[y[ok]]
-            ok = x != y
+            ok = (codes[x] == codes[y]).argmax(axis=1) == table[x]
+            x, y = x[ok], y[ok]
+            cosine = np.einsum("ij,ij->i", sketch[x].astype(np.float64), sketch[y].astype(np.float64)) / SCALE**2
+            open_ = np.abs(cosine - LEAST_COSINE) <= p.doubt
+            if open_.any():
+                yield pa.record_batch([pa.array(ids[x[open_]]), pa.array(ids[y[open_]]), pa.nulls(int(open_.sum()), pa.int64())], ["a", "b", "n"])
+            ok = ~open_ & (cosine > LEAST_COSINE)
             if ok.any():
-                yield pa.record_batch([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
-            lo = hi
+                there, at = np.unique(np.concatenate([x[ok], y[ok]]), return_inverse=True)
+                x, y = at[: len(at) // 2], at[len(at) // 2 :]
+                mates = copies[there]
+                n = np.bincount(x, mates[y], len(there)) + np.bincount(y, mates[x], len(there))
+                yield pa.record_batch([pa.array(ids[there]), pa.array(ids[there[_gather(x, y, len(there))]]), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None
+        kept: list[np.ndarray] | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cell = np.stack([b.column(i).to_numpy() for i in range(3)])
-            mine = [b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy(), np.frombuffer(b"".join(b.column(6).to_pylist()), dtype=np.int8).reshape(b.num_rows, -1)]
+            key = np.stack([b.column(i).to_numpy() for i in range(3)])
+            mine = [b.column(i).to_numpy() for i in range(3, 6)]
+            mine.append(np.frombuffer(b"".join(b.column(6).to_pylist()), dtype=np.int16).reshape(b.num_rows, -1))
+            mine.append(b.column(7).flatten().to_numpy().reshape(b.num_rows, -1))
             if kept is not None:
-                cell = np.concatenate([kept[0], cell], axis=1)
-                mine = [np.concatenate([u, v]) for u, v in zip(kept[1], mine, strict=True)]
-            last = int(np.flatnonzero(np.concatenate([[True], np.any(cell[:, 1:] != cell[:, :-1], axis=0)]))[-1])
+                key = np.concatenate([kept[0], key], axis=1)
+                mine = [np.concatenate([u, v]) for u, v in zip(kept[1:], mine, strict=True)]
+            last = int(np.flatnonzero(np.concatenate([[True], np.any(key[:, 1:] != key[:, :-1], axis=0)]))[-1])
             if last:
-                yield from pairs(cell[:, :last], *(v[:last] for v in mine))
-            kept = (cell[:, last:], [v[last:] for v in mine])
+                yield from pairs(key[:, :last], *(v[:last] for v in mine))
+            kept = [key[:, last:], *(v[last:] for v in mine)]
         if kept is not None:
-            yield from pairs(kept[0], *kept[1])
+            yield from pairs(*kept)
         give_back()
 
     bounded_batches(rows.sparkSession)
-    spread = rows.repartition(*shuffled).sortWithinPartitions(*shuffled)
-    return spread.select(*shuffled, "id", "at", "side", "sketch").mapInArrow(run, "a long, b long")
+    spread = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return spread.select("cell", "i", "j", "id", "copies", "side", "sketch", "codes").mapInArrow(run, MET)
 
 
-def near_pairs(vectors: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of a materialised table (id, embedding) of valid, distinct vectors of one length."""
+def near(vectors: DataFrame) -> DataFrame | None:
+    """(a, b, n): the links of a materialised table (id, copies, embedding) of valid, distinct vectors of one length, told per vector; None for fewer than two."""
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("id")).limit(MAX_SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     if n < 2:
-        return vectors.sparkSession.createDataFrame([], "a long, b long")
+        return None
+    sample = vectors.orderBy(F.xxhash64("id")).limit(MAX_SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     p = choose(_matrix(sample), n)
-    entries = materialise(_entries(vectors, p), "entries")
-    sizes = entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell", F.expr(f"cast(ceil(n / {PIECE}) as int)").alias("pieces"))
-    rows = entries.join(sizes, "cell").withColumn("side", F.expr("cast(pmod(xxhash64(id), pieces) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    rows = rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    pairs = _meet(rows, p, ["cell", "i", "j"]).distinct()
+    sketches = materialise(_sketches(vectors, p), "sketches")
+    entries = sketches.select("id", F.posexplode("codes").alias("t", "code")).select("id", F.expr("shiftleft(cast(t as bigint), 32) | (code & 4294967295L)").alias("cell"))
+    sizes = entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell", F.expr(f"cast(ceil(n / {PIECE}) as long)").alias("pieces"))
+    rows = entries.join(materialise(sizes, "cells"), "cell").withColumn("side", F.expr("pmod(xxhash64(id), pieces)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
+    rows = rows.select("id", "cell", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    met = materialise(_meet(rows.join(sketches, "id"), p), "met")
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = _matrix(b.column(2)), _matrix(b.column(3))
+        x, y = _matrix(b.column(4)), _matrix(b.column(5))
+        x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
         cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-        return pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(cosine >= LEAST_COSINE))
+        return pa.record_batch([b.column(i) for i in range(4)], ["a", "b", "m", "n"]).filter(pa.array(cosine >= LEAST_COSINE))
 
-    left = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("x"))
-    right = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long")
+    left = vectors.select(F.col("id").alias("a"), F.col("copies").alias("m"), F.col("embedding").alias("x"))
+    right = vectors.select(F.col("id").alias("b"), F.col("copies").alias("n"), F.col("embedding").alias("y"))
+    asked = met.filter("n IS NULL").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y")
+    told = materialise(map_arrow(asked, verify, "a long, b long, m long, n long"), "verified")
+    return met.filter("n IS NOT NULL").union(told.select("a", "b", "n")).union(told.select("b", "a", "m"))
 
 
 def valid(name: str = "embedding"):
     e = F.col(name)
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return e.isNotNull() & (F.size(e) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(e, lambda x: x != 0)
+    return F.coalesce(e.isNotNull() & (F.size(e) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
 def link(df: DataFrame) -> DataFrame:
-    """One row per row of df: vec_id, n_links, component_id, kept."""
+    """One row per row of df: vec_id, n_links, component_id, kept. A row without a vec_id is never kept."""
     rows = df.select("vec_id", "embedding")
-    good = rows.filter(valid())
-    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = materialise(classes.select(F.xxhash64("embedding", F.lit(11)).alias("h"), "vec_id", "copies", "embedding").select("*", F.coalesce("vec_id", "h").alias("id")), "vectors")
+    plain = F.transform("embedding", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # one zero, not two
+    good = rows.filter(valid()).withColumn("embedding", plain).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(11), "embedding"))
+    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")  # numbers are fixed once written
     links = None
     for d in [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]:  # lengths, one as a rule
-        found = near_pairs(classes.filter(F.size("embedding") == d).select("id", "embedding"))
-        links = found if links is None else links.union(found)
+        found = near(classes.filter(F.size("embedding") == d).select("id", "copies", "embedding"))
+        links = found if links is None else links if found is None else links.union(found)
     if links is None:
-        links = df.sparkSession.createDataFrame([], "a long, b long")
-    links = materialise(links, "links")
-    labels = connected_components(links)
-    named = classes.select("id", "vec_id", "copies")
-    both = links.union(links.select("b", "a"))
-    beside = both.join(named.select(F.col("id").alias("b"), F.col("copies").alias("mates")), "b").groupBy("a").agg(F.sum("mates").alias("mates"))
+        links = df.sparkSession.createDataFrame([], MET)
+    labels = connected_components(links.select("a", "b"))
+    named = classes.select("id", "h1", "h2", "vec_id", "copies")
     of = named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = of.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    told = of.join(least, "component").join(beside.withColumnRenamed("a", "id"), "id", "left").select("id", "component_id", (F.coalesce("mates", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    by_class = classes.select("id", "embedding").join(told, "id").drop("id")
-    out = good.join(by_class, "embedding").select("vec_id", "n_links", "component_id")
+    mates = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("mates"))
+    told = of.join(least, "component").join(mates, "id", "left").select("h1", "h2", "component_id", (F.coalesce("mates", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = good.select("vec_id", "h1", "h2").join(told, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

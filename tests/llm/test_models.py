@@ -208,6 +208,45 @@ def test_op6_against_brute_force(spark):
     assert near_vectors.link(df.limit(0)).count() == 0
 
 
+def brute_links(vectors):
+    """(links of each row, smallest place reachable) by all cosines."""
+    x = np.array(vectors, dtype=np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    return hit.sum(axis=1), roots([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)], range(len(x)))
+
+
+def test_op6_tells_rows_of_one_id_apart(spark):
+    e = np.eye(8)
+    rows = [(1, e[0]), (1, e[1]), (2, e[0] + 0.1 * e[2]), (None, e[1]), (None, e[5]), (3, None), (3, e[6] * 4), (4, e[6]), (4, e[6] * 4)]
+    df = spark.createDataFrame([(i, None if v is None else v.tolist(), i) for i, v in rows], "vec_id long, embedding array<double>, id long")
+    got = sorted((tuple(r) for r in near_vectors.link(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, 1, False), (None, 0, None, False), (3, 0, 3, True), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False)], key=repr)
+
+
+@pytest.mark.parametrize("shape", ["group", "crowd", "wide", "pairs"])
+def test_op6_is_whole_on_crowded_vectors(spark, shape):
+    rng = np.random.default_rng(11)
+    if shape == "group":  # more near copies than one piece of a cell holds
+        x = np.concatenate([rng.normal(size=(300, 32)), rng.normal(size=32) + rng.normal(size=(1500, 32)) * 0.2])
+    elif shape == "crowd":  # strangers that share a strong direction
+        x = rng.normal(size=(900, 48)) + 6 * np.eye(48)[0] * rng.uniform(0.5, 1.5, (900, 1))
+    elif shape == "wide":
+        x = np.repeat(rng.normal(size=(200, 100)), 3, axis=0) + rng.normal(size=(600, 100)) * 0.3
+    else:  # pairs at the threshold, to four digits
+        u = near_vectors.unit(rng.normal(size=(500, 64)))
+        x = np.concatenate([u, near_vectors.partners(u, rng, 64) + 1e-5 * u])
+    want, root = brute_links(x)
+    rows = near_vectors.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    got = np.zeros(len(x), dtype=int)
+    for r in rows:
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+    if shape == "group":
+        assert (got == want).all() and all(r.component_id == root[r.vec_id] for r in rows)
+
+
 def test_op6_recall_on_the_table(spark):
     rows = table(spark, "embeddings").collect()
     x = np.array([r.embedding for r in rows], dtype=np.float64)
