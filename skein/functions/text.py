@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import fixed
 from .regex import WS, count, extract_all, like, replace, spark_pattern
 
-_BREAK = "\u001e"
+#: Ends a block while lines are put together; the character itself, where a text holds it, is written otherwise meanwhile.
+_BREAK, _SIGN, _KEPT = "\u001e1", "\u001e", "\u001e0"
 
 
 def let(x: Column, f) -> Column:
@@ -47,8 +48,8 @@ def blocks(text: Column) -> Column:
     marked = lambda bare: F.when(bare == "", F.lit(_BREAK)).otherwise(F.regexp_replace(bare, spark_pattern(r"^(?:[-*•]|\d+[.)])\s+(.*)\z"), f"{_BREAK}$1{_BREAK}"))
     line = lambda x: let(trim(x), marked)
 
-    joined = F.array_join(F.transform(F.split(text, "\n"), line), " ")
-    return F.filter(F.transform(F.split(joined, _BREAK), trim), lambda x: x != "")
+    joined = F.array_join(F.transform(F.split(F.replace(text, F.lit(_SIGN), F.lit(_KEPT)), "\n"), line), " ")
+    return F.filter(F.transform(F.split(joined, _BREAK), lambda b: F.replace(trim(b), F.lit(_KEPT), F.lit(_SIGN))), lambda x: x != "")
 
 
 _SENTENCE_END = spark_pattern(r"(?<=[.!?])(?<!(?:^|\s)(?i:" + "|".join(re.escape(a) for a in fixed.ABBREVIATIONS) + r")) (?=[A-Z\"'(\[])")
@@ -192,7 +193,7 @@ def format_chars(n: Column) -> Column:
 
 
 def capitalize_language(name: Column) -> Column:
-    up = lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1000))
+    up = lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.substr(n, F.lit(2)))
     return let(F.coalesce(name, F.lit("")), lambda n: F.when(n.isin("", "code"), F.lit("Code")).when(n == F.lower(n), up(n)).otherwise(n))
 
 

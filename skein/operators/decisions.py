@@ -17,7 +17,7 @@ CAP = 8
 def _names_something(s: Column, known: Column) -> Column:
     lower = F.lower(s)
     words = extract_all(replace(s, r"^[\s\"'(\[]+", ""), r"[A-Za-z][A-Za-z0-9_-]*")
-    named = F.exists(F.slice(words, 2, 1 << 20), lambda w: (F.length(w) >= 3) & F.substring(w, 1, 1).between("A", "Z") & ~w.isin(*fixed.PRONOUN_LIKE))
+    named = F.exists(F.slice(words, F.lit(2), F.size(words)), lambda w: (F.length(w) >= 3) & F.substring(w, 1, 1).between("A", "Z") & ~w.isin(*fixed.PRONOUN_LIKE))
     return F.exists(known, lambda t: (t != "") & F.contains(lower, t)) | named
 
 

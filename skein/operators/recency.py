@@ -23,7 +23,7 @@ def snippets(messages: DataFrame, identity: DataFrame, budget: int = fixed.STATE
     rows = rows.withColumn("s", F.filter(T.sentences(F.col("all")), lambda x: ~T.looks_like_header(x)))
     s, n = F.col("s"), F.size("s")
     user = F.when((n <= 3) | (F.get(s, n - 1) == F.get(s, F.lit(1))), F.when(n <= 3, s).otherwise(F.slice(s, 1, 2))).otherwise(F.concat(F.slice(s, 1, 2), F.slice(s, -1, 1)))
-    telling = F.filter(F.slice(s, 3, 1 << 20), lambda x: F.exists("known", lambda t: F.contains(F.lower(x), t)))
+    telling = F.filter(F.slice(s, F.lit(3), F.size(s)), lambda x: F.exists("known", lambda t: F.contains(F.lower(x), t)))
     picked = F.when(F.col("role") == "user", user).otherwise(F.slice(F.concat(F.slice(s, 1, 2), telling), 1, 4))
     body = F.concat(F.array_join(picked, " "), F.when(F.col("had_code"), " [+ code, see artifacts]").otherwise(""))
     text = F.when(F.col("all") == "", F.when(F.col("had_code"), "[code only - see artifacts]").otherwise("")).when(n == 0, T.cut_words(F.col("all"), 240, 239)).otherwise(T.cut_words(body, 400, 399))

@@ -1,7 +1,7 @@
 """The registered queries of the engine and their SQL counterparts.
 
-Queries run over the whole conversations table plus the seed rows. Walks that SQL does not express (greedy selection, folds over
-terms and decisions, sentence ranking, documents made of them) have no counterpart and are covered by the tests.
+Queries run over the whole conversations table plus the seed rows; those over exports read the table's conversations as exports, plus
+the seed exports.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import attachments as A
 from ..functions import fixed
@@ -20,6 +21,8 @@ from ..operators import candidates as C
 from ..operators import messages as M
 from ..sources import exports, share, tables
 from . import oracle as O
+from . import oracle_documents as D
+from . import oracle_exports as X
 from . import seeds
 from .compress import compress, types_of
 
@@ -188,41 +191,17 @@ def dropped_messages(spark, sf_dir):
 
 # Identity, decisions, recency, artifacts
 
-_COMMON = ", ".join(map(O.q, fixed.COMMON_LOWER))
-_CAPITAL = ", ".join(map(O.q, fixed.CAPITAL_STOPLIST))
-_WORDS = f"""{O.BLOCKS},
-texts AS (SELECT conv_id, msg_idx, string_agg(CASE WHEN type = 'text' THEN {O.plain("text")} ELSE array_to_string(string_split(text, chr(10))[1:10], chr(10)) END, ' ' ORDER BY block_idx) AS t FROM blocks GROUP BY conv_id, msg_idx),
-cut AS (SELECT conv_id, msg_idx, regexp_extract_all(t, '([^A-Za-z]*)([A-Za-z][A-Za-z0-9_-]*)', 1) AS gs, regexp_extract_all(t, '([^A-Za-z]*)([A-Za-z][A-Za-z0-9_-]*)', 2) AS ws FROM texts),
-words AS (SELECT c.conv_id, c.msg_idx, u.i, u.gap, u.word, u.i = 0 OR regexp_matches(u.gap, '[.!?]\\s*$|\\n') AS at_start FROM cut c, LATERAL (SELECT unnest(gs) AS gap, unnest(ws) AS word, unnest(range(len(ws))) AS i) u),
-seen AS (SELECT *, bool_or(NOT at_start) OVER (PARTITION BY conv_id, msg_idx, word) AS inside, word[1:1] BETWEEN 'A' AND 'Z' AS cap FROM words),
-entries AS (SELECT conv_id, msg_idx, i, 0 AS class, word AS term FROM seen WHERE length(word) >= 3 AND cap AND word NOT IN ({_CAPITAL}) AND (word = upper(word) OR NOT at_start OR inside)
-  UNION ALL SELECT conv_id, msg_idx, i, 1, lower(word) FROM seen WHERE length(word) >= 4 AND lower(word) NOT IN ({_COMMON}) AND (cap AND word NOT IN ({_CAPITAL}) OR NOT cap AND regexp_matches(word, '^[a-z0-9_-]+$'))),
-pairs AS (SELECT conv_id, msg_idx, i, word AS a, lead(word) OVER w AS b, lead(gap) OVER w AS g FROM words WINDOW w AS (PARTITION BY conv_id, msg_idx ORDER BY i)),
-fit AS (SELECT *, lower(a) || ' ' || lower(b) AS pair FROM pairs WHERE length(a) >= 3 AND length(b) >= 3 AND NOT regexp_matches(g, '[.!?\\n]') AND lower(a) NOT IN ({_COMMON}) AND lower(b) NOT IN ({_COMMON}) AND a NOT IN ({_CAPITAL}) AND b NOT IN ({_CAPITAL})
-  AND (a[1:1] BETWEEN 'A' AND 'Z' OR b[1:1] BETWEEN 'A' AND 'Z' OR regexp_matches(a, '^[a-z]+$') AND regexp_matches(b, '^[a-z]+$'))),
-counts AS (SELECT conv_id, class, term, count(*) AS count, count(DISTINCT msg_idx) AS messages, min(msg_idx * 1000000 + i) AS seen FROM entries GROUP BY conv_id, class, term
-  UNION ALL SELECT conv_id, 2, min_by(a || ' ' || b, msg_idx * 1000000 + i), count(*), count(DISTINCT msg_idx), min(msg_idx * 1000000 + i) FROM fit GROUP BY conv_id, pair),
-n AS (SELECT conv_id, count(*) AS n FROM messages GROUP BY conv_id),
-weighed AS (SELECT conv_id, class, term, count, messages, seen, messages / n AS spread, count * (CASE class WHEN 0 THEN 0.4 + 0.6 * messages / n WHEN 1 THEN 0.3 + 0.5 * messages / n ELSE 0.5 + 0.7 * messages / n END) AS weight
-  FROM counts JOIN n USING (conv_id) WHERE class = 0 AND count >= 2 AND messages >= 2 OR class = 1 AND count >= 5 AND messages >= 3 OR class = 2 AND count >= 3 AND messages >= 2)"""
-
-
-@query(f"WITH {_WORDS} SELECT conv_id, class, term, count, messages, round(spread, 9) AS spread, round(weight, 9) AS weight FROM weighed")
+@query(f"WITH {O.BLOCKS},{D.WORDS} SELECT conv_id, class, term, count, messages, round(spread, 9) AS spread, round(weight, 9) AS weight FROM weighed")
 def identity_terms(spark, sf_dir):
     return identity.all_terms(_messages(spark, sf_dir)).select("conv_id", "class", "term", "count", "messages", F.round("spread", 9).alias("spread"), F.round("weight", 9).alias("weight"))
 
 
-_TOP = f"""{_WORDS},
-top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, class, seen) AS rank FROM weighed),
-familiar AS (SELECT conv_id, list(lower(term) ORDER BY rank) AS terms FROM top WHERE rank <= 12 GROUP BY conv_id)"""
-
-
-@query(f"WITH {_TOP} SELECT conv_id, rank, term FROM top WHERE rank <= 12")
+@query(f"WITH {O.BLOCKS},{D.TOP} SELECT conv_id, rank, term FROM top WHERE rank <= 12")
 def identity_top_terms(spark, sf_dir):
     return identity.top_terms(identity.all_terms(_messages(spark, sf_dir))).select("conv_id", F.col("rank").cast("long").alias("rank"), "term")
 
 
-@query(f"""WITH {_TOP}, names AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, seen) AS r FROM weighed WHERE class = 0 AND spread >= 0.02)
+@query(f"""WITH {O.BLOCKS},{D.TOP}, names AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, seen) AS r FROM weighed WHERE class = 0 AND spread >= 0.02)
 SELECT conv_id, term AS project_name, CASE WHEN term IS NULL THEN 'low' WHEN count >= 10 AND messages >= 5 THEN 'high' WHEN count >= 4 AND messages >= 3 THEN 'medium' ELSE 'low' END AS confidence
   FROM (SELECT DISTINCT conv_id FROM known_ids) LEFT JOIN (SELECT * FROM names WHERE r = 1) USING (conv_id)""".replace("known_ids", "turns WHERE role IN ('user', 'assistant', 'system', 'tool')"))
 def project_name(spark, sf_dir):
@@ -230,61 +209,29 @@ def project_name(spark, sf_dir):
     return identity.identity(c.conversations, c.messages).select("conv_id", "project_name", "confidence")
 
 
-@query()
+@query(f"WITH {O.BLOCKS},{D.IDENTITY} SELECT conv_id, project_name, project_line, confidence, recent_focus_line, recent_blocks FROM identities")
 def project_identity(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return identity.identity(c.conversations, c.messages).select("conv_id", "project_name", "project_line", "confidence", "recent_focus_line", "recent_blocks")
-
-
-_NEGATED = fixed.NEGATION.replace("(?!", "(?:")
-
-
-def _decided(pattern: str) -> str:
-    """Whether s matches; a pattern that forbids a negation is tried without that and with a negation required."""
-    if fixed.NEGATION not in pattern:
-        return O.like("s", pattern)
-    return f"({O.like('s', pattern.replace(fixed.NEGATION, ''))} AND NOT {O.like('s', pattern.replace(fixed.NEGATION, _NEGATED))})"
-
-
-_NAMES = "list_filter(regexp_extract_all(regexp_replace(s, '^[\\s\"''(\\[]+', ''), '[A-Za-z][A-Za-z0-9_-]*')[2:], lambda w: length(w) >= 3 AND w[1:1] BETWEEN 'A' AND 'Z' AND w NOT IN ({})))".format(", ".join(map(O.q, fixed.PRONOUN_LIKE)))
-_NAMES = "len(" + _NAMES
+    out = identity.identity(c.conversations, c.messages)
+    return out.select("conv_id", "project_name", "project_line", "confidence", "recent_focus_line", F.col("recent_blocks").cast("long").alias("recent_blocks"))
 
 
-@query(f"""WITH {_TOP},
-split AS (SELECT conv_id, msg_idx, block_idx, message_id, role, list_filter(list_transform(string_split_regex(regexp_replace({O.plain("text")}, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30) || '|\\n+'), lambda x: {O.ws("x")}), lambda x: x <> '') AS ss FROM blocks WHERE type = 'text'),
-said AS (SELECT d.conv_id, d.msg_idx, d.block_idx, d.message_id, d.role, u.s, u.i, coalesce(terms[1:5], []) AS ks FROM split d LEFT JOIN familiar USING (conv_id), LATERAL (SELECT unnest(d.ss) AS s, unnest(range(len(d.ss))) AS i) u),
-shaped AS (SELECT *, len(list_filter(ks, lambda t: contains(lower(s), t))) > 0 AS names FROM said WHERE length(s) BETWEEN 25 AND 300 AND NOT starts_with(s, '#') AND NOT ends_with(s, '?') AND NOT regexp_matches(s, ':\\s*$')
-  AND NOT {O.like("s", fixed.PROPOSAL)} AND NOT {O.like("s", fixed.INSTRUCTION_LEAD)} AND NOT {O.like("s", fixed.NARRATION_LEAD)} AND NOT {O.header("s")} AND regexp_matches(s, '[a-zA-Z]')
-  AND NOT ({O.like("s", fixed.FRAGMENT_LEAD)} AND NOT {O.like("s[1:80]", fixed.FRAGMENT_SUBJECT)}) AND NOT ({O.like("s", fixed.HYPOTHETICAL_LEAD)} AND {O.like("s", fixed.HYPOTHETICAL_VERB)})),
-strong AS (SELECT *, CASE WHEN {_decided(fixed.HARD_DECISION)} THEN 3 WHEN {_decided(fixed.DECISION_TRADEOFF)} THEN 2.5 WHEN {_decided(fixed.SOFT_COMMIT)} THEN 2 WHEN role = 'assistant' AND {_decided(fixed.RECOMMEND)} THEN 1.5 ELSE 0 END AS base
-  FROM shaped WHERE len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) >= 8 OR names OR {_NAMES} > 0)
-SELECT conv_id, msg_idx, s AS text, round(msg_idx / greatest(1, n - 1), 9) AS position, round(base + CASE WHEN names THEN 0.3 ELSE 0 END + 0.5 * msg_idx / greatest(1, n - 1), 9) AS strength, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx, block_idx, i) AS ord FROM strong JOIN n USING (conv_id) WHERE base > 0""")
+@query(f"WITH {O.BLOCKS},{D.TOP},{D.FOUND} SELECT conv_id, msg_idx, text, round(position, 9) AS position, round(strength, 9) AS strength, ord FROM decisions")
 def decision_sentences(spark, sf_dir):
     c = corpus(spark, sf_dir)
     found = decisions.find(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
     return found.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "text", F.round("position", 9).alias("position"), F.round("strength", 9).alias("strength"), F.col("ord").cast("long").alias("ord"))
 
 
-@query()
+@query(f"WITH {O.BLOCKS},{D.TOP},{D.DECIDED} SELECT conv_id, i, round(position, 9) AS position, round(strength, 9) AS strength, text, message_id FROM kept_decisions")
 def extract_decisions(spark, sf_dir):
     c = corpus(spark, sf_dir)
     who = stage(identity.identity(c.conversations, c.messages), "identity")
-    return decisions.extract(c.messages, who).select("conv_id", F.posexplode("decisions").alias("i", "d")).select("conv_id", "i", "d.*")
+    out = decisions.extract(c.messages, who).select("conv_id", F.posexplode("decisions").alias("i", "d"))
+    return out.select("conv_id", F.col("i").cast("long").alias("i"), F.round("d.position", 9).alias("position"), F.round("d.strength", 9).alias("strength"), "d.text", "d.message_id")
 
 
-def _cut(t: str, most: int) -> str:
-    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE regexp_replace(substr({t}, 1, {most - 1}), '\\s\\S*$', '') || '...' END"
-
-
-@query(f"""WITH {_TOP},
-tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM messages WHERE role IN ('user', 'assistant')) WHERE back <= 30),
-told AS (SELECT conv_id, msg_idx, coalesce({O.ws(f"regexp_replace(string_agg({O.plain('text')}, ' ' ORDER BY block_idx) FILTER (WHERE type = 'text'), '\\s+', ' ', 'g')")}, '') AS whole, bool_or(type = 'code') AS had_code FROM blocks GROUP BY conv_id, msg_idx),
-parted AS (SELECT t.conv_id, t.msg_idx, t.role, whole, had_code, coalesce(terms, []) AS ks, list_filter({O.sentences('whole')}, lambda x: NOT {O.header('x')}) AS ss FROM tail t JOIN told USING (conv_id, msg_idx) LEFT JOIN familiar ON familiar.conv_id = t.conv_id),
-picked AS (SELECT *, CASE WHEN role = 'user' THEN CASE WHEN len(ss) <= 3 THEN ss WHEN ss[-1] = ss[2] THEN ss[1:2] ELSE ss[1:2] || ss[-1:] END ELSE (ss[1:2] || list_filter(ss[3:], lambda x: len(list_filter(ks, lambda k: contains(lower(x), k))) > 0))[1:4] END AS p FROM parted),
-joined AS (SELECT *, array_to_string(p, ' ') || CASE WHEN had_code THEN ' [+ code, see artifacts]' ELSE '' END AS t FROM picked),
-lines AS (SELECT conv_id, msg_idx, role, had_code, CASE WHEN whole = '' THEN CASE WHEN had_code THEN '[code only - see artifacts]' ELSE '' END WHEN len(ss) = 0 THEN {_cut('whole', 240)} ELSE {_cut('t', 400)} END AS text FROM joined),
-costs AS (SELECT *, sum(length(text) + 20) OVER w AS c, row_number() OVER w AS r FROM lines WINDOW w AS (PARTITION BY conv_id ORDER BY msg_idx DESC))
-SELECT conv_id, msg_idx, role, text, had_code FROM costs WHERE c <= 3500 OR r <= 2""")
+@query(f"WITH {O.BLOCKS},{D.TOP},{D.SNIPPETS} SELECT conv_id, msg_idx, role, text, had_code FROM snippets")
 def recent_snippets(spark, sf_dir):
     c = corpus(spark, sf_dir)
     out = recency.snippets(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
@@ -298,41 +245,43 @@ def trim_to_budget(spark, sf_dir):
     return recency.suffix_budget(rows, T.length(F.col("text")) + 20, fixed.STATE_BUDGET).select("conv_id", "msg_idx")
 
 
-@query(f"""WITH {O.PLAIN}, recent AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS back FROM messages WHERE role = 'user'),
-ss AS (SELECT conv_id, msg_idx, {O.sentences('plain')} AS ss FROM plains JOIN (SELECT conv_id, msg_idx FROM recent WHERE back <= 10) USING (conv_id, msg_idx)),
-said AS (SELECT conv_id, msg_idx, u.i, u.s FROM ss, LATERAL (SELECT unnest(ss) AS s, unnest(range(len(ss))) AS i) u WHERE length(u.s) BETWEEN 12 AND 240 AND NOT {O.header('u.s')} AND {O.like('u.s', fixed.NEXT_STEP)}),
-once AS (SELECT *, row_number() OVER (PARTITION BY conv_id, {O.key('s')} ORDER BY msg_idx DESC, i) AS d FROM said),
-top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC, i) AS k FROM once WHERE d = 1)
-SELECT conv_id, msg_idx, i, s AS text, round(msg_idx / greatest(1, n - 1), 9) AS position FROM top JOIN sizes USING (conv_id) WHERE k <= 5""")
+@query(f"WITH {O.BLOCKS},{D.STEPS} SELECT conv_id, msg_idx, i, text, round(position, 9) AS position FROM steps")
 def next_steps(spark, sf_dir):
     return recency.next_steps(_messages(spark, sf_dir)).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), F.col("i").cast("long").alias("i"), "text", F.round("position", 9).alias("position"))
 
 
-@query(f"""WITH {O.SAID}, asked AS (SELECT b.conv_id, b.msg_idx, b.block_idx, u.i, u.s FROM (SELECT blocks.*, {O.sentences(O.plain('blocks.text'))} AS ss FROM blocks JOIN context USING (conv_id, msg_idx) WHERE type = 'text' AND unanswered AND n_messages - msg_idx <= 20) b,
-  LATERAL (SELECT unnest(b.ss) AS s, unnest(range(len(b.ss))) AS i) u WHERE ends_with(u.s, '?') AND length(u.s) BETWEEN 12 AND 240),
-once AS (SELECT *, row_number() OVER (PARTITION BY conv_id, {O.key('s')} ORDER BY msg_idx, block_idx, i) AS d FROM asked),
-top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx, block_idx, i) AS ord FROM once WHERE d = 1) SELECT conv_id, ord, s AS text FROM top WHERE ord <= 5""")
+@query(f"WITH {O.SAID},{D.QUESTIONS} SELECT conv_id, ord, text FROM questions")
 def open_questions(spark, sf_dir):
     return recency.open_questions(_messages(spark, sf_dir)).select("conv_id", F.col("ord").cast("long").alias("ord"), "text")
 
 
-@query()
+@query(f"WITH {O.BLOCKS},{D.PLAN} SELECT conv_id, msg_idx, u.i, u.p.label AS label, u.p.text AS text FROM plan, LATERAL (SELECT unnest(plan) AS p, unnest(range(len(plan))) AS i) u")
 def structured_plan(spark, sf_dir):
-    return recency.structured_plan(_messages(spark, sf_dir)).select("conv_id", "msg_idx", F.posexplode("plan").alias("i", "p")).select("conv_id", "msg_idx", "i", "p.label", "p.text")
+    out = recency.structured_plan(_messages(spark, sf_dir)).select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), F.posexplode("plan").alias("i", "p"))
+    return out.select("conv_id", "msg_idx", F.col("i").cast("long").alias("i"), "p.label", "p.text")
+
+
+def _all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the turns and of the exports: these have artifacts and attachments, those long blocks of code."""
+    turns = _messages(spark, sf_dir).withColumn("conv_id", F.col("conv_id").cast("string"))
+    return stage(turns.unionByName(exports.parse(_exports(spark, sf_dir)).messages), "messages")
 
 
-@query()
+@query(f"{D.ARTIFACTS} SELECT conv_id, ord, source, display_name, description, language, loc, char_len, inline_content, anonymous FROM summaries")
 def artifact_summaries(spark, sf_dir):
-    return artifacts.summarize(_messages(spark, sf_dir))
+    out = artifacts.summarize(_all_messages(spark, sf_dir))
+    return out.select("conv_id", F.col("ord").cast("long").alias("ord"), "source", "display_name", "description", "language", F.col("loc").cast("long").alias("loc"), "char_len", "inline_content", "anonymous")
 
 
-_VERSIONS = [(1, 0, "a", 1), (1, 1, "b", 1), (1, 2, "a", 2), (1, 3, "a", 3), (2, 0, "a", 1), (2, 1, "c", 1)]
+@query(f"{D.ARTIFACTS} SELECT conv_id, section AS artifacts_section FROM artifact_sections")
+def artifact_sections(spark, sf_dir):
+    return artifacts.section(stage(artifacts.summarize(_all_messages(spark, sf_dir)), "artifacts"))
 
 
-@query(f"SELECT conv_id, msg_idx, artifact_id, version FROM (SELECT *, max(version) OVER (PARTITION BY conv_id, artifact_id) AS v FROM (VALUES {seeds.values(_VERSIONS)}) t(conv_id, msg_idx, artifact_id, version)) WHERE version = v")
+@query(f"{X.PARSED_WITH} SELECT conv_id, artifact_id, version, title, language, text FROM export_blocks WHERE type = 'artifact'")
 def artifact_latest(spark, sf_dir):
-    rows = spark.createDataFrame(_VERSIONS, "conv_id int, msg_idx int, artifact_id string, version int").withColumn("type", F.lit("artifact"))
-    return artifacts.collapse_versions(rows).select("conv_id", "msg_idx", "artifact_id", "version")
+    rows = M.blocks(exports.parse(_exports(spark, sf_dir)).messages).filter("type = 'artifact'")
+    return artifacts.collapse_versions(rows).select("conv_id", "artifact_id", F.col("version").cast("long").alias("version"), "title", "language", "text")
 
 
 # Attachments and links
@@ -341,12 +290,8 @@ _FILES = f"(VALUES {seeds.values(seeds.FILES)}) f(filename, mime, size)"
 _isin = lambda x, words: f"{x} IN ({', '.join(map(O.q, words))})"
 
 
-@query(f"""SELECT filename, CASE WHEN b IN ('dockerfile', 'makefile') THEN 'code_file' WHEN e = 'svg' THEN 'image' WHEN {_isin("e", fixed.CODE_EXTENSIONS)} THEN 'code_file' WHEN {_isin("e", fixed.IMAGE_EXTENSIONS)} THEN 'image' WHEN e = 'pdf' THEN 'pdf'
-  WHEN {_isin("e", fixed.DOCUMENT_EXTENSIONS)} THEN 'document' WHEN mime LIKE 'image/%' THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime LIKE 'text/%' OR mime IN ('application/json', 'application/xml') OR mime LIKE '%javascript%' OR mime LIKE '%typescript%' THEN 'code_file'
-  WHEN mime LIKE '%word%' OR mime LIKE '%excel%' OR mime LIKE '%powerpoint%' OR mime LIKE '%opendocument%' THEN 'document' ELSE 'other' END AS kind,
-  CASE string_split(lower(filename), '.')[-1] {' '.join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in fixed.LANGUAGES.items())} ELSE '' END AS language, regexp_replace(trim(filename), '^\\d{{10,16}}_', '') AS shown,
-  CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', floor(size * 10 / 1024.0 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(size * 10 / 1048576.0 + 0.5) / 10) || ' MB' END AS told
-  FROM (SELECT *, CASE WHEN contains(filename, '.') THEN string_split(lower(filename), '.')[-1] ELSE '' END AS e, string_split(lower(filename), '/')[-1] AS b FROM {_FILES})""")
+@query(f"""SELECT filename, {D.classified("filename", "mime")} AS kind, {D.language("filename")} AS language, regexp_replace(trim(filename), '^\\d{{10,16}}_', '') AS shown,
+  CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', floor(size * 10 / 1024.0 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(size * 10 / 1048576.0 + 0.5) / 10) || ' MB' END AS told FROM {_FILES}""")
 def classify_attachments(spark, sf_dir):
     f = F.col("filename")
     rows = spark.createDataFrame(seeds.FILES, "filename string, mime string, size long")
@@ -362,57 +307,88 @@ def parse_share_url(spark, sf_dir):
     return urls.select("url", share.platform(F.col("url")).alias("platform"), share.share_id(F.col("url")).alias("share_id"))
 
 
-_PAGES = [(1, 'x streamController.enqueue("[{\\"_1\\":2},\\"hello\\",{\\"_3\\":4},") y streamController.enqueue("\\"nested\\",\\"value\\"]\\nP5:[{}]") z'), (2, "nothing here"), (3, 'streamController.enqueue("[[1,-5,2],\\"a\\",{\\"k\\":1}]")')]
-_DECODED = [(1, '{"hello": {"nested": "value"}}'), (2, None), (3, '["a", null, {"k": 1}]')]
+_PAGES = [(9000001, 'x streamController.enqueue("[{\\"_1\\":2},\\"hello\\",{\\"_3\\":4},") y streamController.enqueue("\\"nested\\",\\"value\\"]\\nP5:[{}]") z'), (9000002, "nothing here"), (9000003, 'streamController.enqueue("[[1,-5,2],\\"a\\",{\\"k\\":1}]")')]
+_DECODED = [(9000001, '{"hello": {"nested": "value"}}'), (9000002, None), (9000003, '["a", null, {"k": 1}]')]
 
 
-@query(f"SELECT * FROM (VALUES {seeds.values(_DECODED)}) v(page_id, decoded)")
+@query(f"SELECT page_id, NULL::VARCHAR AS decoded FROM pages WHERE NOT contains(html, 'streamController.enqueue(') UNION ALL SELECT * FROM (VALUES {seeds.values(_DECODED)}) v(page_id, decoded)")
 def decode_share_page(spark, sf_dir):
-    rows = spark.createDataFrame(_PAGES, "page_id int, html string").withColumn("payload", share.payload(F.col("html")))
-    return rows.select("page_id", share.decode(F.col("payload")).alias("decoded"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").union(spark.createDataFrame(_PAGES, "page_id long, html string"))
+    return pages.withColumn("payload", share.payload(F.col("html"))).select("page_id", share.decode(F.col("payload")).alias("decoded"))
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, raw): the seed exports and all conversations of the table as exports, odd ids in the one format, even ids in the other."""
+    turns = seeds.turns(spark, sf_dir)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumn("before", F.lag("turn").over(order)).withColumn("after", F.lead("turn").over(order))
+    node = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    uuid, talk = (F.concat(F.lit(x), F.col("conv_id").cast("string")) for x in ("c", "Talk "))
+    said = F.struct(F.concat(F.lit("m"), "turn").alias("uuid"), F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    content = F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts"))
+    message = F.struct(F.concat(F.lit("m"), "turn").alias("id"), F.struct("role").alias("author"), content.alias("content"))
+    placed = F.struct(node("before").alias("parent"), F.array_compact(F.array(node("after"))).alias("children"), message.alias("message"))
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said"), F.struct(node("turn").alias("key"), placed.alias("value")).alias("node")))).alias("all"))
+    flat = F.to_json(F.struct(uuid.alias("uuid"), talk.alias("name"), F.lit("2024-01-02T03:04:05Z").alias("created_at"), F.concat(F.lit("2023-02-0"), (1 + F.col("conv_id") % 9).cast("string"), F.lit("T00:00:00Z")).alias("updated_at"), F.transform("all", lambda x: x["said"]).alias("chat_messages")))
+    tree = F.to_json(F.struct(talk.alias("title"), uuid.alias("conversation_id"), (1600000000 + F.col("conv_id") % 1000).alias("create_time"), F.map_from_entries(F.transform("all", lambda x: x["node"])).alias("mapping")))
+    odd = F.col("conv_id") % 2 == 1
+    made = per.select(F.concat(F.when(odd, "list-").otherwise("tree-"), F.col("conv_id").cast("string")).alias("file"), F.when(odd, flat).otherwise(tree).alias("raw"))
+    return spark.createDataFrame(seeds.EXPORTS, "file string, raw string").union(made)
+
+
+@query(f"WITH {X.RAWS} SELECT file, format, CASE WHEN NOT ok THEN 'not_json' WHEN format = 'unknown' THEN 'unknown_format' END AS error FROM formats")
+def detect_format(spark, sf_dir):
+    return exports.identify(_exports(spark, sf_dir)).select("file", "format", "error")
 
 
-_TREE = '{"title":" Tree ","create_time":1700000000,"update_time":1700000600,"conversation_id":"t1","current_node":"n3","mapping":{"n0":{"parent":null,"children":["n1"],"message":null},"n1":{"parent":"n0","children":["n2","n3"],"message":{"id":"m1","author":{"role":"user"},"create_time":1700000060,"content":{"content_type":"text","parts":["Run this:\\n```sql\\nselect 1\\n```\\nplease"]}}},"n2":{"parent":"n1","children":[],"message":{"id":"m2","author":{"role":"assistant"},"content":{"content_type":"text","parts":["old"]}}},"n3":{"parent":"n1","children":[],"message":{"id":"m3","author":{"role":"assistant"},"content":{"content_type":"multimodal_text","parts":["new",{"content_type":"image_asset_pointer","asset_pointer":"x","size_bytes":7}]}}}}}'
-_LIST = '{"conversations":[{"uuid":"l1","name":"List","created_at":"2024-01-02T03:04:05Z","chat_messages":[{"uuid":"u1","sender":"human","text":"hi","content":"Plain ask"},{"uuid":"u2","sender":"assistant","content":[{"type":"text","text":"See"},{"type":"tool_use","name":"artifacts","input":{"id":"d","title":"doc.md","content":"one"}},{"type":"tool_use","name":"search","input":{"z":"last","a":"first"}}]},{"uuid":"u3","sender":"assistant","content":[{"type":"tool_use","name":"artifacts","input":{"id":"d","title":"doc.md","content":"two"}},{"type":"tool_result","content":"ok"}],"files":[{"file_name":"p.pdf","file_size":9}]}]}]}'
-_EXPORTS = [("a", _TREE), ("b", _LIST), ("c", '{"x":1}'), ("d", "{broken"), ("e", "[]")]
-_FORMATS = [("a", "chatgpt", None), ("b", "claude", None), ("c", "unknown", "unknown_format"), ("d", "unknown", "not_json"), ("e", "unknown", "unknown_format")]
-_PARSED = [
-    ("l1", 0, "user", 0, "text", None, "Plain ask", None), ("l1", 1, "assistant", 0, "text", None, "See", None), ("l1", 1, "assistant", 1, "tool_use", None, None, "z=last, a=first"), ("l1", 2, "assistant", 0, "artifact", None, "two", None), ("l1", 2, "assistant", 1, "tool_result", None, None, "ok"),
-    ("t1", 0, "user", 0, "text", None, "Run this:", None), ("t1", 0, "user", 1, "code", "sql", "select 1", None), ("t1", 0, "user", 2, "text", None, "please", None), ("t1", 1, "assistant", 0, "text", None, "new", None),
-]
+@query(f"{X.PARSED_WITH} SELECT conv_id, msg_idx, role, block_idx, type, language, text, title, version, tool_name, summary FROM export_blocks")
+def parse_exports(spark, sf_dir):
+    out = M.blocks(exports.parse(_exports(spark, sf_dir)).messages)
+    return out.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "role", F.col("block_idx").cast("long").alias("block_idx"), "type", "language", "text", "title", F.col("version").cast("long").alias("version"), "tool_name", "summary")
 
 
-def _exports(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_EXPORTS, "file string, raw string")
+@query(f"{X.PARSED_WITH} SELECT conv_id, msg_idx, message_id, role, created FROM export_messages")
+def export_messages(spark, sf_dir):
+    """Active branches, roles, ids and times."""
+    return exports.parse(_exports(spark, sf_dir)).messages.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "message_id", "role", F.unix_millis("created_at").alias("created"))
 
 
-@query(f"SELECT * FROM (VALUES {seeds.values(_FORMATS)}) v(file, format, error)")
-def detect_format(spark, sf_dir):
-    return exports.identify(_exports(spark)).select("file", "format", "error")
+@query(f"{X.PARSED_WITH} SELECT conv_id, msg_idx, i, {D.classified('filename', 'mime')} AS kind, filename, size, CASE WHEN {D.classified('filename', 'mime')} = 'code_file' THEN content END AS inline_content FROM export_files")
+def export_attachments(spark, sf_dir):
+    rows = exports.parse(_exports(spark, sf_dir)).messages.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), F.posexplode("attachments").alias("i", "a"))
+    return rows.select("conv_id", "msg_idx", F.col("i").cast("long").alias("i"), F.col("a.type").alias("kind"), "a.filename", "a.size", "a.inline_content")
 
 
-@query(f"SELECT * FROM (VALUES {seeds.values(_PARSED)}) v(conv_id, msg_idx, role, block_idx, type, language, text, summary)")
-def parse_exports(spark, sf_dir):
-    return M.blocks(exports.parse(_exports(spark)).messages).select("conv_id", "msg_idx", "role", "block_idx", "type", "language", "text", "summary")
+@query(f"""{X.PARSED_WITH} SELECT conv_id, format AS source, title, created, changed, j->>'$.model' AS model, CASE WHEN format = 'chatgpt' THEN system_prompt END AS system_prompt FROM convs
+  LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY bi, o) AS system_prompt FROM spoken JOIN versioned USING (conv_id, pos) WHERE rn = 1 AND role = 'system' GROUP BY conv_id HAVING length(string_agg(text, chr(10))) >= 20) USING (conv_id)""")
+def export_conversations(spark, sf_dir):
+    return exports.parse(_exports(spark, sf_dir)).conversations.select("conv_id", "source", "title", F.unix_millis("created_at").alias("created"), F.unix_millis("changed_at").alias("changed"), "model", "system_prompt")
 
 
-_LISTED = [("a", "t1", "Tree", 3), ("b", "l1", "List", 3)]
+@query(f"WITH {X.RAWS}, late AS (SELECT conv_id FROM convs ORDER BY changed DESC NULLS LAST, file, n LIMIT 1) SELECT conv_id, 'newest' AS how FROM late UNION ALL SELECT conv_id, 'by id' FROM convs WHERE conv_id = 'l1'")
+def pick_conversations(spark, sf_dir):
+    """The newest conversation, and one by its id."""
+    c = exports.parse(_exports(spark, sf_dir))
+    found = [exports.pick(c, name).conversations.select("conv_id", F.lit(how).alias("how")) for name, how in ((None, "newest"), ("l1", "by id"))]
+    return found[0].union(found[1])
 
 
-@query(f"SELECT * FROM (VALUES {seeds.values(_LISTED)}) v(file, id, title, message_count)")
+@query(f"""WITH {X.RAWS} SELECT file, coalesce(given, made) AS id, coalesce(title, 'Untitled conversation') AS title, changed, CASE format WHEN 'claude' THEN json_array_length(j, '$.chat_messages')
+  ELSE (SELECT count(*) FROM json_each(j, '$.mapping') e WHERE json_type(e.value, '$.message') = 'OBJECT' AND coalesce(e.value->>'$.message.author.role', '') <> 'system') END::BIGINT AS message_count FROM every""")
 def list_exports(spark, sf_dir):
-    return exports.list_conversations(_exports(spark)).select("file", "id", "title", "message_count")
+    return exports.list_conversations(_exports(spark, sf_dir)).select("file", "id", "title", F.unix_millis("created_at").alias("changed"), F.col("message_count").cast("long").alias("message_count"))
 
 
-@query("SELECT 'b' AS file, 'l1' AS uuid")
+@query(f"WITH {X.RAWS} SELECT file, j->>'$.uuid' AS uuid, json_array_length(j, '$.chat_messages')::BIGINT AS size FROM every WHERE given = 'l1'")
 def extract_export(spark, sf_dir):
-    return exports.extract_raw(_exports(spark).filter("file <> 'x'"), "l1").select("file", F.get_json_object("json", "$.uuid").alias("uuid"))
+    out = exports.extract_raw(_exports(spark, sf_dir), "l1")
+    return out.select("file", F.get_json_object("json", "$.uuid").alias("uuid"), F.json_array_length(F.get_json_object("json", "$.chat_messages")).cast("long").alias("size"))
 
 
 # Summaries and documents
 
 
-@query()
+@query(D.TEXTRANK)
 def textrank_summary(spark, sf_dir):
     rows = seeds.turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text")
     return textrank.summarize(rows, "message_id", "text", 3)
@@ -423,7 +399,7 @@ def render_tldr(spark, sf_dir):
     return compress(corpus(spark, sf_dir), "tldr").select("conv_id", "type", "input_chars", "markdown", "output_chars")
 
 
-@query()
+@query(D.RESUME)
 def render_resume(spark, sf_dir):
     return compress(corpus(spark, sf_dir), "resume")
 

@@ -223,23 +223,44 @@ def _numbered(messages: DataFrame) -> DataFrame:
     return kept.withColumn("msg_idx", F.row_number().over(order) - 1).select("conv_id", "msg_idx", "message_id", "role", "created_at", "blocks", "attachments")
 
 
+#: What tells a conversation's id, name and date in either format.
+HEAD = "conversation_id string, id string, uuid string, title string, name string, update_time double, create_time double, updated_at string, created_at string"
+
+
+def _identified(files: DataFrame) -> DataFrame:
+    """conversations() with conv_id, unique over all files. One shuffle, by the id; all that follows keeps its partitioning.
+
+    Of conversations with the same id the one changed last counts, of equal dates the first by file and place: exports overlap. Ids
+    made up for conversations without one may be the same for several; those after the first get a number.
+    """
+    rows = conversations(files).withColumn("h", F.from_json("json", HEAD))
+    tree, h = F.col("format") == "chatgpt", F.col("h")
+    given = F.when(tree, F.coalesce(h["conversation_id"], h["id"])).otherwise(h["uuid"])
+    name = F.when(tree, _tree_id(h)).otherwise(_list_id(h))
+    changed = F.when(tree, _instant(F.coalesce(h["update_time"], h["create_time"]))).otherwise(F.try_to_timestamp(F.coalesce(h["updated_at"], h["created_at"])))
+    rows = rows.select("file", "n", "format", "json", name.alias("conv_id"), given.isNotNull().alias("given"), changed.alias("changed_at"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("given").desc(), F.col("changed_at").desc_nulls_last(), "file", "n")
+    rows = rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1 OR NOT given")
+    return rows.withColumn("conv_id", F.when(F.col("_r") == 1, F.col("conv_id")).otherwise(F.concat_ws("-", "conv_id", "_r"))).drop("_r", "given")
+
+
 def parse(files: DataFrame) -> Corpus:
-    """All conversations of all files. Unreadable files give none; identify() says why."""
-    rows = conversations(files)
-    tree = rows.filter("format = 'chatgpt'").withColumn("c", F.from_json("json", TREE)).withColumn("conv_id", _tree_id(F.col("c")))
-    flat = rows.filter("format = 'claude'").withColumn("c", F.from_json("json", LIST)).withColumn("conv_id", _list_id(F.col("c")))
+    """All conversations of all files, each id once. Unreadable files give none; identify() says why."""
+    rows = _identified(files)
+    tree = rows.filter("format = 'chatgpt'").withColumn("c", F.from_json("json", TREE))
+    flat = rows.filter("format = 'claude'").withColumn("c", F.from_json("json", LIST))
     tree_messages, prompts = lift_system_prompt(_numbered(_tree_messages(tree).filter("size(blocks) + size(attachments) > 0")))
     messages = tree_messages.unionByName(_numbered(_list_messages(flat)).withColumn("msg_idx", F.col("msg_idx").cast("int")))
-    a = tree.select("conv_id", F.lit("chatgpt").alias("source"), _filled(F.col("c.title")).alias("title"), _instant(F.col("c.create_time")).alias("created_at"), F.col("c.default_model_slug").alias("model"), _instant(F.coalesce("c.update_time", "c.create_time")).alias("changed_at"), "n")
-    b = flat.select("conv_id", F.lit("claude").alias("source"), _filled(F.col("c.name")).alias("title"), F.try_to_timestamp("c.created_at").alias("created_at"), F.col("c.model").alias("model"), F.try_to_timestamp(F.coalesce("c.updated_at", "c.created_at")).alias("changed_at"), "n")
+    a = tree.select("conv_id", F.lit("chatgpt").alias("source"), _filled(F.col("c.title")).alias("title"), _instant(F.col("c.create_time")).alias("created_at"), F.col("c.default_model_slug").alias("model"), "changed_at", "file", "n")
+    b = flat.select("conv_id", F.lit("claude").alias("source"), _filled(F.col("c.name")).alias("title"), F.try_to_timestamp("c.created_at").alias("created_at"), F.col("c.model").alias("model"), "changed_at", "file", "n")
     convs = a.join(prompts, "conv_id", "left").unionByName(b.withColumn("system_prompt", F.lit(None).cast("string")))
     return Corpus(convs, messages)
 
 
 def pick(corpus: Corpus, conversation_id: str | None = None) -> Corpus:
-    """The conversation with the id, or the one changed last; of equal dates the first in its file."""
+    """The conversation with the id, or the one changed last; of equal dates the first by file and place."""
     c = corpus.conversations
-    one = c.filter(F.col("conv_id") == conversation_id) if conversation_id is not None else c.orderBy(F.col("changed_at").desc_nulls_last(), "n").limit(1)
+    one = c.filter(F.col("conv_id") == conversation_id) if conversation_id is not None else c.orderBy(F.col("changed_at").desc_nulls_last(), "file", "n").limit(1)
     return Corpus(one, corpus.messages.join(one.select("conv_id"), "conv_id", "left_semi"))
 
 

@@ -1,13 +1,14 @@
 """Share links and share pages: link forms, the page's payload, the conversation in it.
 
 Fetching pages is left to the caller; ERROR_CODES names what it may meet. A payload is a flat array whose objects and lists refer to
-other places by number; following the references is recursive, so that part is a function over Arrow batches.
+other places by number; following the references is a walk that column expressions do not hold, so that part is a function over
+Arrow batches. It keeps a stack of its own and each place's value, and gives up (null) where a payload stands for more than
+MOST_VALUES values or nests deeper than JSON readers go.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 
 import pandas as pd
@@ -22,6 +23,8 @@ from ..functions.regex import like
 ERROR_CODES = ("INVALID_URL", "NOT_FOUND_OR_PRIVATE", "UPSTREAM_BLOCKED", "FETCH_FAILED", "TIMED_OUT", "FORMAT_CHANGED", "INTERNAL")
 #: How deep the search for a conversation goes.
 DEPTH = 10
+#: Values that a payload may stand for, references followed.
+MOST_VALUES = 5_000_000
 
 
 def _parts(url: Column) -> tuple[Column, Column]:
@@ -68,40 +71,93 @@ def flat_array(text: str) -> list:
     for line in (x.strip() for x in text.split("\n")):
         if line and not re.match(r"[A-Z]\d+:", line):
             try:
-                got = json.loads(line)
-            except ValueError:
+                got = json.loads(line, parse_constant=lambda _: None, parse_float=_finite)
+            except (ValueError, RecursionError):
                 continue
             if isinstance(got, list):
                 out += got
     return out
 
 
-def resolve(at, flat: list, above: frozenset = frozenset()):
-    """The value that a place stands for; negative places are constants, a place inside itself is null."""
-    if isinstance(at, bool) or not isinstance(at, int | float):
-        return at
-    if at < 0:
-        return {-1: _MISSING, -5: _MISSING, -3: float("nan"), -4: float("inf"), -6: float("-inf")}.get(at)
-    if at in above or at != int(at):
-        return None
-    if int(at) >= len(flat):
-        return _MISSING
-    value = flat[int(at)]
-    inside = above | {at}
-    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
-    if isinstance(value, list):
-        return [None if (r := resolve(x, flat, inside) if number(x) else x) is _MISSING else r for x in value]
-    if not isinstance(value, dict):
-        return value
-    out = {}
-    for k, v in value.items():
-        if k.startswith("_") and number(v):
-            name = resolve(int(k[1:]), flat, inside) if re.fullmatch(r"-?\d+", k[1:]) else None
-            if isinstance(name, str) and (r := resolve(v, flat, inside)) is not _MISSING:
-                out[name] = r
+def _finite(number: str) -> float | None:
+    x = float(number)
+    return x if abs(x) < float("inf") else None
+
+
+class TooLarge(ValueError):
+    """A payload stands for more values than are taken."""
+
+
+# What negative places stand for; -1 and -5 are absent values, JSON has no form for the others.
+CONSTANTS = {-1: _MISSING, -5: _MISSING, -3: None, -4: None, -6: None}
+
+
+class _Resolver:
+    """Follows the references of a flat array. Values of places that reach no cycle are kept and shared; a place inside itself is null."""
+
+    def __init__(self, flat: list):
+        self.flat, self.kept, self.open = flat, {}, set()
+
+    def run(self, at):
+        """The value of a place: steps of place() are taken from a stack, so nesting needs no recursion."""
+        stack, got = [self.place(at)], None
+        while stack:
+            try:
+                stack.append(stack[-1].send(got))
+                got = None
+            except StopIteration as done:
+                stack.pop()
+                got = done.value
+        return got[0]
+
+    def place(self, at):
+        """Yields the places that it needs; returns (value, values in it, whether a cycle was cut)."""
+        if not _number(at):
+            return at, 1, False
+        if at < 0:
+            return CONSTANTS.get(at), 1, False
+        if at in self.kept:
+            return self.kept[at]
+        if at in self.open or at != int(at):
+            return None, 1, at in self.open
+        if at >= len(self.flat):
+            return _MISSING, 1, False
+        raw, size, cut = self.flat[int(at)], 1, False
+        self.open.add(at)
+        if isinstance(raw, list):
+            value = []
+            for x in raw:
+                got, n, c = (yield self.place(x)) if _number(x) else (x, 1, False)
+                value.append(None if got is _MISSING else got)
+                size, cut = size + n, cut or c
+        elif isinstance(raw, dict):
+            value = {}
+            for k, x in raw.items():
+                if not (k.startswith("_") and _number(x)):
+                    value[k] = x
+                elif re.fullmatch(r"_-?\d+", k):
+                    name, _, c = yield self.place(int(k[1:]))
+                    got, n, d = yield self.place(x)
+                    size, cut = size + n, cut or c or d
+                    if isinstance(name, str) and got is not _MISSING:
+                        value[name] = got
         else:
-            out[k] = v
-    return out
+            value = raw
+        self.open.discard(at)
+        if size > MOST_VALUES:
+            raise TooLarge
+        if not cut:
+            self.kept[at] = (value, size, False)
+        return value, size, cut
+
+
+def _number(x) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool)
+
+
+def resolve(at, flat: list):
+    """The value that a place stands for; negative places are constants, a place inside itself is null."""
+    return _Resolver(flat).run(at)
 
 
 def conversation_in(value, depth: int = 0):
@@ -119,29 +175,27 @@ def conversation_in(value, depth: int = 0):
     return next((f for x in [*first, *value.values()] if (f := conversation_in(x, depth + 1))), None)
 
 
-def _clean(value):
-    """Numbers that JSON does not have become null."""
-    if isinstance(value, float) and not math.isfinite(value):
+def _dump(text: str | None, pick=lambda x: x) -> str | None:
+    """The JSON of what pick takes from a payload; null where there is nothing, too much, or too deep a nesting."""
+    if not text or not (flat := flat_array(text)):
+        return None
+    try:
+        value = pick(resolve(0, flat))
+        return None if value is None or value is _MISSING else json.dumps(value, ensure_ascii=False)
+    except (TooLarge, RecursionError):
         return None
-    if isinstance(value, dict):
-        return {k: _clean(v) for k, v in value.items()}
-    return [_clean(v) for v in value] if isinstance(value, list) else value
 
 
 @F.pandas_udf(StringType())
 def decode(text: pd.Series) -> pd.Series:
     """The JSON that a payload stands for."""
-    return text.map(lambda t: _dump(resolve(0, flat)) if t and (flat := flat_array(t)) else None)
+    return text.map(_dump)
 
 
 @F.pandas_udf(StringType())
 def conversation(text: pd.Series) -> pd.Series:
     """The JSON of the conversation in a payload."""
-    return text.map(lambda t: _dump(conversation_in(resolve(0, flat))) if t and (flat := flat_array(t)) else None)
-
-
-def _dump(value) -> str | None:
-    return None if value is None or value is _MISSING else json.dumps(_clean(value), ensure_ascii=False)
+    return text.map(lambda t: _dump(t, conversation_in))
 
 
 def repair_truncated(text: str) -> str | None:

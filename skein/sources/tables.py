@@ -35,20 +35,16 @@ def block(kind: str, text: Column, **more: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), *(values.get(n, F.lit(None)).cast("int" if n == "version" else "string").alias(n) for n in names))
 
 
-_MARK, _CODE, _UNIT = "\u001d", "\u001f", "\u001c"
+_FENCE = r"```([\w-]*)\n?([\x{0}-\x{10FFFF}]*?)```"
 
 
 def split_text_and_code(text: Column) -> Column:
     """ARRAY<block>: text between fences, trimmed, and the code in them. Without either the text as it is."""
-    marked = F.regexp_replace(text, r"```([\w-]*)\n?([\x{0}-\x{10FFFF}]*?)```", f"{_MARK}{_CODE}$1{_UNIT}$2{_MARK}")
-
-    def one(part: Column) -> Column:
-        code = F.substring_index(part, _UNIT, -1)
-        language = F.nullif(F.substring_index(F.substring(part, 2, 1 << 20), _UNIT, 1), F.lit(""))
-        return F.when(F.startswith(part, F.lit(_CODE)), block("code", F.regexp_replace(code, r"\n\z", ""), language=language)).otherwise(block("text", T.trim(part)))
-
-    parts = F.filter(F.split(marked, _MARK, -1), lambda p: F.startswith(p, F.lit(_CODE)) | (T.trim(p) != ""))
-    return T.let(F.transform(parts, one), lambda p: F.when(F.size(p) == 0, F.array(block("text", text))).otherwise(p))
+    language, code = (F.regexp_extract_all(text, F.lit(_FENCE), F.lit(g)) for g in (1, 2))
+    said = lambda t: F.when(T.trim(t) != "", block("text", T.trim(t)))
+    fenced = lambda c, i: F.when(c.isNotNull(), block("code", F.regexp_replace(c, r"\n\z", ""), language=F.nullif(F.get(language, i), F.lit(""))))
+    both = F.flatten(F.transform(F.split(text, _FENCE, -1), lambda t, i: F.array(said(t), fenced(F.get(code, i), i))))
+    return T.let(F.filter(both, lambda b: b.isNotNull()), lambda p: F.when(F.size(p) == 0, F.array(block("text", text))).otherwise(p))
 
 
 def block_text(b: Column) -> Column:
