@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of every template. A text's words are streamed through it, which gives at each word the
 length of the longest run ending there that some template contains (its matching statistics). Runs that cannot be extended and
-are long, or make up a whole short template, are chained per template: hits in order and not far apart form a span, and the share
-of the template's words that a span covers decides on the label. Separately, the base phrases are counted at all their places.
+are long, or make up a whole short template, are chained per template: hits in order and not far apart form a span, of all such chains
+those that cover most, and the share of the template's words that a span covers decides on the label. Separately, the base phrases are
+counted at all their places.
 
 Words: A-Z lower-cased, then runs of letters and digits of ASCII and of anything beyond ASCII. Null texts count as empty, an empty
 text has no words, no labels and score 0. Repeated rows come back one each; other columns are ignored.
@@ -11,6 +12,7 @@ text has no words, no labels and score 0. Repeated rows come back one each; othe
 
 from __future__ import annotations
 
+import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -34,14 +36,24 @@ TEMPLATES: list[tuple[str, str]] = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"),
     ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation version 2"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version"),
     ("lgpl", "gnu lesser general public license"),
     ("agpl", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("bsd", "licensed under the bsd license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-4.0", "licensed under cc by 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
@@ -50,6 +62,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike license"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
 ]
@@ -142,6 +155,28 @@ class SuffixAutomaton:
         return out
 
 
+def chains(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, covered words) of chains of hits (end, start, end inside the template), which come sorted; no two overlap in the text.
+
+    A hit goes on from the chain that covers most, among those that end at most LARGEST_GAP words before it, begin before it and
+    stand no further in the template (runs of repeated words may share one). Best chains are taken first.
+    """
+    best: list[tuple[int, int]] = []  # (covered words, start of the chain) up to and with each hit
+    for i, (z, a, end) in enumerate(hits):
+        top = (z - a, a)
+        for j in range(bisect.bisect_left(hits, (a - LARGEST_GAP,), hi=i), i):
+            y, x, before = hits[j]
+            if x < a and before - 1 <= end - (z - a):
+                top = max(top, (best[j][0] + z - max(a, y), best[j][1]), key=lambda t: (t[0], -t[1]))
+        best.append(top)
+    out: list[tuple[int, int, int]] = []
+    for n, a, z in sorted(((n, a, hits[i][0]) for i, (n, a) in enumerate(best)), key=lambda t: (-t[0], t[1], t[2])):
+        at = bisect.bisect_left(out, (a, z, n))
+        if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or out[at][0] >= z):
+            out.insert(at, (a, z, n))
+    return out
+
+
 class Scanner:
     def __init__(self):
         numbers: dict[str, int] = {}
@@ -153,24 +188,20 @@ class Scanner:
 
     def spans(self, words: list[int], offset: int = 0) -> list[tuple[int, int, str, float]]:
         """(start, end, label, covered share) of the template spans in a stretch of known words."""
-        chains: dict[int, list[list[int]]] = {}  # template -> chains of [start, end, covered words, end inside the template]
-        hits = [(z, a, which, tuple(ends)) for a, z, s in self.automaton.runs(words) for which, ends in self.automaton.ends[s].items()]
-        whole = [(z, a, which, (z - a,)) for a, z, which in self.automaton.completed(words)]
-        for z, a, which, ends in sorted({*hits, *whole}):
-            size = len(self.templates[which][1])
-            if z - a < min(LEAST_RUN, size):
-                continue
-            mine = chains.setdefault(which, [])
-            near = mine and a - mine[-1][1] <= LARGEST_GAP
-            after = next((end for end in ends if near and end - (z - a) >= mine[-1][3] - 1), None)
-            if after is not None:
-                c = mine[-1]
-                c[2] += z - max(a, c[1])
-                c[1], c[3] = z, after
-            else:
-                mine.append([a, z, z - a, ends[0]])
-        out = [(a + offset, z + offset, self.templates[k][0], min(1.0, n / len(self.templates[k][1]))) for k, cs in chains.items() for a, z, n, _ in cs]
-        return sorted(x for x in out if x[3] >= LEAST_COVER)
+        hits: dict[int, set[tuple[int, int, int]]] = {}  # template -> (end, start, end inside the template)
+        for a, z, s in self.automaton.runs(words):
+            for which, ends in self.automaton.ends[s].items():
+                if z - a >= min(LEAST_RUN, len(self.templates[which][1])):
+                    hits.setdefault(which, set()).update((z, a, end) for end in ends)
+        for a, z, which in self.automaton.completed(words):
+            hits.setdefault(which, set()).add((z, a, z - a))
+        out = []
+        for which, mine in hits.items():
+            label, size = self.templates[which][0], len(self.templates[which][1])
+            for a, z, n in chains(sorted(mine)):
+                if (share := min(1.0, n / size)) >= LEAST_COVER:
+                    out.append((a + offset, z + offset, label, share))
+        return sorted(out)
 
     def scan(self, words: np.ndarray) -> tuple[int, int | None, int | None, str, str, float, str]:
         """n_base, first, last, base labels, labels, score and spans of one text, whose words are numbers, -1 for those in no template."""
