@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import columns, materialise
 
 #: Documents that a block holds on average, bisection steps, and rows of the table of sources that may be broadcast.
 BLOCK_DOCUMENTS, STEPS, MOST_BROADCAST = 1024, 48, 100_000
@@ -91,12 +91,12 @@ def weights(sized: DataFrame, target: Target) -> DataFrame:
     if (target.entropy is None) == (target.repeats is None):
         raise ValueError("give either an entropy or a limit of repeats")
     per = sized.groupBy("_source").agg(F.sum("_n").alias("tokens"), F.count("*").alias("documents"))
-    one = per.agg(F.collect_list(F.when(F.col("tokens") > 0, F.struct("_source", "tokens"))).alias("all"), F.sum("tokens").alias("total"))
-    shares = F.transform(F.array_sort(F.col("all")), lambda x: x["tokens"] / F.col("total"))
-    one = one.select("total", shares.alias("shares"))
+    one = per.agg(F.array_sort(F.collect_list(F.struct("_source", "tokens", "documents"))).alias("all"), F.sum("tokens").alias("total"))
+    shares = F.transform(F.filter("all", lambda x: x["tokens"] > 0), lambda x: x["tokens"] / F.col("total"))
+    one = one.withColumn("shares", shares)
     one = one.withColumn("exponent", F.when(F.size("shares") > 0, _exponent(F.col("shares"), target)))
-    one = one.select("total", "exponent", _sum(F.col("shares"), lambda p: F.pow(p, F.col("exponent"))).alias("z"), (_budget(F.col("shares"), F.col("exponent"), target) * F.col("total")).alias("budget"))
-    out = per.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")  # one row
+    one = one.select("all", "total", "exponent", _sum(F.col("shares"), lambda p: F.pow(p, F.col("exponent"))).alias("z"), (_budget(F.col("shares"), F.col("exponent"), target) * F.col("total")).alias("budget"))
+    out = one.select("total", "exponent", "z", "budget", F.inline("all"))
     share = F.col("tokens") / F.col("total")
     out = out.withColumn("share", F.when(F.col("tokens") > 0, share).otherwise(0.0))
     out = out.withColumn("weight", F.when(F.col("tokens") > 0, F.pow("share", "exponent") / F.col("z")).otherwise(0.0))
@@ -110,17 +110,31 @@ def weights(sized: DataFrame, target: Target) -> DataFrame:
 
 def _beside(df: DataFrame, sources: DataFrame) -> DataFrame:
     """df joined with the table of sources: broadcast while that has few rows, else shuffled (skewed partitions are split at run time)."""
-    few = sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return df.join(F.broadcast(sources) if few else sources, "_source")
+    return df.join(F.broadcast(sources) if _few(sources) else sources, "_source")
+
+
+def _few(sources: DataFrame) -> bool:
+    return sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def _cut(parts: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """parts (keys, _source, rest, before, place, n) less all but those in which the rest of their source ends, with before: the tokens ahead of them."""
+    ahead = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).filter("before < rest AND before + n >= rest")
 
 
 def cuts(sized: DataFrame, target: Target) -> DataFrame:
-    """weights() with cut_block and cut_order: the place in each source's order up to which the last pass goes. sized: (_source, _n, _order, _hash)."""
+    """weights() with cut_block and cut_order: the place in each source's order up to which the last pass goes. sized: (_source, _n, _order, _hash).
+
+    The place is sought among groups of blocks, then among the blocks of one group, then among the documents of one block, so
+    that no task holds all blocks of a source.
+    """
     per = weights(sized, target)
     placed = _beside(sized, per.select("_source", "blocks", "rest").filter("rest > 0")).withColumn("block", F.expr("pmod(_hash, blocks)"))
-    blocks = placed.groupBy("_source", "block", "rest").agg(F.sum("_n").alias("n"))
-    before = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    cut = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before < rest AND before + n >= rest")
+    blocks = placed.groupBy("_source", "block", "rest").agg(F.sum("_n").alias("n")).withColumn("part", F.expr(f"block div {BLOCK_DOCUMENTS}"))
+    parts = _cut(blocks.groupBy("_source", "part", "rest").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long")), ["_source"], "part")
+    part = parts.groupBy("_source").agg(F.min(F.struct("part", "before")).alias("c")).select("_source", F.col("c.part").alias("part"), F.col("c.before").alias("before"))
+    cut = _cut(blocks.join(F.broadcast(part) if _few(part) else part, ["_source", "part"]), ["_source"], "block")
     cut = cut.groupBy("_source").agg(F.min(F.struct("block", "before")).alias("c")).select("_source", F.col("c.block").alias("cut_block"), F.col("c.before").alias("cut_before"))
     inside = _beside(placed, cut).filter("block = cut_block").groupBy("_source", "_order", "rest", "cut_before").agg(F.sum("_n").alias("n"))
     within = Window.partitionBy("_source").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,7 +164,7 @@ def plan(df: DataFrame, target: Target) -> DataFrame:
 def draw(df: DataFrame, target: Target) -> DataFrame:
     """df's rows as often as they are drawn, all columns. Texts are not shuffled."""
     table = cuts(size(df, target.seed), target)
-    held = df.select(F.struct(*df.columns).alias("_row"), _key("source").alias("_source"), *_place(target.seed))
+    held = df.select(F.struct(*columns(df)).alias("_row"), _key("source").alias("_source"), *_place(target.seed))
     out = decide(held, table).filter("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
