@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.stages import run_folder
+
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker; long texts make smaller batches.
 BATCH_ROWS, BATCH_BYTES = 1000, 3 << 20
 
@@ -36,22 +38,22 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow for functions that turn one batch into at most one batch."""
+    """mapInArrow for functions that turn one batch into at most one batch. Columns may have names that mapInArrow does not take."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+            if b.num_rows and (out := fn(pa.RecordBatch.from_arrays(b.columns, names=names))) is not None:
                 yield out
         give_back()
 
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see. Where that is unset, as in tests, one under /tmp."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/skein-checkpoints"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder under the application's own one in spark.checkpoint.dir, which all executors see; it goes with the application."""
+    return f"{run_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -107,22 +109,44 @@ def member_filter(ids: DataFrame, name: str) -> DataFrame:
     return ids.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
 
 
-def flag_members(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
-    """df with _maybe: true for rows whose column name is in the filter, and for a few more, more of them as the filter fills up. No shuffle."""
-    bit = _bit(F.col(name))
-    hit = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit)).join(F.broadcast(members), "_bucket", "left")
-    byte = "cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)"
-    return hit.select(*df.columns, F.expr(f"coalesce(getbit({byte}, cast(_at % 8 as int)) = 1, false)").alias("_maybe"))
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with low lines at their ends as far as df has columns called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def flag_members(df: DataFrame, key: Column, members: DataFrame, flag: str) -> DataFrame:
+    """df with the new column flag: true for rows whose key is in the filter, and for a few more, more of them as the filter fills up. No shuffle."""
+    bucket, at, bits = fresh(df, f"{flag}_bucket", f"{flag}_at", f"{flag}_bits")
+    bit = _bit(key)
+    marks = F.broadcast(members.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits)))
+    hit = df.withColumn(bucket, F.bitmap_bucket_number(bit)).withColumn(at, F.bitmap_bit_position(bit)).join(marks, bucket, "left")
+    byte = f"cast(conv(hex(substring({bits}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return hit.select(*columns(df), F.expr(f"coalesce(getbit({byte}, cast({at} % 8 as int)) = 1, false)").alias(flag))
 
 
-def maybe_members(df: DataFrame, name: str, members: DataFrame) -> DataFrame:
-    """The rows of df that flag_members() marks."""
-    return flag_members(df, name, members).filter("_maybe").drop("_maybe")
+def divided(df: DataFrame, key: Column, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that flag_members() marks, all others)."""
+    (flag,) = fresh(df, "_maybe")
+    flagged = flag_members(df, key, members, flag)
+    return flagged.filter(flag).drop(flag), flagged.filter(f"NOT {flag}").drop(flag)
 
 
 def without_members(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose column name is none of ids' (column name, without nulls). Only rows that the bit filter marks are shuffled."""
-    flagged = flag_members(df, name, member_filter(ids, name))
-    sure = flagged.filter("NOT _maybe").drop("_maybe")
-    asked = flagged.filter("_maybe").drop("_maybe").join(ids.select(name).distinct(), name, "left_anti").select(*df.columns)
-    return sure.unionByName(asked)
+    maybe, sure = divided(df, F.col(name), member_filter(ids, name))
+    return sure.unionByName(maybe.join(ids.select(name).distinct(), name, "left_anti").select(*columns(df)))

@@ -6,9 +6,13 @@ rare shingle alone, and of the frequent ones every combination of K (here 2), si
 shares K frequent ones. A set with so many frequent shingles in its prefix that combinations outnumber them is indexed by single
 ones, and so are, for its sake, the frequent ones of all others. Candidates from the lists are verified on whole sets.
 
+A pair that meets in frequent shingles alone shares no rare one, so a set stands in such lists only if three quarters of it are
+frequent: a line that a fifth of all texts hold makes no list of them.
+
 Texts with equal sets form a class and are compared once. Within a list, links are sought as a component needs them: first
-between a leader and everyone else, in two rounds, then between all pairs that are still in different components and whose sizes
-and numbers of shared shingles allow a link. A pair that is skipped is already connected, so the components are those of all links.
+between a leader and everyone else, in two rounds, then between pairs that are still in different components and whose sizes and
+numbers of shared shingles allow a link; for that, long lists are split into pairs of pieces, which are tasks of their own. A pair
+that is skipped is already connected, so the components are those of all links.
 
 Counting goes through packed arrays: the shingles of a block of texts, split by the first bits of their hashes, four bytes each.
 Null and empty texts and those of white space have an empty set and link with nothing. Texts with fewer words than a shingle have
@@ -26,14 +30,17 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, flag_members, give_back, map_arrow, materialise, maybe_members, member_filter, without_members, word_table
+from .common import bounded_batches, columns, divided, fresh, give_back, map_arrow, materialise, member_filter, without_members, word_table
 from .components import connected_components
 
 #: Words of a shingle, similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 #: Size of the combinations, texts that a rare shingle stands in at most, frequent shingles in a prefix up to which combinations are indexed.
 COMBINE, RARE, MOST_COMBINED = 2, 24, 12
+#: Entries of a list that meet in one piece in the last round.
+PIECE = 2000
 #: Texts in a packed block; shingles that one bucket should get.
 BLOCK_TEXTS, BUCKET_SHINGLES = 2000, 1 << 21
 
@@ -249,6 +256,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     entries = mine.select("cls", "n", "shared", "core", "dense", F.explode(keys).alias("e"))
     share = F.when(F.col("e.kind") == 0, F.col("shared")).otherwise(F.col("core"))
+    entries = entries.filter(f"e.kind = 0 OR {DENOMINATOR} * core >= {NUMERATOR} * n")  # who meets in frequent shingles alone shares no others
     entries = entries.select("cls", "n", share.alias("shared"), (F.col("core") / F.col("n")).alias("common"), "dense", "e.key", "e.kind")
     order = F.struct(*(F.col(c).alias(c) for c in ("common", "cls", "n", "shared")))  # who has most in common with many leads
     heads = entries.groupBy("key").agg(F.count("*").alias("size"), F.max(order).alias("l")).filter("size > 1")
@@ -256,7 +264,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialise(entries.join(heads, "key"), "lists")
 
     candidates = lists.select("cls").distinct().join(classes.select("cls", "h1", "h2", "doc_id"), "cls")
-    near = maybe_members(rows, "doc_id", member_filter(candidates, "doc_id"))
+    near, _ = divided(rows, F.col("doc_id"), member_filter(candidates, "doc_id"))
 
     def members(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column(1))
@@ -306,10 +314,13 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = materialise(split_lists(placed(rest.drop("component", "lead"))), "open-lists")
         bits = classes.select("cls", *(F.get("mask", F.lit(i)).alias(f"m{i}") for i in range(MASK_WORDS)))
         rest = rest.join(bits, "cls")
-        x, y = (rest.select("key", "kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "shared", "dense", "component", *(f"m{i}" for i in range(MASK_WORDS))))) for s in "ab")
+        size = rest.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {PIECE}) as int)").alias("pieces"))
+        rest = rest.join(size, "key").withColumn("side", F.expr("cast(pmod(xxhash64(cls), pieces) as int)")).withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
+        rest = rest.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+        x, y = (rest.select("key", "i", "j", "kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "shared", "dense", "component", "side", *(f"m{i}" for i in range(MASK_WORDS))))) for s in "ab")
         alone = {s: " + ".join(f"bit_count(m{i}_{s} & ~m{i}_{t})" for i in range(MASK_WORDS)) for s, t in ("ab", "ba")}
         close = _possible("n_a", f"(shared_a - ({alone['a']}))", "n_b", f"(shared_b - ({alone['b']}))")
-        met = x.join(y.drop("kind"), "key").filter("cls_a < cls_b AND component_a <> component_b").filter(_possible("n_a", "shared_a", "n_b", "shared_b"))
+        met = x.join(y.drop("kind"), ["key", "i", "j"]).filter("cls_a < cls_b AND component_a <> component_b AND (i = j OR side_a <> side_b)").filter(_possible("n_a", "shared_a", "n_b", "shared_b"))
         still = met.filter(f"kind = 0 OR ((kind = 1 OR dense_a OR dense_b) AND {close})")
         tried3 = still.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(tried.union(tried2), ["a", "b"], "left_anti")
         links3 = materialise(_verify(tried3, sets), "links")
@@ -329,13 +340,35 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of df, all columns, less all but one of each component: the one whose doc_id names it. Rows without a doc_id stay."""
-    found = join(df)
-    found = materialise(found.filter("doc_id IS NOT NULL"), "components")
-    dropped = found.filter("doc_id <> component_id").select("doc_id")
-    out = without_members(df, "doc_id", dropped)
-    again = materialise(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if not again.take(1):
-        return out
-    flagged = flag_members(out, "doc_id", member_filter(again, "doc_id"))  # repeated rows: one of each doc_id
-    return flagged.filter("NOT _maybe").drop("_maybe").unionByName(flagged.filter("_maybe AND doc_id IS NOT NULL").drop("_maybe").dropDuplicates(["doc_id"])).unionByName(flagged.filter("_maybe AND doc_id IS NULL").drop("_maybe"))
+    """The rows of df, all columns, less all but one of each component: that with the smallest doc_id, and of its rows one.
+
+    Decisions are made for each pair of doc_id and set, so rows of one doc_id with unlike texts are told apart; rows without a
+    doc_id come last in the choice. Texts with an empty set link with nothing and all stay. Only rows whose doc_id is to go or
+    stands more than once are looked at again; the others pass.
+    """
+    texts, classes, labels = classes_and_links(df)
+    of = classes.select("cls", "h1", "h2").join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("h1", "h2", F.coalesce("component", "cls").alias("component"))
+    groups = texts.filter("n > 0").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("rows")).join(of, ["h1", "h2"])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = groups.groupBy("component").agg(F.min(place).alias("first"))
+    told = groups.join(first, "component").select("doc_id", "h1", "h2", "rows", (place == F.col("first")).alias("kept"))
+    told = materialise(told, "choices")
+    many = materialise(texts.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    key = F.xxhash64("doc_id")
+    if not many.take(1):
+        return without_members(df, "doc_id", told.filter("NOT kept").select("doc_id"))
+    lost = told.filter("NOT kept").join(many, told["doc_id"].eqNullSafe(many["doc_id"]), "left_anti").select("doc_id")
+    twice, once = divided(without_members(df, "doc_id", lost), key, member_filter(many.select(key.alias("k")), "k"))
+    h1, h2, one = fresh(df, "_h1", "_h2", "_one")
+
+    def named(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [set_hash(x) if len(x) else None for x in shingle_sets(b.column(b.schema.get_field_index("text")))]
+        more = [pa.array([x and x[k] for x in sets], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*b.columns, *more], schema=b.schema.append(pa.field(h1, pa.int64())).append(pa.field(h2, pa.int64())))
+
+    known = map_arrow(twice, named, T.StructType([*df.schema.fields, T.StructField(h1, T.LongType()), T.StructField(h2, T.LongType())]))
+    empty = known.filter(F.col(h1).isNull()).select(*columns(df))
+    choice = told.filter("kept").select(F.col("doc_id").alias(one), F.col("h1").alias(h1), F.col("h2").alias(h2))
+    same = F.col("doc_id").eqNullSafe(F.col(one))
+    found = known.join(choice, [h1, h2]).filter(same).dropDuplicates([h1, h2]).select(*columns(df))  # one choice for each set at most
+    return once.unionByName(empty).unionByName(found)

@@ -1,9 +1,10 @@
 """Secret scans with an incremental ledger of blobs.
 
-Every version of every text is content-addressed: its blob is the SHA-256 of its bytes. The ledger is a Parquet table of
-(blob, rule_version, spans). A scan groups the paths by blob, drops the pairs of blob and rule version that the ledger holds,
-scans one copy of each of the rest, appends what it found, and joins findings back to all paths. A change of the rules gets a
-new version, which makes all blobs unseen again; old rows stay as history.
+Every version of every text is content-addressed: its blob is the SHA-256 of its bytes. The ledger is a folder of two Parquet tables:
+findings (blob, rule_version, spans) and versions (doc_id, blob, scan). A scan groups the paths by blob, drops the pairs of blob and
+rule version that the ledger holds, scans one copy of each of the rest, appends what it found and which paths have a blob that they
+had not before, and joins findings back to all paths. A change of the rules gets a new version, which makes all blobs unseen again;
+old rows stay, so history() tells what every version of every path held. Rows that a repeated append left twice count once.
 
 Null texts count as empty; the empty text is a blob like any other and has no spans; repeated rows and ids come back one row
 each; other columns are ignored.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_members, map_arrow, materialise, maybe_members, member_filter, shared_folder, texts
+from .common import columns, divided, fresh, map_arrow, materialise, member_filter, quoted, shared_folder, texts
 
 #: Names the set of rules below in the ledger; raise it with every change of a rule.
 RULE_VERSION = 3
@@ -98,12 +99,28 @@ def _scan(b: pa.RecordBatch, version: int) -> pa.RecordBatch:
     )
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's rows; an empty table where nothing was written yet."""
+VERSIONS = "doc_id {kind}, blob binary, scan long"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a table; an empty one where nothing was written yet."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(path)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def findings(spark: SparkSession, ledger_path: str, rule_version: int | None = None) -> DataFrame:
+    """The ledger's findings, of one rule version or all, each pair of blob and rule version once."""
+    rows = _table(spark, f"{ledger_path}/findings", SCHEMA)
+    rows = rows if rule_version is None else rows.filter(F.col("rule_version") == rule_version)
+    return rows.dropDuplicates(["blob", "rule_version"])
+
+
+def history(spark: SparkSession, ledger_path: str, rule_version: int = RULE_VERSION, kind: str = "long") -> DataFrame:
+    """(doc_id, scan, blob, findings): every version that a path ever had, the scan that first saw it there, and what it holds."""
+    versions = _table(spark, f"{ledger_path}/versions", VERSIONS.format(kind=kind)).groupBy("doc_id", "blob").agg(F.min("scan").alias("scan"))
+    return versions.join(findings(spark, ledger_path, rule_version).drop("rule_version"), "blob", "left")
 
 
 def scan(df: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
@@ -111,19 +128,25 @@ def scan(df: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str
 
     No text is shuffled. The first pass writes (path, blob); of each unseen blob one path is elected, and the second pass scans the
     texts whose path is in a bit filter of the elected ones. The filter's size is bounded; where it errs, a text is scanned
-    once more than needed, and the repeated finding of its blob is dropped.
+    once more than needed, and the repeated finding of its blob is dropped. Where nothing is unseen there is no second pass.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = df.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     rows = rows.withColumn("path", F.xxhash64("doc_id"))
     paths = materialise(rows.select("doc_id", "path", F.unhex(F.sha2("text", 256)).alias("blob")), "paths")
-    seen = ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version).select("blob")
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
-    elected = maybe_members(rows.select("path", "text"), "path", member_filter(unseen, "path"))
-    found = map_arrow(elected.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text"), lambda b: _scan(b, rule_version), SCHEMA)
-    found.dropDuplicates(["blob"]).join(seen, "blob", "left_anti").write.mode("append").parquet(ledger_path)
-    known = ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version)
-    return paths.select("doc_id", "blob").join(known.drop("rule_version"), "blob")
+    seen = findings(spark, ledger_path, rule_version).select("blob")
+    unseen = materialise(paths.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti"), "unseen")
+    if unseen.take(1):
+        elected, _ = divided(rows.select("path", "text"), F.col("path"), member_filter(unseen, "path"))
+        found = map_arrow(elected.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text"), lambda b: _scan(b, rule_version), SCHEMA)
+        found.dropDuplicates(["blob"]).join(seen, "blob", "left_anti").write.mode("append").parquet(f"{ledger_path}/findings")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    before = _table(spark, f"{ledger_path}/versions", VERSIONS.format(kind=kind))
+    number = before.agg(F.coalesce(F.max("scan") + 1, F.lit(0)).alias("scan")).first().scan
+    known = before.select(F.col("doc_id").alias("d"), F.col("blob").alias("b")).distinct()
+    new = paths.select("doc_id", "blob").distinct().join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("blob") == F.col("b")), "left_anti")
+    new.withColumn("scan", F.lit(number).cast("long")).write.mode("append").parquet(f"{ledger_path}/versions")
+    return paths.select("doc_id", "blob").join(findings(spark, ledger_path, rule_version).drop("rule_version"), "blob")
 
 
 def scan_once(df: DataFrame) -> DataFrame:
@@ -131,22 +154,29 @@ def scan_once(df: DataFrame) -> DataFrame:
     return scan(df, shared_folder(df.sparkSession, "ledger"))
 
 
+def scan_again(df: DataFrame) -> DataFrame:
+    """scan() of a table whose blobs the ledger holds from a scan before: nothing is unseen, findings come from the ledger."""
+    ledger_path = shared_folder(df.sparkSession, "ledger")
+    scan(df, ledger_path)
+    return scan(df, ledger_path)
+
+
 def redact(df: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """df with every span that scan() found in its text replaced by mark, n_chars set anew where there is such a column; all rows and columns stay.
 
     Findings meet texts by blob. Only rows whose blob may have findings, as a bit filter tells, are shuffled for that.
     """
-    names, schema = df.columns, df.schema
-    hits = found.filter("spans <> ''").select("blob", "spans").dropDuplicates(["blob"]).withColumn("_h", F.xxhash64("blob"))
-    rows = df.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn("_h", F.xxhash64("_blob"))
-    flagged = flag_members(rows, "_h", member_filter(hits, "_h"))
-    clean = flagged.filter("NOT _maybe").select(*names)
-    marked = flagged.filter("_maybe").join(hits.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left").select(*names, "_spans")
+    schema = df.schema
+    blob, told = fresh(df, "_blob", "_spans")
+    hits = found.filter("spans <> ''").select("blob", "spans").dropDuplicates(["blob"])
+    rows = df.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    some, clean = divided(rows, F.col(blob), member_filter(hits, "blob"))
+    marked = some.join(hits.select(F.col("blob").alias(blob), F.col("spans").alias(told)), blob, "left").select(*columns(df), told)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = {f.name: b.column(i) for i, f in enumerate(b.schema)}
         out = []
-        for t, spans in zip(cols["text"].to_pylist(), cols.pop("_spans").to_pylist(), strict=True):
+        for t, spans in zip(cols["text"].to_pylist(), cols.pop(told).to_pylist(), strict=True):
             if t is not None and spans:
                 bits, at = [], 0
                 for x in spans.split(","):
@@ -161,4 +191,4 @@ def redact(df: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame
             cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], cols["n_chars"].type)
         return pa.record_batch(list(cols.values()), list(cols))
 
-    return clean.unionByName(map_arrow(marked, run, schema))
+    return clean.drop(blob).unionByName(map_arrow(marked, run, schema))

@@ -169,6 +169,43 @@ def test_runs_keep_all_their_ends_in_a_template():
     assert automaton.ends[automaton.runs([1, 2])[0][2]] == {0: [2, 5], 1: [3]}
 
 
+def chains_brute(hits):
+    """The best cover of any chain of hits, by trying all."""
+
+    def follow(i):
+        z, a, end = hits[i]
+        rest = [z2 - max(z, a2) + follow(j) - (z2 - a2) for j, (z2, a2, end2) in enumerate(hits) if j > i and a2 > a and a2 - z <= licenses.LARGEST_GAP and end - 1 <= end2 - (z2 - a2)]
+        return z - a + max([0, *rest])
+
+    return max(follow(i) for i in range(len(hits)))
+
+
+def test_chains_cover_most():
+    rng = random.Random(8)
+    for _ in range(300):
+        hits = set()
+        for _ in range(rng.randint(1, 9)):
+            a, n, end = rng.randrange(60), rng.randint(3, 9), rng.randint(9, 60)
+            hits.add((a + n, a, end))
+        hits = sorted(hits)
+        got = licenses.chains(hits)
+        assert max(n for _, _, n in got) == chains_brute(hits), hits
+        assert all(z <= a for (_, z, _), (a, _, _) in zip(got, got[1:], strict=False))
+
+
+def test_templates_with_changed_words_are_found():
+    scanner = licenses.Scanner()
+    numbers = {w: i for i, w in enumerate(scanner.words.to_pylist())}
+    number = lambda words: np.array([numbers.get(w, -1) for w in words])
+    for label, text in licenses.TEMPLATES:
+        words = text.split()
+        if len(words) < 40:
+            continue
+        edited = ["zzz" if i % 8 == 7 else w for i, w in enumerate(words)]
+        _, _, _, _, labels, score, spans = scanner.scan(number(["some", "zzz", *edited, "zzz"]))
+        assert label in labels.split(",") and score > 0.8, (label, score, spans)
+
+
 def test_suffix_automaton_gives_matching_statistics():
     rng = random.Random(3)
     seqs = [[rng.randrange(4) for _ in range(12)] for _ in range(4)]
@@ -209,14 +246,30 @@ def test_op5(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{z}" for a, k, z in spans).encode()).hexdigest()
         assert all(f"{kinds[k]}:{a}:{z}" in r.spans.split(",") for a, k, z in spans)
     assert [r.spans for r in got if r.doc_id == 6] == ["private_key:0:31"]
-    first = secrets.ledger(spark, path).count()
-    secrets.scan(df, path).count()
-    assert secrets.ledger(spark, path).count() == first == len(set(map(lambda t: t or "", texts)))  # nothing is scanned twice
+    held = lambda: spark.read.parquet(f"{path}/findings").count()
+    first = held()
+    assert rows_of(secrets.scan(df, path)) == sorted(map(tuple, got), key=repr)
+    assert held() == first == len(set(map(lambda t: t or "", texts)))  # nothing is scanned twice
     secrets.scan(df, path, rule_version=2).count()
-    assert secrets.ledger(spark, path).count() == 2 * first
+    assert held() == 2 * first
     assert secrets.scan_once(df.limit(0)).count() == 0
 
 
+def test_ledger_keeps_every_version_and_bears_repeated_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    version = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    secrets.scan(version((1, "token=abcdefgh"), (2, "clean"), (None, "x")), path)
+    second = version((1, "now clean"), (2, "clean"), (3, "token=abcdefgh"), (None, "x"))
+    before = rows_of(secrets.scan(second, path))
+    told = lambda: sorted(((r.doc_id, r.scan, r.spans) for r in secrets.history(spark, path).collect()), key=repr)
+    want = sorted([(1, 0, "assign:0:14"), (1, 1, ""), (2, 0, ""), (3, 1, "assign:0:14"), (None, 0, "")], key=repr)
+    assert told() == want
+    for part in ("findings", "versions"):  # an append that was made twice
+        spark.createDataFrame(spark.read.parquet(f"{path}/{part}").collect(), spark.read.parquet(f"{path}/{part}").schema).write.mode("append").parquet(f"{path}/{part}")
+    assert told() == want and rows_of(secrets.scan(second, path)) == before
+    assert rows_of(secrets.scan_again(second)) == before
+
+
 def test_redaction_applies_the_findings(spark):
     df = spark.createDataFrame([(1, "my token=abcdefgh ok", "s", 20), (2, "clean", "s", 5), (3, None, "s", None)], "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: r for r in secrets.redact(df, secrets.scan_once(df)).collect()}
@@ -253,6 +306,38 @@ def test_op8(spark):
         list(media.walk(media.pack(b" " * 192)[:-5]))
 
 
+def track_box(number, handler, sizes, chunks, per_chunk, keys=None, narrow=False):
+    table = [media.full(b"stsd", struct.pack(">I", 1), media.box(b"abcd", bytes(8))), media.full(b"stsc", struct.pack(">IIII", 1, 1, per_chunk, 1))]
+    table.append(media.full(b"stz2", struct.pack(">II", 4, len(sizes)), bytes(a << 4 | b for a, b in zip(sizes[::2], [*sizes[1::2], 0][: len(sizes[::2])], strict=True))) if narrow else media.full(b"stsz", struct.pack(">II", 0, len(sizes)), *(struct.pack(">I", x) for x in sizes)))
+    table.append(media.full(b"stco", struct.pack(">I", len(chunks)), *(struct.pack(">I", x) for x in chunks)))
+    if keys is not None:
+        table.append(media.full(b"stss", struct.pack(">I", len(keys)), *(struct.pack(">I", x) for x in keys)))
+    media_box = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 50, 0, 0)), media.full(b"hdlr", bytes(4), handler, bytes(12)), media.box(b"minf", media.box(b"stbl", *table)))
+    return media.box(b"trak", media.full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0)), media_box)
+
+
+def test_key_ranges_of_tracks_that_take_turns():
+    video, audio = [7, 5, 9, 4], [3, 2, 6]
+    file = media.box(b"moov", track_box(1, b"vide", video, [100, 500], 2, [1, 4]), track_box(2, b"soun", audio, [112, 513], 2, None, True))
+    one, two = media.inspect(file)
+    assert one.offsets.tolist() == [100, 107, 500, 509] and two.offsets.tolist() == [112, 115, 513] and two.sizes.tolist() == audio
+    assert one.key_ranges().tolist() == [[100, 12], [500, 9], [509, 4]]
+    assert two.key_ranges().tolist() == [[112, 3], [115, 2], [513, 6]] and one.codec == "abcd" and two.handler == "soun"
+
+
+def test_movie_fragments():
+    head = media.box(b"moov", track_box(3, b"vide", [], [], 1), media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 3, 1, 10, 20, 0x10000))))
+    told = media.full(b"trun", struct.pack(">IiI", 3, 200, 0), struct.pack(">IIIIII", 11, 0, 12, 0x10000, 13, 0x10000), flags=0x605)
+    plain = media.full(b"trun", struct.pack(">I", 2))
+    first = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 3), flags=0x20000), told, plain))
+    second = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">IQI", 3, 5000, 0), flags=0x21), media.full(b"trun", struct.pack(">I", 1))))
+    (track,) = media.inspect(head + first + second)
+    at = len(head) + 200
+    assert track.sizes.tolist() == [11, 12, 13, 20, 20, 20] and track.offsets.tolist() == [at, at + 11, at + 23, at + 36, at + 56, 5000]
+    assert track.keys.tolist() == [0, 5] and track.duration == 50 + 6 * 10
+    assert track.key_ranges().tolist() == [[at, 76], [5000, 20]]
+
+
 def test_registered_queries_use_whole_tables(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     for name in ("op1_bpe", "op2_licenses", "op5_secrets", "op8_media"):
