@@ -33,21 +33,25 @@ def extract(messages: DataFrame) -> DataFrame:
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("conv_id").orderBy("msg_idx", "block_idx", F.coalesce("sent_idx", F.lit(0)))) - 1)
 
 
-def term_stats(candidates: DataFrame) -> DataFrame:
-    """(conv_id, ord, term, tf, idf, tfidf); the corpus of a term is its conversation's candidates."""
+def _weights(candidates: DataFrame) -> DataFrame:
+    """(conv_id, ord, term, tf, idf, tfidf), a row without a term for a candidate that has none. All by conversation: no shuffle but the candidates' own."""
     numbered = candidates.select("conv_id", "ord", "text", F.count("*").over(whole()).alias("n"))
-    words = numbered.select("conv_id", "ord", "n", F.explode(T.terms(F.col("text"))).alias("term"))
-    tf = words.groupBy("conv_id", "ord", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    words = numbered.select("conv_id", "ord", "n", F.explode_outer(T.terms(F.col("text"))).alias("term"))
+    tf = words.groupBy("conv_id", "ord", "term").agg(F.count("term").alias("tf"), F.first("n").alias("n"))
     df = F.count("*").over(Window.partitionBy("conv_id", "term"))
     idf = F.ln(F.col("n") / (1 + df)) + 1
-    return tf.select("conv_id", "ord", "term", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf"))
+    return tf.select("conv_id", "ord", "term", "tf", idf.alias("idf"), F.when(F.col("term").isNotNull(), F.col("tf") * idf).alias("tfidf"))
+
+
+def term_stats(candidates: DataFrame) -> DataFrame:
+    """(conv_id, ord, term, tf, idf, tfidf); the corpus of a term is its conversation's candidates."""
+    return _weights(candidates).filter("term IS NOT NULL")
 
 
 def term_scores(candidates: DataFrame) -> DataFrame:
     """(conv_id, ord, tfidf_score): the five heaviest terms' sum over the conversation's largest such sum; 0 for a lone candidate."""
-    top = term_stats(candidates).groupBy("conv_id", "ord").agg(F.slice(F.sort_array(F.collect_list("tfidf"), asc=False), 1, 5).alias("top"))
-    sums = top.select("conv_id", "ord", F.aggregate("top", F.lit(0.0), lambda a, x: a + x).alias("s"))
-    every = candidates.select("conv_id", "ord").join(sums, ["conv_id", "ord"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    top = _weights(candidates).groupBy("conv_id", "ord").agg(F.slice(F.sort_array(F.collect_list("tfidf"), asc=False), 1, 5).alias("top"))
+    every = top.select("conv_id", "ord", F.aggregate("top", F.lit(0.0), lambda a, x: a + x).alias("s"))
     n, most = F.count("*").over(whole()), F.max("s").over(whole())
     return every.select("conv_id", "ord", F.when((n < 2) | (most <= 0), 0.0).otherwise(F.col("s") / most).alias("tfidf_score"))
 
@@ -109,20 +113,15 @@ def select(scored: DataFrame, budget: float) -> DataFrame:
     per = ranked.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.when(~F.col("first_pick"), item))).alias("rest"),
         F.collect_list(F.when(F.col("first_pick"), item)).alias("first"),
-        F.max("n_messages").alias("n"),
-    )
-    empty = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda _: F.lit(0))
-    bump = lambda picks, m: F.transform(picks, lambda p, i: p + F.when(i == m, 1).otherwise(0))
-    start = F.aggregate(
-        "first",
-        F.struct(F.lit(0).cast("long").alias("used"), empty.alias("picks"), F.array().cast("array<int>").alias("ords")),
-        lambda a, x: F.struct((a["used"] + x["char_len"]).alias("used"), bump(a["picks"], x["msg_idx"]).alias("picks"), F.array_append(a["ords"], x["ord"]).alias("ords")),
     )
+    picks = lambda a, x: F.struct((a["used"] + x["char_len"]).alias("used"), F.array_append(a["told"], x["msg_idx"].cast("int")).alias("told"), F.array_append(a["ords"], x["ord"]).alias("ords"))
+    none = F.array().cast("array<int>")
+    start = F.aggregate("first", F.struct(F.lit(0).cast("long").alias("used"), none.alias("told"), none.alias("ords")), picks)
 
     def walk(a: Column, x: Column) -> Column:
-        left = x["score"] - F.get(a["picks"], x["msg_idx"].cast("int")) * fixed.DIVERSITY_PENALTY
-        take = (a["used"] + x["char_len"] <= budget) & ((left > 0) | x["always_keep"])
-        return F.when(take, F.struct((a["used"] + x["char_len"]).alias("used"), bump(a["picks"], x["msg_idx"]).alias("picks"), F.array_append(a["ords"], x["ord"]).alias("ords"))).otherwise(a)
+        # The penalty counts the picks of the message: the budget bounds their number, whatever the conversation's length.
+        left = x["score"] - F.size(F.filter(a["told"], lambda m: m == x["msg_idx"])) * fixed.DIVERSITY_PENALTY
+        return F.when((a["used"] + x["char_len"] <= budget) & ((left > 0) | x["always_keep"]), picks(a, x)).otherwise(a)
 
     picked = per.withColumn("start", start).select("conv_id", F.explode(F.aggregate("rest", F.col("start"), walk)["ords"]).alias("ord"))
     return scored.join(picked, ["conv_id", "ord"])

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import extract_all, like, replace
+from ..functions.stages import stage
 
 TOP_TERMS, FOCUS_MESSAGES = 12, 30
 
@@ -18,11 +19,14 @@ def _head(text: Column, n: int = 10) -> Column:
 
 
 def message_words(messages: DataFrame, code: bool = True) -> DataFrame:
-    """(conv_id, msg_idx, i, gap, word, at_start): the words of text blocks and, with code, of the first lines of code and artifacts."""
+    """(conv_id, msg_idx, i, gap, word, at_start): the words of text blocks and, with code, of the first lines of code and artifacts.
+
+    Dealt by conversation: counts and windows over them need no other shuffle, and those of names, terms and bigrams share this one.
+    """
     said = lambda b: F.when(b["type"] == "text", T.plain(b["text"])).when(b["type"] == "code", _head(b["text"])).otherwise(F.concat(b["title"], F.lit(" "), _head(b["text"])))
     kinds = ("text", "code", "artifact") if code else ("text",)
     text = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"].isin(*kinds)), said), " ")
-    return messages.select("conv_id", "msg_idx", F.explode(T.words_in_context(text)).alias("w")).select("conv_id", "msg_idx", "w.i", "w.gap", "w.word", "w.at_start")
+    return messages.select("conv_id", "msg_idx", F.explode(T.words_in_context(text)).alias("w")).select("conv_id", "msg_idx", "w.i", "w.gap", "w.word", "w.at_start").repartition("conv_id")
 
 
 def _is_capital(word: Column) -> Column:
@@ -39,8 +43,15 @@ def term_counts(words: DataFrame) -> DataFrame:
     common = (F.length("word") >= 4) & ~lower.isin(fixed.COMMON_LOWER)
     plain = common & (capital | (~_is_capital(word) & like(word, r"^[a-z0-9_-]+\z")))
     entries = F.filter(F.array(F.when(proper, F.struct(F.lit(True).alias("proper"), word.alias("term"))), F.when(plain, F.struct(F.lit(False).alias("proper"), lower.alias("term")))), lambda x: x.isNotNull())
-    one = rows.select("conv_id", "msg_idx", "i", F.explode(entries).alias("e"))
-    return one.groupBy("conv_id", "e.proper", "e.term").agg(F.count("*").alias("count"), F.count_distinct("msg_idx").alias("messages"), F.min(F.struct("msg_idx", "i")).alias("seen"))
+    one = rows.select("conv_id", "msg_idx", "i", F.explode(entries).alias("e")).select("conv_id", "msg_idx", "i", "e.proper", "e.term")
+    return _spread(one, ["proper", "term"])
+
+
+def _spread(rows: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """(conv_id, key, count, messages, seen) of rows (conv_id, msg_idx, i, key): counted for each message, then over messages."""
+    per = rows.groupBy("conv_id", "msg_idx", *key).agg(F.count("*").alias("n"), F.min("i").alias("i"), *more)
+    first = F.struct("msg_idx", "i")
+    return per.groupBy("conv_id", *key).agg(F.sum("n").alias("count"), F.count("*").alias("messages"), F.min(first).alias("seen"), *(F.min_by("term", first).alias("term") for _ in more))
 
 
 def bigram_counts(words: DataFrame) -> DataFrame:
@@ -53,20 +64,19 @@ def bigram_counts(words: DataFrame) -> DataFrame:
         fits &= ~F.lower(w).isin(fixed.COMMON_LOWER) & ~w.isin(fixed.CAPITAL_STOPLIST)
     fits &= _is_capital(a) | _is_capital(b) | (like(a, r"^[a-z]+\z") & like(b, r"^[a-z]+\z"))
     pairs = rows.filter(fits).withColumn("pair", F.concat_ws(" ", F.lower(a), F.lower(b)))
-    seen = F.struct("msg_idx", "i")
-    return pairs.groupBy("conv_id", "pair").agg(F.min_by(F.concat_ws(" ", a, b), seen).alias("term"), F.count("*").alias("count"), F.count_distinct("msg_idx").alias("messages"), F.min(seen).alias("seen")).drop("pair")
+    return _spread(pairs, ["pair"], F.min_by(F.concat_ws(" ", a, b), "i").alias("term")).drop("pair")
 
 
 def all_terms(messages: DataFrame) -> DataFrame:
     """Every name, term and bigram frequent enough: (conv_id, class, term, count, messages, spread, weight, is_proper, seen); class 0 names, 1 terms, 2 bigrams."""
     words = message_words(messages)
     total = messages.groupBy("conv_id").agg(F.count("*").alias("n"))
-    counts = term_counts(words)
-    names = counts.filter("proper AND count >= 2 AND messages >= 2").select("conv_id", F.lit(0).alias("class"), "term", "count", "messages", "seen", F.lit(0.4).alias("w0"), F.lit(0.6).alias("w1"))
-    terms = counts.filter("NOT proper AND count >= 5 AND messages >= 3").select("conv_id", F.lit(1).alias("class"), "term", "count", "messages", "seen", F.lit(0.3).alias("w0"), F.lit(0.5).alias("w1"))
+    by = lambda x, y: F.when(F.col("proper"), x).otherwise(y)
+    counts = term_counts(words).filter("proper AND count >= 2 AND messages >= 2 OR NOT proper AND count >= 5 AND messages >= 3")
+    counts = counts.select("conv_id", by(0, 1).alias("class"), "term", "count", "messages", "seen", by(0.4, 0.3).alias("w0"), by(0.6, 0.5).alias("w1"))
     bigrams = bigram_counts(words).filter("count >= 3 AND messages >= 2").select("conv_id", F.lit(2).alias("class"), "term", "count", "messages", "seen", F.lit(0.5).alias("w0"), F.lit(0.7).alias("w1"))
     spread = F.col("messages") / F.greatest(F.lit(1), F.col("n"))
-    out = names.unionByName(terms).unionByName(bigrams).join(total, "conv_id").withColumn("spread", spread)
+    out = counts.unionByName(bigrams).join(total, "conv_id").withColumn("spread", spread)
     proper = (F.col("class") == 0) | ((F.col("class") == 2) & _is_capital(F.col("term")))
     return out.select("conv_id", "class", "term", "count", "messages", "spread", (F.col("count") * (F.col("w0") + F.col("w1") * F.col("spread"))).alias("weight"), proper.alias("is_proper"), "seen")
 
@@ -77,6 +87,15 @@ def top_terms(terms: DataFrame) -> DataFrame:
     return terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_TERMS)
 
 
+def familiar(messages: DataFrame) -> DataFrame:
+    """(conv_id, top): each conversation's heaviest terms in order; conversations without any have no row."""
+    return _listed(all_terms(messages))
+
+
+def _listed(terms: DataFrame) -> DataFrame:
+    return top_terms(terms).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top"))
+
+
 def _project_terms(top: Column, name: Column, most: int = 6) -> Column:
     """Terms in order, none of whose words an earlier one has taken."""
 
@@ -143,10 +162,9 @@ def recent_focus(messages: DataFrame, named: DataFrame) -> DataFrame:
 
 def identity(conversations: DataFrame, messages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """One row per conversation: project_name, top (terms), project_line, confidence, recent_focus_line, recent_blocks."""
-    terms = all_terms(messages) if terms is None else terms
+    terms = stage(all_terms(messages), "terms") if terms is None else terms
     names = terms.filter("class = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seen", "term", "count", "messages", "spread", "weight"))).alias("names"))
-    top = top_terms(terms).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top"))
-    rows = conversations.select("conv_id", "title").join(names, "conv_id", "left").join(top, "conv_id", "left")
+    rows = conversations.select("conv_id", "title").join(names, "conv_id", "left").join(_listed(terms), "conv_id", "left")
     rows = rows.withColumn("top", F.coalesce("top", F.array().cast("array<string>")))
     title = F.filter(extract_all(F.coalesce("title", F.lit("")), r"[A-Z][A-Za-z0-9_-]*"), lambda w: (F.length(w) >= 3) & ~w.isin(fixed.CAPITAL_STOPLIST) & ~like(w, fixed.GENERIC_TITLE_WORDS))
     from_title = F.get(F.filter(F.transform(title, lambda w: F.get(F.filter("names", lambda p: F.lower(p["term"]) == F.lower(w)), F.lit(0))), lambda p: p.isNotNull()), F.lit(0))

@@ -219,22 +219,21 @@ def project_identity(spark, sf_dir):
 @query(f"WITH {O.BLOCKS},{D.TOP},{D.FOUND} SELECT conv_id, msg_idx, text, round(position, 9) AS position, round(strength, 9) AS strength, ord FROM decisions")
 def decision_sentences(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    found = decisions.find(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
+    found = decisions.find(c.messages, identity.familiar(c.messages))
     return found.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "text", F.round("position", 9).alias("position"), F.round("strength", 9).alias("strength"), F.col("ord").cast("long").alias("ord"))
 
 
 @query(f"WITH {O.BLOCKS},{D.TOP},{D.DECIDED} SELECT conv_id, i, round(position, 9) AS position, round(strength, 9) AS strength, text, message_id FROM kept_decisions")
 def extract_decisions(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    who = stage(identity.identity(c.conversations, c.messages), "identity")
-    out = decisions.extract(c.messages, who).select("conv_id", F.posexplode("decisions").alias("i", "d"))
+    out = decisions.extract(c.messages, identity.familiar(c.messages)).select("conv_id", F.posexplode("decisions").alias("i", "d"))
     return out.select("conv_id", F.col("i").cast("long").alias("i"), F.round("d.position", 9).alias("position"), F.round("d.strength", 9).alias("strength"), "d.text", "d.message_id")
 
 
 @query(f"WITH {O.BLOCKS},{D.TOP},{D.SNIPPETS} SELECT conv_id, msg_idx, role, text, had_code FROM snippets")
 def recent_snippets(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    out = recency.snippets(c.messages, stage(identity.identity(c.conversations, c.messages), "identity"))
+    out = recency.snippets(c.messages, identity.familiar(c.messages))
     return out.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "role", "text", "had_code")
 
 

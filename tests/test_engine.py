@@ -1,13 +1,16 @@
 """Engine operators: SQL counterparts, invariants, whole documents."""
 
+import json
 import math
 import os
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from skein.functions import fixed
+from skein.functions import text as T
 from skein.functions.stages import stage
 from skein.operators import candidates as C
 from skein.plans import catalogue, seeds
@@ -121,17 +124,40 @@ def test_empty_corpus(spark):
     assert compress(c, "resume").count() == 0
 
 
+RAW = dict(seeds.EXPORTS)
+
+
 def test_export_versions_and_choice(spark):
-    files = spark.createDataFrame(catalogue._EXPORTS, "file string, raw string")
+    files = spark.createDataFrame([(f, RAW[f]) for f in "abcde"], "file string, raw string")
     c = exports.parse(files)
-    assert {r.conv_id: r.title for r in c.conversations.collect()} == {"t1": "Tree", "l1": "List"}
+    assert {r.conv_id: r.title for r in c.conversations.collect()} == {"t1": "Tree", "l1": "List, before", "l0": "List"}
     blocks = {(r.conv_id, r.msg_idx): r for r in c.messages.collect()}
-    assert blocks["l1", 2].blocks[0].version == 2 and blocks["l1", 2].attachments[0].type == "pdf"
+    assert blocks["l0", 2].blocks[0].version == 2 and blocks["l0", 2].attachments[0].type == "pdf"
     assert blocks["t1", 1].attachments[0].filename == "image_1"
     assert exports.pick(c, "t1").messages.count() == 2
     assert [r.conv_id for r in exports.pick(c).conversations.collect()] == ["l1"]
     listed = exports.list_conversations(files).collect()
-    assert [(r.id, r.message_count) for r in listed] == [("l1", 3), ("t1", 3)]
+    assert [(r.id, r.message_count) for r in listed] == [("l1", 1), ("l0", 3), ("t1", 3)]
+
+
+def test_conversations_of_several_files(spark):
+    say = lambda *texts: ",".join(f'{{"uuid":"u{i}","sender":"human","content":"{t}"}}' for i, t in enumerate(texts))
+    one = lambda head, *texts: f'{{{head}"chat_messages":[{say(*texts)}]}}'
+    rows = [("a", one('"uuid":"x","updated_at":"2024-01-01T00:00:00Z",', "old")), ("b", f"""[{one('"uuid":"x","updated_at":"2024-02-01T00:00:00Z",', "old", "new")},{one("", "first without id")}]"""), ("c", one("", "second without id"))]
+    c = exports.parse(spark.createDataFrame(rows, "file string, raw string"))
+    assert {r.conv_id: r.file for r in c.conversations.collect()} == {"x": "b", "claude-untitled": "b", "claude-untitled-2": "c"}
+    said = sorted((r.conv_id, r.msg_idx, r.blocks[0].text) for r in c.messages.collect())
+    assert said == [("claude-untitled", 0, "first without id"), ("claude-untitled-2", 0, "second without id"), ("x", 0, "old"), ("x", 1, "new")]
+
+
+def test_control_characters_are_ordinary_text(spark):
+    texts = ["a\x1db", "\x1fpy\x1cx", "one\x1e0 two\x1e1 three", "say\x1d\n```py\x1f\nx\x1c = 1\n```\nend\x1c"]
+    c = tables.from_turns(spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: [(b.type, b.text) for b in r.blocks] for r in c.messages.collect()}
+    assert got[0] == [("text", texts[0])] and got[1] == [("text", texts[1])] and got[2] == [("text", texts[2])]
+    assert got[3] == [("text", "say\x1d"), ("code", "\x1f\nx\x1c = 1"), ("text", "end\x1c")]
+    row = spark.createDataFrame([("One\x1e0 here. Two\x1e1 there.\n- bullet\x1e",)], "t string").select(T.sentences(F.col("t")).alias("s")).first()
+    assert row.s == ["One\x1e0 here.", "Two\x1e1 there.", "bullet\x1e"]
 
 
 def test_cycle_and_missing_parent(spark):
@@ -147,6 +173,14 @@ def test_share_page_decoding():
     assert share.resolve(0, [[0]]) == [None]
     found = share.conversation_in({"x": [{"serverResponse": {"data": {"mapping": {"a": {}}, "current_node": "a"}}}]})
     assert found == {"mapping": {"a": {}}, "current_node": "a"}
+    shared = [[1, 1], [2, 2], "x"]
+    assert share.resolve(0, shared) == [["x", "x"], ["x", "x"]]
+    assert share.resolve(0, [[1, 2], [2], [1, 3], "y"]) == [[[None, "y"]], [[None], "y"]]  # cycles are cut anew on each way
+    deep = json.dumps([[i + 1] for i in range(3000)] + ["end"])
+    assert share.resolve(0, share.flat_array(deep))[0][0] and share._dump(deep) is None or "end" in share._dump(deep)
+    wide = json.dumps([[i + 1, i + 1] for i in range(200)] + ["end"])
+    assert share._dump(wide) is None  # stands for 2^200 values
+    assert share._dump("[[1, -3, 1e999], NaN]") == "[null, null, null]"
     assert share.repair_truncated('xx {"uuid":"1","created_at":"2024"}, {"uuid":"2","crea').count('"uuid"') == 2
 
 
@@ -154,15 +188,19 @@ def test_stream_compresses_new_files(spark, tmp_path):
     from skein.streaming import exports as stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(catalogue._LIST)
+    (tmp_path / "in/a.json").write_text(RAW["b"])
+    stream.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check", ("full",)).awaitTermination(120)
+    assert sorted(r.conv_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["l0", "l1"]
+    (tmp_path / "check/commits/0").unlink()  # as if the batch had failed after it wrote
+    (tmp_path / "check/commits/.0.crc").unlink(missing_ok=True)
     stream.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check", ("full",)).awaitTermination(120)
-    assert spark.read.parquet(f"file://{tmp_path}/out").select("conv_id").collect()[0][0] == "l1"
+    assert sorted(r.conv_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["l0", "l1"]
 
 
 def test_command_line(spark, tmp_path, capsys):
     from skein.__main__ import main
 
-    (tmp_path / "a.json").write_text(catalogue._TREE)
+    (tmp_path / "a.json").write_text(RAW["a"])
     (tmp_path / "b.json").write_text("{broken")
     assert main([f"file://{tmp_path}", "--level", "full"]) == 1
     out = capsys.readouterr().out
