@@ -22,9 +22,10 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("skein").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     files = exports.read(spark, a.exports)
-    bad = exports.identify(files).filter("error IS NOT NULL").select("file", "error").limit(20).collect()
-    for r in bad:
+    bad = False
+    for r in exports.identify(files).filter("error IS NOT NULL").select("file", "error").toLocalIterator():
         print(f"{r.file}: {exports.ERRORS[r.error]}")
+        bad = True
     if a.list:
         for r in exports.list_conversations(files).limit(50).collect():
             print(f"{r.id}\t{r.created_at}\t{r.message_count}\t{r.title}")

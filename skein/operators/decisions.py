@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import extract_all, like, replace, spark_pattern
-from .messages import whole, blocks
+from .messages import whole, with_plain
 
 CAP = 8
 
@@ -53,8 +53,9 @@ def signature(s: Column) -> Column:
 def find(messages: DataFrame, identity: DataFrame) -> DataFrame:
     """All decisions: (conv_id, msg_idx, message_id, text, position, strength, ord). identity: (conv_id, top ARRAY<string>)."""
     known = F.transform(F.slice(F.coalesce("top", F.array().cast("array<string>")), 1, 5), F.lower)
-    rows = blocks(messages.withColumn("n", F.count("*").over(whole()))).filter("type = 'text'")
-    parts = F.transform(F.split(T.plain(F.col("text")), spark_pattern(r"(?<=[.!?])\s+|\n+")), T.trim)
+    rows = with_plain(messages).withColumn("n", F.count("*").over(whole()))
+    rows = rows.select("conv_id", "msg_idx", "message_id", "role", "n", F.posexplode("plains").alias("block_idx", "plain")).filter("plain IS NOT NULL")
+    parts = F.transform(F.split(F.col("plain"), spark_pattern(r"(?<=[.!?])\s+|\n+")), T.trim)
     said = rows.join(identity.select("conv_id", "top"), "conv_id", "left").withColumn("known", known).select("conv_id", "msg_idx", "block_idx", "message_id", "role", "known", "n", F.posexplode(F.filter(parts, lambda x: x != "")).alias("sent_idx", "text"))
     s = F.col("text")
     shaped = said.filter(has_shape(s, F.col("known"))).withColumn("base", strength(s, F.col("role"))).filter("base > 0")

@@ -10,6 +10,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import extract_all, like, replace
 from ..functions.stages import stage
+from .messages import with_plain
 
 TOP_TERMS, FOCUS_MESSAGES = 12, 30
 
@@ -23,10 +24,10 @@ def message_words(messages: DataFrame, code: bool = True) -> DataFrame:
 
     Dealt by conversation: counts and windows over them need no other shuffle, and those of names, terms and bigrams share this one.
     """
-    said = lambda b: F.when(b["type"] == "text", T.plain(b["text"])).when(b["type"] == "code", _head(b["text"])).otherwise(F.concat(b["title"], F.lit(" "), _head(b["text"])))
-    kinds = ("text", "code", "artifact") if code else ("text",)
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"].isin(*kinds)), said), " ")
-    return messages.select("conv_id", "msg_idx", F.explode(T.words_in_context(text)).alias("w")).select("conv_id", "msg_idx", "w.i", "w.gap", "w.word", "w.at_start").repartition("conv_id")
+    rows = with_plain(messages)
+    shown = lambda b, plain: F.when(b["type"] == "text", plain).when(b["type"] == "code", _head(b["text"])).when(b["type"] == "artifact", F.concat(b["title"], F.lit(" "), _head(b["text"])))
+    text = F.array_join(F.zip_with("blocks", "plains", shown) if code else F.col("plains"), " ")
+    return rows.select("conv_id", "msg_idx", F.explode(T.words_in_context(text)).alias("w")).select("conv_id", "msg_idx", "w.i", "w.gap", "w.word", "w.at_start").repartition("conv_id")
 
 
 def _is_capital(word: Column) -> Column:

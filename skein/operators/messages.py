@@ -40,14 +40,18 @@ def last_by_role(messages: DataFrame) -> DataFrame:
 
 def blocks(messages: DataFrame) -> DataFrame:
     """One row per block: the message's columns without its arrays, block_idx and the block's fields."""
-    rest = [c for c in messages.columns if c not in ("blocks", "attachments")]
+    rest = [c for c in messages.columns if c not in ("blocks", "attachments", "plains")]
     return messages.select(*rest, F.posexplode("blocks").alias("block_idx", "b")).select(*rest, "block_idx", "b.*")
 
 
+def with_plain(messages: DataFrame) -> DataFrame:
+    """Adds plains: for each block its text without links and markdown, null for other blocks than text. Written once, it serves all sections of a document."""
+    return messages if "plains" in messages.columns else messages.withColumn("plains", F.transform("blocks", lambda b: F.when(b["type"] == "text", T.plain(b["text"]))))
+
+
 def plain_text(messages: DataFrame, glue: str = " ") -> DataFrame:
     """Adds plain: the text blocks without links and markdown, joined."""
-    texts = F.filter("blocks", lambda b: b["type"] == "text")
-    return messages.withColumn("plain", F.array_join(F.transform(texts, lambda b: T.plain(b["text"])), glue))
+    return with_plain(messages).withColumn("plain", F.array_join("plains", glue))
 
 
 def input_chars(messages: DataFrame) -> DataFrame:

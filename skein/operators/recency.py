@@ -10,7 +10,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions.regex import extract, extract_all, like
 from .identity import recent_messages
-from .messages import whole, plain_text, with_context
+from .messages import whole, plain_text, with_context, with_plain
 
 NEXT_STEP_MESSAGES, QUESTION_MESSAGES, CAP, PLAN_CAP, PLAN_LINES = 10, 20, 5, 6, 29
 
@@ -54,9 +54,9 @@ def next_steps(messages: DataFrame, scan: int = NEXT_STEP_MESSAGES, cap: int = C
 
 def open_questions(messages: DataFrame, lookback: int = QUESTION_MESSAGES, cap: int = CAP) -> DataFrame:
     """(conv_id, ord, text): the first distinct questions of recent user messages that no assistant followed."""
-    rows = with_context(messages).filter((F.col("n_messages") - F.col("msg_idx") <= lookback) & F.col("unanswered"))
-    per = rows.select("conv_id", "msg_idx", F.posexplode("blocks").alias("block_idx", "b")).filter("b.type = 'text'")
-    said = per.select("conv_id", "msg_idx", "block_idx", F.posexplode(T.sentences(T.plain(F.col("b.text")))).alias("i", "text"))
+    rows = with_context(with_plain(messages)).filter((F.col("n_messages") - F.col("msg_idx") <= lookback) & F.col("unanswered"))
+    per = rows.select("conv_id", "msg_idx", F.posexplode("plains").alias("block_idx", "plain")).filter("plain IS NOT NULL")
+    said = per.select("conv_id", "msg_idx", "block_idx", F.posexplode(T.sentences(F.col("plain"))).alias("i", "text"))
     s = F.col("text")
     said = said.filter(F.endswith(s, F.lit("?")) & T.length(s).between(12, 240)).withColumn("key", T.key(s))
     order = ["msg_idx", "block_idx", "i"]

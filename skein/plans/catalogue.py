@@ -48,6 +48,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).messages
 
 
+def _plain_corpus(spark: SparkSession, sf_dir: str) -> tables.Corpus:
+    """corpus() with its messages' plain texts written once, for queries that read them several times."""
+    c = corpus(spark, sf_dir)
+    return tables.Corpus(c.conversations, stage(M.with_plain(c.messages), "messages"))
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.extract(_messages(spark, sf_dir))
 
@@ -205,34 +211,34 @@ def identity_top_terms(spark, sf_dir):
 SELECT conv_id, term AS project_name, CASE WHEN term IS NULL THEN 'low' WHEN count >= 10 AND messages >= 5 THEN 'high' WHEN count >= 4 AND messages >= 3 THEN 'medium' ELSE 'low' END AS confidence
   FROM (SELECT DISTINCT conv_id FROM known_ids) LEFT JOIN (SELECT * FROM names WHERE r = 1) USING (conv_id)""".replace("known_ids", "turns WHERE role IN ('user', 'assistant', 'system', 'tool')"))
 def project_name(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = _plain_corpus(spark, sf_dir)
     return identity.identity(c.conversations, c.messages).select("conv_id", "project_name", "confidence")
 
 
 @query(f"WITH {O.BLOCKS},{D.IDENTITY} SELECT conv_id, project_name, project_line, confidence, recent_focus_line, recent_blocks FROM identities")
 def project_identity(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = _plain_corpus(spark, sf_dir)
     out = identity.identity(c.conversations, c.messages)
     return out.select("conv_id", "project_name", "project_line", "confidence", "recent_focus_line", F.col("recent_blocks").cast("long").alias("recent_blocks"))
 
 
 @query(f"WITH {O.BLOCKS},{D.TOP},{D.FOUND} SELECT conv_id, msg_idx, text, round(position, 9) AS position, round(strength, 9) AS strength, ord FROM decisions")
 def decision_sentences(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = _plain_corpus(spark, sf_dir)
     found = decisions.find(c.messages, identity.familiar(c.messages))
     return found.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "text", F.round("position", 9).alias("position"), F.round("strength", 9).alias("strength"), F.col("ord").cast("long").alias("ord"))
 
 
 @query(f"WITH {O.BLOCKS},{D.TOP},{D.DECIDED} SELECT conv_id, i, round(position, 9) AS position, round(strength, 9) AS strength, text, message_id FROM kept_decisions")
 def extract_decisions(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = _plain_corpus(spark, sf_dir)
     out = decisions.extract(c.messages, identity.familiar(c.messages)).select("conv_id", F.posexplode("decisions").alias("i", "d"))
     return out.select("conv_id", F.col("i").cast("long").alias("i"), F.round("d.position", 9).alias("position"), F.round("d.strength", 9).alias("strength"), "d.text", "d.message_id")
 
 
 @query(f"WITH {O.BLOCKS},{D.TOP},{D.SNIPPETS} SELECT conv_id, msg_idx, role, text, had_code FROM snippets")
 def recent_snippets(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = _plain_corpus(spark, sf_dir)
     out = recency.snippets(c.messages, identity.familiar(c.messages))
     return out.select("conv_id", F.col("msg_idx").cast("long").alias("msg_idx"), "role", "text", "had_code")
 

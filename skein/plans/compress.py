@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.stages import stage, stage_all
 from ..operators import candidates as C
 from ..operators.classify import TYPES, classify
-from ..operators.messages import dropped_attachments
+from ..operators.messages import dropped_attachments, with_plain
 from ..operators.render import LABEL, render
 from ..sources.tables import Corpus
 
@@ -38,7 +38,7 @@ def compress(corpus: Corpus, level: str = "resume", force_type: str | None = Non
 
 def _shared(corpus: Corpus, force_type: str | None) -> tuple[Corpus, DataFrame, DataFrame]:
     """What all levels have in common: the corpus, types and scored candidates, each computed once."""
-    corpus = Corpus(*stage_all({"conversations": corpus.conversations, "messages": corpus.messages}).values())
+    corpus = Corpus(*stage_all({"conversations": corpus.conversations, "messages": with_plain(corpus.messages)}).values())
     types, candidates = stage_all({"types": types_of(corpus, force_type), "candidates": C.extract(corpus.messages)}).values()
     return corpus, types, stage(C.score(candidates, types), "scored")
 
