@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow
 
-#: Labelled documents that a model is fitted on at most: those whose hash is smallest.
-MAX_TRAINING = 8000
+#: Labelled documents that a model is fitted on at most, and bytes of their features: those whose hash is smallest.
+MAX_TRAINING, MAX_FEATURE_BYTES = 8000, 128 << 20
 
 
 def held_out(name: str = "doc_id"):
@@ -26,13 +27,18 @@ def training_labels(labels: DataFrame, label: str, most: int = MAX_TRAINING) ->
 
 
 def collect_features(docs: DataFrame, labels: DataFrame, extract, dtype: str | np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, features, labels) of the sample on the driver, by doc_id. extract(texts array) gives one numpy array per text; the sample's bound bounds them."""
+    """(offsets, features, labels) of the sample on the driver, by doc_id. extract(texts array) gives one numpy array per text.
+
+    The sample ends, in the order of hashes, before its features exceed their bound in bytes; the window sees at most MAX_TRAINING rows.
+    """
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "y")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([b.column("doc_id"), b.column("y"), pa.array([x.tobytes() for x in extract(b.column("text"))], pa.binary())], ["doc_id", "y", "features"])
 
-    got = map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, features binary").toArrow().sort_by("doc_id")
+    made = map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, features binary")
+    up_to = F.sum(F.octet_length("features")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = made.withColumn("up_to", up_to).filter(F.col("up_to") <= MAX_FEATURE_BYTES).drop("up_to").toArrow().sort_by("doc_id")
     packed, y = got["features"].combine_chunks(), got["y"].to_numpy().astype(np.float64)
     if not len(y):
         return np.zeros(1, np.int64), np.zeros(0, dtype), y

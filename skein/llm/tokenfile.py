@@ -217,7 +217,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFr
 
     if kind != "bigint":
         raise TypeError(f"doc_id must be a long, not {kind}")
-    ordered = df.select("doc_id", "text").repartitionByRange(null_first("doc_id")).sortWithinPartitions(null_first("doc_id"), F.xxhash64("text"))
+    order = [null_first("doc_id"), F.xxhash64("text")]  # rows without an id, or of one id, may fill several tasks
+    ordered = df.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, MANIFEST)
 
 
