@@ -179,9 +179,12 @@ def restored(word: str, model: CharacterModel) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+_MARKED = tuple((k, f"p{k}") for k in BEGINNINGS)
+
+
 def hashes(word: str) -> list[int]:
-    h = xxhash.xxh64_intdigest
-    return [h("w" + word), *(h(f"p{k}" + word[:k]) for k in BEGINNINGS if len(word) > k)]
+    h, n = xxhash.xxh64_intdigest, len(word)
+    return [h("w" + word), *[h(p + word[:k]) for k, p in _MARKED if n > k]]
 
 
 def within(word: str) -> list[int]:
@@ -193,6 +196,8 @@ def within(word: str) -> list[int]:
 
 
 def token_hashes(word: str, model: CharacterModel) -> list[int]:
+    if word.isalpha() and not TRIPLE(word):  # as restored() has it, in short
+        return hashes(word)
     found = restored(word, model)
     if len(found) == 1:
         return hashes(found[0])
