@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from .common import map_arrow, texts
+from .common import give_back, map_arrow, texts
 
 #: Distinct stretches of text, and words, whose tokens a worker keeps: those it meets first, so the frequent ones.
 KEPT_WORDS = 100_000
 #: Pairs of tokens whose compatibility a worker keeps; others are decided anew.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -52,10 +52,11 @@ class Words:
     characters; other stretches go through the tokenizers library's own normaliser and splitter, whose tables then hold.
     """
 
-    def __init__(self, path: str, spec: dict):
+    def __init__(self, spec: dict):
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
-        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        bare = {"version": spec["version"], "normalizer": spec["normalizer"], "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.normalize = Tokenizer.from_str(json.dumps(bare)).normalizer.normalize_str  # without the vocabulary, which takes room
         self.split_words = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -88,7 +89,7 @@ class BacktrackingBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words, model = Words(path, spec), spec["model"]
+        self.words, model = Words(spec), spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = byte_letters()
         n = max(max(vocab.values()), *self.words.special.values()) + 1
@@ -221,9 +222,12 @@ class BacktrackingBpe:
         return self.blob[at][:-1].tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> BacktrackingBpe:
-    return BacktrackingBpe(path)
+    try:
+        return BacktrackingBpe(path)
+    finally:
+        give_back()  # the parsed file is large
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

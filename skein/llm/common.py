@@ -37,6 +37,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _lean() -> None:
+    """Arrays of a megabyte or more go back to the system as soon as they are freed, and threads share two heaps: a worker's peak is what it uses."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # fixed values: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+
+
+_lean()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that turn one batch into at most one batch. Columns may have names that mapInArrow does not take."""
     names = df.columns

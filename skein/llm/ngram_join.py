@@ -42,7 +42,7 @@ COMBINE, RARE, MOST_COMBINED = 2, 24, 12
 #: Entries of a list that meet in one piece in the last round.
 PIECE = 2000
 #: Texts in a packed block; shingles that one bucket should get.
-BLOCK_TEXTS, BUCKET_SHINGLES = 2000, 1 << 21
+BLOCK_TEXTS, BUCKET_SHINGLES = 2000, 1 << 20
 
 INFO = np.dtype([("there", "?"), ("id", "<i8"), ("n", "<u4"), ("h1", "<i8"), ("h2", "<i8")])
 
