@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import fixed
+from ..functions import fixed, libm
 from ..functions import text as T
 from ..functions.regex import like
 from .messages import whole, blocks, with_context
@@ -33,47 +33,56 @@ def extract(messages: DataFrame) -> DataFrame:
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("conv_id").orderBy("msg_idx", "block_idx", F.coalesce("sent_idx", F.lit(0)))) - 1)
 
 
-def _weights(candidates: DataFrame) -> DataFrame:
-    """(conv_id, ord, term, tf, idf, tfidf), a row without a term for a candidate that has none. All by conversation: no shuffle but the candidates' own."""
+def _counts(candidates: DataFrame) -> DataFrame:
+    """(conv_id, ord, term, tf, rarity), a row without a term for a candidate that has none. All by conversation: no shuffle but the candidates' own."""
     numbered = candidates.select("conv_id", "ord", "text", F.count("*").over(whole()).alias("n"))
     words = numbered.select("conv_id", "ord", "n", F.explode_outer(T.terms(F.col("text"))).alias("term"))
     tf = words.groupBy("conv_id", "ord", "term").agg(F.count("term").alias("tf"), F.first("n").alias("n"))
     df = F.count("*").over(Window.partitionBy("conv_id", "term"))
-    idf = F.ln(F.col("n") / (1 + df)) + 1
-    return tf.select("conv_id", "ord", "term", "tf", idf.alias("idf"), F.when(F.col("term").isNotNull(), F.col("tf") * idf).alias("tfidf"))
+    return tf.select("conv_id", "ord", "term", "tf", (F.col("n") / (1 + df)).alias("rarity"))
 
 
 def term_stats(candidates: DataFrame) -> DataFrame:
     """(conv_id, ord, term, tf, idf, tfidf); the corpus of a term is its conversation's candidates."""
-    return _weights(candidates).filter("term IS NOT NULL")
+    rows = _counts(candidates).filter("term IS NOT NULL").withColumn("idf", libm.ln(F.array("rarity"))[0] + 1)
+    return rows.select("conv_id", "ord", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def term_scores(candidates: DataFrame) -> DataFrame:
     """(conv_id, ord, tfidf_score): the five heaviest terms' sum over the conversation's largest such sum; 0 for a lone candidate."""
-    top = _weights(candidates).groupBy("conv_id", "ord").agg(F.slice(F.sort_array(F.collect_list("tfidf"), asc=False), 1, 5).alias("top"))
-    every = top.select("conv_id", "ord", F.aggregate("top", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    per = _counts(candidates).groupBy("conv_id", "ord").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("tf", "rarity"))).alias("terms"))
+    per = per.withColumn("logs", libm.ln(F.transform("terms", lambda x: x["rarity"])))
+    weights = F.zip_with("terms", "logs", lambda x, log: x["tf"] * (log + 1))
+    top = F.slice(F.sort_array(weights, asc=False), 1, 5)
+    every = per.select("conv_id", "ord", F.aggregate(top, F.lit(0.0), lambda a, x: a + x).alias("s"))
     n, most = F.count("*").over(whole()), F.max("s").over(whole())
     return every.select("conv_id", "ord", F.when((n < 2) | (most <= 0), 0.0).otherwise(F.col("s") / most).alias("tfidf_score"))
 
 
 def _overlay() -> Column:
+    """Factors are multiplied in tenths and divided once: a product such as 1.4 * 1.2 is the double nearest to 1.68."""
     t, text, kind = F.col("type"), F.col("text"), F.col("kind")
-    by = lambda hit, x: F.when(hit, x).otherwise(1.0)
+    by = lambda hit, tenths: F.when(hit, tenths).otherwise(10)
     return (
-        F.when(t == "coding", by(kind == "code", 1.5) * by(like(text, fixed.SCORE_ERROR), 1.5))
-        .when(t == "writing", by(kind == "code", 0.7) * by(like(text, fixed.SCORE_STYLE), 1.4) * by(F.col("char_len") > 200, 1.2))
-        .when(t == "research", by(like(text, fixed.SCORE_CITATION), 1.5) * by(like(text, r"\d"), 1.1))
-        .when(t == "planning", by(like(text, fixed.SCORE_TRADEOFF), 1.4) * by(like(text, fixed.SCORE_DEADLINE), 1.5))
+        F.when(t == "coding", by(kind == "code", 15) * by(like(text, fixed.SCORE_ERROR), 15) / 100)
+        .when(t == "writing", by(kind == "code", 7) * by(like(text, fixed.SCORE_STYLE), 14) * by(F.col("char_len") > 200, 12) / 1000)
+        .when(t == "research", by(like(text, fixed.SCORE_CITATION), 15) * by(like(text, r"\d"), 11) / 100)
+        .when(t == "planning", by(like(text, fixed.SCORE_TRADEOFF), 14) * by(like(text, fixed.SCORE_DEADLINE), 15) / 100)
         .otherwise(1.0)
     )
 
 
 def score(candidates: DataFrame, types: DataFrame) -> DataFrame:
-    """candidates with tfidf_score, type, score and always_keep. types: (conv_id, type)."""
-    rows = candidates.join(term_scores(candidates), ["conv_id", "ord"]).join(types.select("conv_id", "type"), "conv_id")
+    """candidates with tfidf_score, type, score and always_keep. types: (conv_id, type).
+
+    Ranks hang on the last bit of a score: what is a decimal by rule is counted in whole units and divided once, so candidates that
+    tie by rule tie in doubles too.
+    """
+    timed = candidates.withColumn("recency", libm.exp(-3 * (1 - F.col("position"))))
+    rows = timed.join(term_scores(candidates), ["conv_id", "ord"]).join(types.select("conv_id", "type"), "conv_id")
     text, kind = F.col("text"), F.col("kind")
     add = lambda hit, x: F.when(hit, x).otherwise(0.0)
-    raw = 0.4 * F.exp(-3 * (1 - F.col("position"))) - 0.0005 * F.col("char_len")
+    raw = 0.4 * F.col("recency") - F.col("char_len") * 5 / 10000
     for hit, x in (
         ((kind == "question") & (F.col("role") == "user"), 0.3),
         ((kind == "question") & F.col("unanswered"), 0.6),
@@ -87,7 +96,7 @@ def score(candidates: DataFrame, types: DataFrame) -> DataFrame:
         raw = raw + add(hit, x)
     strong = like(text, fixed.STRONG_DECISION)
     keep = (kind == "artifact") | F.col("last_user") | (F.col("last_assistant") & kind.isin("code", "decision")) | strong
-    return rows.select("*", ((raw + 0.2 * F.col("tfidf_score")) * _overlay()).alias("score"), keep.alias("always_keep"))
+    return rows.select("*", ((raw + 0.2 * F.col("tfidf_score")) * _overlay()).alias("score"), keep.alias("always_keep")).drop("recency")
 
 
 def rank(scored: DataFrame, budget: float) -> DataFrame:
@@ -95,11 +104,11 @@ def rank(scored: DataFrame, budget: float) -> DataFrame:
     keeps = F.col("always_keep")
     by_score = Window.partitionBy("conv_id", "always_keep").orderBy(F.col("score").desc(), "ord")
     cost = F.sum("char_len").over(by_score.rowsBetween(Window.unboundedPreceding, 0))
-    rows = scored.withColumn("keep_rank", F.when(keeps, F.row_number().over(by_score)))
+    rows = scored.withColumn("breadth", libm.log10((F.col("char_len") + 10).cast("double"))).withColumn("keep_rank", F.when(keeps, F.row_number().over(by_score)))
     rows = rows.withColumn("first_pick", keeps & ((cost <= budget * fixed.ALWAYS_KEEP_SHARE) | (F.col("keep_rank") == 1)))
-    efficiency = F.col("score") / F.greatest(F.lit(1.0), F.log10(F.col("char_len") + 10))
+    efficiency = F.col("score") / F.greatest(F.lit(1.0), F.col("breadth"))
     order = Window.partitionBy("conv_id").orderBy("first_pick", efficiency.desc(), F.coalesce("keep_rank", F.lit(0)), "ord")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return rows.withColumn("rank", F.row_number().over(order)).drop("breadth")
 
 
 def select(scored: DataFrame, budget: float) -> DataFrame:
@@ -120,7 +129,7 @@ def select(scored: DataFrame, budget: float) -> DataFrame:
 
     def walk(a: Column, x: Column) -> Column:
         # The penalty counts the picks of the message: the budget bounds their number, whatever the conversation's length.
-        left = x["score"] - F.size(F.filter(a["told"], lambda m: m == x["msg_idx"])) * fixed.DIVERSITY_PENALTY
+        left = x["score"] - F.size(F.filter(a["told"], lambda m: m == x["msg_idx"])) * round(100 * fixed.DIVERSITY_PENALTY) / 100
         return F.when((a["used"] + x["char_len"] <= budget) & ((left > 0) | x["always_keep"]), picks(a, x)).otherwise(a)
 
     picked = per.withColumn("start", start).select("conv_id", F.explode(F.aggregate("rest", F.col("start"), walk)["ords"]).alias("ord"))
