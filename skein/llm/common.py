@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,6 +49,17 @@ def _lean() -> None:
 _lean()
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Returns to the system what the driver's JVM has freed outside its heap: its allocator keeps room for each of the hundreds of threads of a large plan. Nothing where the JVM lacks the command."""
+    jvm = spark._jvm
+    with contextlib.suppress(Py4JError):
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        (call,) = (m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, given)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that turn one batch into at most one batch. Columns may have names that mapInArrow does not take."""
     names = df.columns
@@ -71,6 +83,7 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Writes the rows to a Parquet table in the shared folder and reads them back: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

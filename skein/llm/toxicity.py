@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, map_arrow, segment_sums, word_table
+from .common import bounded_batches, give_back, map_arrow, segment_sums, trim_driver, word_table
 from .labelled import collect_features, held_out, logistic, training_labels
 
 # What symbols are written for.
@@ -323,6 +323,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     model = fit(*collect_features(docs, training_labels(labels, "toxic"), split, "<u8"), characters)
     give_back()
+    trim_driver(docs.sparkSession)
     return model
 
 

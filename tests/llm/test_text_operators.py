@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, licenses, media, queries, secrets, tokenfile
+from skein.llm import bpe, common, licenses, media, queries, secrets, tokenfile
 
 VOCABULARY = queries.vocabulary()
 LETTERS = [chr(i) for i in [*range(0, 0x180), *range(0x370, 0x400), 0x130, 0x1E9E, 0x212A, 0x2028, 0x85, 0xA0, 0x3000, 0x1C, 0x301, 0x331, 0x4E2D, 0xAC00, 0x1100, 0x1161, 0x1F600]]
@@ -342,3 +342,20 @@ def test_registered_queries_use_whole_tables(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     for name in ("op1_bpe", "op2_licenses", "op5_secrets", "op8_media"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.col("doc_id")).count() == n
+
+
+def test_materialise_returns_freed_memory_of_the_driver(spark):
+    def taken():
+        pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    common.materialise(spark.range(5), "first")  # what a first job loads is no part of it
+    made = [spark._jvm.java.util.zip.Deflater() for _ in range(1000)]  # each takes about 0.2 MB outside the heap
+    for x in made[:-1]:
+        x.end()
+    before = taken()
+    assert common.materialise(spark.range(5), "five").count() == 5
+    after = taken()
+    assert after < before, (before, after)
+    made[-1].end()
