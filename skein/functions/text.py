@@ -184,6 +184,13 @@ def _tenths(n: Column, unit: int, places: int) -> Column:
     return F.concat((scaled / ten).cast("long").cast("string"), F.lit("."), F.lpad((scaled % ten).cast("string"), places, "0"))
 
 
+def one_decimal(x: Column) -> Column:
+    """x, not negative, with one decimal: the exact value of the double counts, halves go up."""
+    rest = ((x - F.floor(x)) * F.lit(float(1 << 56))).cast("long")
+    tenths = lambda t: F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+    return let((F.floor(x) * 10 + F.shiftright(rest * 10 + (1 << 55), 56)).cast("long"), tenths)
+
+
 def format_bytes(n: Column) -> Column:
     return let(n, lambda n: F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(_tenths(n, 1024, 1), F.lit(" KB"))).otherwise(F.concat(_tenths(n, 1 << 20, 1), F.lit(" MB"))))
 

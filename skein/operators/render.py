@@ -138,7 +138,7 @@ def _plural(n: str, what: str) -> Column:
 
 def _metadata(inp: Column, out: Column) -> Column:
     ratio = F.when(inp > 0, (inp - out) / inp * 100).otherwise(0.0)
-    told = F.format_string("%.1f", ratio)
+    told = T.one_decimal(ratio)
     size = F.concat(T.format_chars(inp), F.lit(" -> "), T.format_chars(out), F.when(ratio > 90, F.concat(F.lit(" ("), told, F.lit("% compression - significant detail loss expected)"))).when(ratio > 0, F.concat(F.lit(" ("), told, F.lit("% compression)"))).otherwise(""))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     dates = F.when(F.col("since").isNotNull(), F.concat(day("since"), F.lit(" -> "), day("until")))

@@ -87,3 +87,13 @@ def test_sizes_and_names(spark):
     names = spark.createDataFrame([("1700000000000_app.tsx",), ("Dockerfile",), ("a.svg",)], "f string")
     got = names.select(A.display_name(F.col("f")).alias("d"), A.classify(F.col("f")).alias("k"), A.language(F.col("f")).alias("l")).collect()
     assert [tuple(r) for r in got] == [("app.tsx", "code_file", "tsx"), ("Dockerfile", "code_file", ""), ("a.svg", "image", "")]
+
+
+def test_one_decimal_rounds_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    pairs = [(2000, 1137), (1200, 681), (3, 1), (800, 799), (10**6, 10**6 - 1), (2000, 0), *((2000, k) for k in range(1, 2000, 7))]
+    ratios = [(n - k) / n * 100 for n, k in pairs]
+    got = spark.createDataFrame([(x,) for x in ratios], "x double").select("x", T.one_decimal(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in got} == {x: str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP)) for x in ratios}
+    assert ratios[0] < Decimal("43.15") and got[0].t == "43.1"  # the shortest spelling, 43.15, would go up
