@@ -13,10 +13,11 @@ are ignored. An empty table gives no file and no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +40,23 @@ SKIP_SEEK, SKIP_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 FRAME_IDS, FILE_IDS, KEPT_WORDS = 1 << 16, 1 << 24, 150_000
 
 
+#: Printable ASCII and the accented Latin letters that are composed already and have one letter as their lower case.
+_LATIN = re.compile("[!-~À-ÖØ-öø-\u012fı-\u0148\u014a-ſ]+").fullmatch
+
+
+class Kept(dict):
+    """What was computed first for at most KEPT_WORDS keys; other keys are computed each time."""
+
+    def __init__(self, compute: Callable):
+        self.compute = compute
+
+    def __missing__(self, key):
+        found = self.compute(key)
+        if len(self) < KEPT_WORDS:
+            self[key] = found
+        return found
+
+
 class LibraryEncoder:
     """The tokenizers library's encoding of whole texts: its normaliser, splitter and model; the ids of stretches and words seen before are kept."""
 
@@ -54,36 +72,30 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words, self.model = Words(spec), self.tokenizer.model
-        self.letters = byte_letters()
-        self.known: dict[str | int, bytes] = {}
-        self.spelled: dict[str | int, bytes] = {}
+        self.letters = "".join(byte_letters())
+        self.known, self.spelled = Kept(self._chunk), Kept(self.word)
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        for t in batch:
-            chunks = self.words.chunks(t)
-            rare = {c: self._chunk(c) for c in chunks if c not in known}
-            if rare and len(known) < KEPT_WORDS:
-                known.update(rare)
-            out.append(b"".join([known[c] if c in known else rare[c] for c in chunks]))
-        return out
+        ids, chunks = self.known.__getitem__, self.words.chunks
+        return [b"".join(map(ids, chunks(t))) for t in batch]
 
     def _chunk(self, chunk: str | int) -> bytes:
+        """A stretch's ids. Latin ones need no normaliser: a run of letters is a word, and so is a single sign or digit after it."""
         if isinstance(chunk, int):
             return struct.pack("<I", chunk)
-        spelled, out = self.spelled, []
-        for w in self.words.split(chunk):
-            ids = spelled.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(spelled) < KEPT_WORDS:
-                    spelled[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        spelled = self.spelled
+        if chunk.isascii() or _LATIN(chunk):
+            low = chunk.lower()
+            if low.isalpha():
+                return spelled[low]
+            if low[:-1].isalpha():
+                return spelled[low[:-1]] + spelled[low[-1]]
+            return b"".join(map(spelled.__getitem__, self.words.find(low)))
+        return b"".join(map(spelled.__getitem__, self.words.split(chunk)))
 
     def word(self, word: str) -> bytes:
         """A prepared word's ids by the library's model, which reads a visible letter for each byte; printable ASCII stands for itself."""
-        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
